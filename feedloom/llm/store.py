@@ -33,7 +33,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables made by materialise() once nothing that is still to run reads them."""
+    """Delete tables made by materialise() once nothing that is still to run reads them.
+
+    The driver's JVM then collects its garbage, upon which Spark drops the shuffle files of finished queries."""
     for df in tables:
         spark = df.sparkSession
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -41,3 +43,5 @@ def release(*tables: DataFrame) -> None:
             if "/feedloom/" in folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()

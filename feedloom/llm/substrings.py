@@ -15,7 +15,9 @@ the window are repeats. Texts equal as a whole are handled before, as classes: t
 
 Verification compares whole windows: 50 word hashes, of 64 bits each, enter two independent 64-bit names.
 
-Skew: names and windows are counted by partial aggregation before they meet, and joins on them may be split.
+Skew: names and windows that several texts of one batch share are settled there; at most two rows for each name and one
+for each window of a batch travel on, so a passage that a third of all texts hold is no large group anywhere. What does
+meet is sorted and read as a stream that holds one row.
 
 Defined results: a null text has no words. Fewer words than WINDOW: nothing is removed. A repeated doc_id: rows
 with one id are one document for windows (nothing is removed for standing in itself), each row gives a row. A
@@ -209,7 +211,7 @@ def _mark(hashes: np.ndarray) -> bytes:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """name, tag: the anchors of each text."""
+    """name, tag, known: the anchors of each text. Those that two texts of a run share are known; two stand for them."""
     for batch in batches:
         for _, hashes, first, _ in _texts(batch.column("text")):
             anchor = anchors(hashes, first)
@@ -217,17 +219,60 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = np.ones(len(anchor), bool)
             step[1:] = (anchor[1:] != anchor[:-1]) | (tag[1:] != tag[:-1])
             step &= anchor != 0
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[step].view(np.int64)), pa.array(tag[step])], names=["name", "tag"])
+            name, tag = anchor[step].view(np.int64), tag[step]
+            order = np.lexsort((tag, name))
+            name, tag = name[order], tag[order]
+            new = np.ones(len(name), bool)
+            new[1:] = (name[1:] != name[:-1]) | (tag[1:] != tag[:-1])
+            name, tag = name[new], tag[new]
+            group, size = _groups(name)
+            known = size[group] > 1
+            low = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
+            two = low[size > 1]
+            open_ = np.concatenate([np.flatnonzero(~known), two, two + 1])
+            done = np.flatnonzero(known)
+            at = np.concatenate([open_, done])
+            yield pa.RecordBatch.from_arrays([pa.array(name[at]), pa.array(tag[at]), pa.array(np.arange(len(at)) >= len(open_))], names=["name", "tag", "known"])
+
+
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: each one's group, and the groups' sizes."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    group = np.cumsum(new) - 1
+    return group, np.bincount(group)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by name and tag, those whose name has several tags. Nothing but the last group's head is held."""
+    last, head, said = None, 0, False
+    for batch in batches:
+        name, tag = batch.column("name").to_numpy(), batch.column("tag").to_numpy()
+        if not len(name):
+            continue
+        group, size = _groups(name)
+        start = np.cumsum(size) - size
+        heads = tag[start].copy()
+        told = np.zeros(len(size), bool)
+        if last == name[0]:
+            heads[0], told[0] = head, said
+        differs = tag != heads[group]
+        several = np.zeros(len(size), bool)
+        several[group[differs]] = True
+        now = several & ~told
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([name[differs], name[start[now]]])), pa.array(np.concatenate([tag[differs], heads[now]]))], names=["name", "tag"])
+        last, head, said = name[-1], heads[-1], bool(told[-1] or several[-1])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """w1, w2, doc, tag, at: every window whose anchor is among the row's names."""
+    """w1, w2, doc, at: every window whose anchor is among the row's names; `at` holds 16 bits of the tag above its word.
+    A window that stands in a smaller document of the same run is known to be a repeat: its w1 and w2 are null."""
     for batch in batches:
         docs, tags, names = batch.column("doc").to_numpy(), batch.column("tag").to_numpy(), batch.column("names")
         ends, flat = names.offsets.to_numpy(), names.values.to_numpy()
         for a, hashes, first, _ in _texts(batch.column("text")):
             anchor = anchors(hashes, first)
-            one, two = K.grams(hashes, WINDOW), K.grams(hashes, WINDOW, salt=1)
+            one, two = K.grams(hashes, WINDOW).view(np.int64), K.grams(hashes, WINDOW, salt=1).view(np.int64)
             keep = []
             for i in range(len(first) - 1):
                 s, e = first[i], first[i + 1]
@@ -236,9 +281,30 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keep.append(s + np.flatnonzero(np.isin(anchor[s:e], own) & (anchor[s:e] != 0)))
             at = np.concatenate(keep) if keep else np.zeros(0, np.int64)
             of = np.searchsorted(first, at, "right") - 1
+            doc, place = docs[a + of], (at - first[of]) | ((tags[a + of] & 0xFFFF) << 32)
+            w1, w2 = one[at], two[at]
+            order = np.lexsort((doc, w2, w1))
+            w1, w2, doc, place = w1[order], w2[order], doc[order], place[order]
+            group, size = _groups(w1, w2)
+            known = doc > doc[np.cumsum(size) - size][group] if len(size) else np.zeros(0, bool)
             for x in range(0, len(at), WORDS):
-                p, o = at[x : x + WORDS], of[x : x + WORDS]
-                yield pa.RecordBatch.from_arrays([pa.array(one[p].view(np.int64)), pa.array(two[p].view(np.int64)), pa.array(docs[a + o]), pa.array(tags[a + o]), pa.array((p - first[o]).astype(np.int32))], names=["w1", "w2", "doc", "tag", "at"])
+                part = slice(x, x + WORDS)
+                yield pa.RecordBatch.from_arrays([pa.array(w1[part], mask=known[part]), pa.array(w2[part], mask=known[part]), pa.array(doc[part]), pa.array(place[part])], names=["w1", "w2", "doc", "at"])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by window and document, those after the window's first document."""
+    last, head = None, 0
+    for batch in batches:
+        w1, w2, doc = (batch.column(c).to_numpy() for c in ("w1", "w2", "doc"))
+        if not len(doc):
+            continue
+        group, size = _groups(w1, w2)
+        heads = doc[np.cumsum(size) - size]
+        if last == (w1[0], w2[0]):
+            heads[0] = head
+        yield batch.select(["doc", "at"]).filter(pa.array(doc > heads[group]))
+        last, head = (w1[-1], w2[-1]), heads[-1]
 
 
 def spans(starts: list[int] | np.ndarray) -> np.ndarray:
@@ -255,14 +321,16 @@ def _cutter(with_text: bool):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, removed, shas, texts = [], [], [], []
-            tags, starts_of = batch.column("tag").to_numpy(), batch.column("starts")
+            rows, tags, removed, shas, texts = [], [], [], [], []
+            parts, starts_of = batch.column("part").to_numpy(), batch.column("starts")
             bounds, flat = starts_of.offsets.to_numpy(), starts_of.values.to_numpy()
             for a, hashes, first, (starts, ends, part) in _texts(batch.column("text")):
                 for i in range(len(first) - 1):
                     s, e = first[i], first[i + 1]
-                    if _tag(hashes[s:e]) != tags[a + i]:
+                    tag = _tag(hashes[s:e])
+                    if tag & 0xFFFF != parts[a + i]:
                         continue  # another text of the same doc_id
+                    tags.append(tag)
                     keep = np.ones(e - s, bool)
                     for x, y in spans(flat[bounds[a + i] : bounds[a + i + 1]]):
                         keep[x:y] = False
@@ -274,8 +342,8 @@ def _cutter(with_text: bool):
                     shas.append(sha256(kept).hexdigest())
                     if with_text:
                         texts.append(kept.decode())
-            ids = batch.select(["doc", "tag"]).take(pa.array(rows, pa.int64()))
-            made = [pa.array(removed, pa.int64()), pa.array(shas, pa.string()), *([pa.array(texts, pa.string())] if with_text else [])]
+            ids = batch.select(["doc"]).take(pa.array(rows, pa.int64()))
+            made = [pa.array(tags, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), *([pa.array(texts, pa.string())] if with_text else [])]
             yield pa.RecordBatch.from_arrays([*ids.columns, *made], names=["doc", "tag", "n_removed", "sha", *(["kept"] if with_text else [])])
 
     return cut
@@ -287,18 +355,22 @@ def _given(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc, n_words, mark, tag, sha); heads, the first document of each class that can hold a window (mark, tag,
-    doc); for heads, the starts of windows that a smaller document has too (doc, tag, starts)."""
+    doc); for heads, the starts of windows that a smaller document has too (doc, 16 bits of its tag, starts)."""
     given = _given(docs)
     rows = materialise(given.mapInArrow(_classes, "doc long, n_words long, mark binary, tag long, sha string"), "rows")
     heads = materialise(rows.where(F.col("n_words") >= WINDOW).groupBy("mark", "tag").agg(F.min("doc").alias("doc")), "heads")
-    names = materialise(given.mapInArrow(_anchors, "name long, tag long"), "names")
-    shared = names.groupBy("name").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x < y").select("name")
-    wanted = names.join(shared, "name").groupBy("tag").agg(F.collect_set("name").alias("names")).join(heads.select("tag", "doc"), "tag")
-    found = given.join(wanted, "doc").select("doc", "tag", "names", "text").mapInArrow(_windows, "w1 long, w2 long, doc long, tag long, at int")
-    found = materialise(found, "windows")
+    names = materialise(given.mapInArrow(_anchors, "name long, tag long, known boolean"), "names")
+    met = names.where("not known").select("name", "tag").repartition("name").sortWithinPartitions("name", "tag").mapInArrow(_shared, "name long, tag long")
+    shared = met.select("tag", "name").union(names.where("known").select("tag", "name"))
+    wanted = materialise(shared.groupBy("tag").agg(F.collect_set("name").alias("names")).join(heads.select("tag", "doc"), "tag"), "wanted")
     release(names)
-    least = found.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    starts = found.join(least, ["w1", "w2"]).where("doc > least").groupBy("doc", "tag").agg(F.collect_list("at").alias("starts"))
+    found = given.join(wanted, "doc").select("doc", "tag", "names", "text").mapInArrow(_windows, "w1 long, w2 long, doc long, at long")
+    found = materialise(found, "windows")
+    release(wanted)
+    known, open_ = found.where("w1 is null").select("doc", "at"), found.where("w1 is not null")
+    later = open_.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "doc").mapInArrow(_later, "doc long, at long")
+    part = F.call_function("shiftright", F.col("at"), F.lit(32))
+    starts = known.union(later).groupBy("doc", part.alias("part")).agg(F.collect_list((F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int")).alias("starts"))
     starts = materialise(starts, "starts")
     release(found)
     return rows, heads, starts
@@ -306,7 +378,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _cut(docs: DataFrame, starts: DataFrame, with_text: bool) -> DataFrame:
     schema = "doc long, tag long, n_removed long, sha string" + ", kept string" * with_text
-    return _given(docs).join(starts, "doc").select("doc", "tag", "starts", "text").mapInArrow(_cutter(with_text), schema).dropDuplicates(["doc", "tag"])
+    return _given(docs).join(starts, "doc").select("doc", "part", "starts", "text").mapInArrow(_cutter(with_text), schema).dropDuplicates(["doc", "tag"])
 
 
 def remove(docs: DataFrame) -> DataFrame:
