@@ -47,25 +47,36 @@ def windows(benchmark: DataFrame, n: int = N) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """doc_id, text_hash, starts (array of start and length of hit windows), items (array of item ids), for texts with hits."""
     found = windows(benchmark, n)
-    grams = found.select("hash", F.col("n").alias("_n"), "gram").distinct()
+    grams = found.select("hash", "gram").distinct()
     sizes = {r["n"]: r["count"] for r in found.select("n", "gram").distinct().groupBy("n").count().collect()}  # at most n rows
     if not sizes:
         sizes = {n: 0}
     few = sum(sizes.values()) <= BROADCAST_WINDOWS
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), words("text").alias("w"))
-    at = texts.select("doc_id", "text_hash", "w", F.posexplode("w").alias("at", "_word"))
-    probes = [at.select("doc_id", "text_hash", "w", "at", F.lit(k).alias("n"), _hash("w", "at", k).alias("hash")).where(F.col("at") + k <= F.size("w")) for k in sorted(sizes)]
-    scan = probes[0]
-    for p in probes[1:]:
-        scan = scan.union(p)
-    same = (F.col("n") == F.col("_n")) & (F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ") == F.col("gram"))
-    met = scan.join(F.broadcast(grams) if few else grams, "hash").where(same).select("doc_id", "text_hash", "at", "n", "gram")
+    # explode, hash, lookup and comparison are one generated stage, in which the array of words is never copied
+    at = texts.select("doc_id", "text_hash", "w", F.posexplode_outer("w").alias("at", "_word"))  # not outer, a filter would split every text twice
+    probe = lambda k: F.struct(F.lit(k).alias("n"), _hash("w", "at", k).alias("hash"))
+    if len(sizes) == 1:
+        scan = at.select("doc_id", "text_hash", "w", "at", probe(*sizes).alias("p"))
+    else:
+        scan = at.select("doc_id", "text_hash", "w", "at", F.explode(F.array(*map(probe, sorted(sizes)))).alias("p"))
+    scan = scan.select("doc_id", "text_hash", "w", "at", F.col("p.n").alias("n"), F.col("p.hash").alias("hash")).where(F.col("at") + F.col("n") <= F.size("w"))
+    # words hold no |, so a gram and its | at the start of another such text is all of it; as an equality this would be hashed for every place
+    same = F.startswith(F.concat(F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " "), F.lit("|")), F.concat("gram", F.lit("|")))
+    if few:
+        met = scan.join(F.broadcast(grams), "hash").where(same).select("doc_id", "text_hash", "at", "n", "gram")
+    else:  # places travel without their texts, and those that some hash matches meet them again
+        near = scan.select("doc_id", "text_hash", "at", "n", "hash").join(grams.select("hash").distinct(), "hash", "left_semi")
+        near = near.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n", "hash")).alias("places"))
+        back = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "w").dropDuplicates(["_id", "_text"])
+        near = near.join(back, near["doc_id"].eqNullSafe(back["_id"]) & (near["text_hash"] == back["_text"]))
+        said = F.transform("places", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["hash"].alias("hash"), F.array_join(F.slice("w", x["at"] + 1, x["n"]), " ").alias("gram")))
+        met = near.select("doc_id", "text_hash", F.explode(said).alias("x")).select("doc_id", "text_hash", "x.*").join(grams, ["hash", "gram"]).select("doc_id", "text_hash", "at", "n", "gram")
     by_gram = found.select("gram", "item_id")
-    places = met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n")).alias("starts"))
-    pairs = met.select("doc_id", "text_hash", "gram").distinct().join(F.broadcast(by_gram) if few else by_gram, "gram")
-    items = pairs.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("items"))
-    same_row = [places.doc_id.eqNullSafe(items.doc_id), places.text_hash == items.text_hash]
-    return places.join(items, same_row).select(places.doc_id, places.text_hash, F.array_sort("starts").alias("starts"), F.array_sort("items").alias("items"))
+    places = met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n")).alias("starts"), F.collect_set("gram").alias("grams"))
+    pairs = places.select("doc_id", "text_hash", "starts", F.explode("grams").alias("gram")).join(F.broadcast(by_gram) if few else by_gram, "gram")
+    out = pairs.groupBy("doc_id", "text_hash").agg(F.first("starts").alias("starts"), F.collect_set("item_id").alias("items"))
+    return out.select("doc_id", "text_hash", F.array_sort("starts").alias("starts"), F.array_sort("items").alias("items"))
 
 
 def _covered(starts: Column) -> Column:
