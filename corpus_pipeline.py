@@ -19,8 +19,9 @@ MOST_BITS = 7.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter, or that no tree can code, go."""
-    found = langid.identify(docs)
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("bits_per_byte") <= MOST_BITS)).select(*docs.columns)
+    lang, score, bits = "_lang_pred", "_lang_score", "_lang_bits"
+    found = langid.identify(docs, names=(lang, score, bits))
+    return found.where((F.col(lang) != langid.UND) & (F.col(bits) <= MOST_BITS)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

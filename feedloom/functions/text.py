@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,17 +58,13 @@ def decode_entities(text: Column | str) -> Column:
     return out
 
 
-def strip_html(html: Column | str) -> Column:
+def strip_html(page: Column | str) -> Column:
     """Entities first, so that encoded tags go too; a tag becomes a space; white space collapses."""
-    return F.trim(F.regexp_replace(F.regexp_replace(decode_entities(html), "<[^>]+>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(decode_entities(page), "<[^>]+>", " "), r"\s+", " "))
 
 
 def unescape_all(text: Column | str) -> Column:
     """Every named entity, by Arrow batches."""
-    import html
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(html.unescape, na_action="ignore")
