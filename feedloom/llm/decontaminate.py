@@ -105,14 +105,14 @@ def _name(docs: DataFrame, name: str) -> str:
 
 def scrub(docs: DataFrame, benchmark: DataFrame, n: int = N, remove: str = "documents") -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the hit words and what stands before them cut out."""
-    h = _name(docs, "_text_hash")
-    found = hits(docs.select("doc_id", "text"), benchmark, n).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "starts")
+    h, starts = _name(docs, "_text_hash"), _name(docs, "_starts")
+    found = hits(docs.select("doc_id", "text"), benchmark, n).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("starts").alias(starts))
     rows = docs.withColumn(h, F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(found["_id"]) & (rows[h] == found["_hash"])
     if remove == "documents":
         return rows.join(found, same, "left_anti").drop(h)
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*" + RAW_WORD), F.lit(0))
-    tail = F.regexp_extract(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
-    clean = F.filter(pieces, lambda p, i: ~F.exists("starts", lambda s: (i >= s["at"]) & (i < s["at"] + s["n"])))
-    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(clean, ""), tail))
+    pieces = F.regexp_extract_all(rows["text"], F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*" + RAW_WORD), F.lit(0))
+    tail = F.regexp_extract(rows["text"], r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$", 0)
+    clean = F.filter(pieces, lambda p, i: ~F.exists(starts, lambda s: (i >= s["at"]) & (i < s["at"] + s["n"])))
+    text = F.when(F.col(starts).isNull(), rows["text"]).otherwise(F.concat(F.array_join(clean, ""), tail))
     return rows.join(found, same, "left").select(*(text.alias(c) if c == "text" else rows[c] for c in docs.columns))

@@ -196,14 +196,18 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4 == 2
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and bits_per_byte (of the best language; null for `und`)."""
+#: Names of the columns made.
+MADE = ("lang_pred", "score", "bits_per_byte")
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True, names: tuple[str, str, str] = MADE) -> DataFrame:
+    """docs with lang_pred, score (0 to 1) and bits_per_byte (of the best language; null for `und`), or under other names."""
     spark = docs.sparkSession
-    made = ["lang_pred", "score", "bits_per_byte"]
+    made = list(names)
     keep = docs.drop(*made)
-    schema = T.StructType([*(f for f in keep.schema.fields if keep_text or f.name != text), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+    schema = T.StructType([*(f for f in keep.schema.fields if keep_text or f.name != text), *(T.StructField(c, k) for c, k in zip(made, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))])
     if not model.langs:
-        return (keep if keep_text else keep.drop(text)).select("*", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
+        return (keep if keep_text else keep.drop(text)).select("*", F.lit(UND).alias(made[0]), F.lit(0.0).alias(made[1]), F.lit(None).cast("double").alias(made[2]))
     held = spark.sparkContext.broadcast(model)
     letter = "_has_letter"
     while letter in keep.columns:
@@ -226,18 +230,18 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
                 score = 1 - np.exp2(-8 * gap)
             else:
                 score = np.ones(len(bits))
-            names = np.array(m.langs, object)[best]
-            names[~some] = UND
+            said = np.array(m.langs, object)[best]
+            said[~some] = UND
             rest = batch.drop_columns([letter] if keep_text else [letter, text])
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(names, pa.string()), pa.array(np.where(some, np.clip(score, 0, 1), 0.0)), pa.array(bits[rows, best] / size, mask=~some)],
+                [*rest.columns, pa.array(said, pa.string()), pa.array(np.where(some, np.clip(score, 0, 1), 0.0)), pa.array(bits[rows, best] / size, mask=~some)],
                 names=[*rest.schema.names, *made],
             )
 
     return keep.withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, docs_per_lang: int = 300, bytes_per_lang: int = 600_000, keep_text: bool = True) -> DataFrame:
+def identify(docs: DataFrame, docs_per_lang: int = 300, bytes_per_lang: int = 600_000, keep_text: bool = True, names: tuple[str, str, str] = MADE) -> DataFrame:
     """Train on labelled rows outside the held-out fold, then predict every row of docs (doc_id, text, lang, ...)."""
     model = train(sample(docs.where(~F.coalesce(held_out(), F.lit(False))), docs_per_lang, bytes_per_lang))
-    return predict(docs, model, keep_text=keep_text)
+    return predict(docs, model, keep_text=keep_text, names=names)

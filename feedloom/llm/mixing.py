@@ -101,8 +101,9 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def emit(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    return mix(docs, **kw).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it; whatever their columns are called."""
+    whole = docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))
+    return mix(whole, **kw).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")
 
 
 ORACLE = r"""
