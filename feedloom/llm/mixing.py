@@ -23,14 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+#: What stands between words. Splitting is many times faster than counting words one by one.
+BETWEEN = r"[\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = 17
 
 
 def size(text: str = "text") -> Column:
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN), "")).cast("long")
 
 
 def size_bin(n: Column) -> Column:
