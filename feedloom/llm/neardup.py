@@ -16,9 +16,9 @@ pivots are compared with the members outside their component with which they sha
 are taken from outside a list's largest component until none is left there: members of one component are never
 compared, and nothing else is left out.
 
-Verification contracts too: of the candidate pairs, a round verifies, for each component, its best few pairs that
-still lead out of it; pairs inside a component need no more work. Components are found by hooking to the
-smallest neighbour and pointer jumping on DataFrames; every round is cut by a table in the shared folder.
+Verification contracts too: of the candidate pairs, a first round verifies each component's best few, a second those
+that still lead out of a component; pairs inside one need no more work. Components are found by smallest labels and
+pointer jumping on DataFrames; every round is cut by a table in the shared folder.
 
 Defined results: a null or wordless text has an empty set and links with nothing. Repeated rows and copies share
 a class. A null doc_id gets no class of its own: its row has null component_id and kept false, but where the set is
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import materialise, release
+from .store import SMALL, materialise, release, small
 
 SHINGLE = 5
 PERCENT = 75
@@ -46,7 +46,7 @@ LISTED = 24
 ENOUGH_HOT = 7
 LONG_LIST = 32
 LOOSE = 0.47
-#: Pairs that the first round verifies for each component at most; each later one takes eight times as many.
+#: Pairs that the first round verifies for each component at most; the second takes all that are left.
 A_ROUND = 16
 
 
@@ -87,83 +87,104 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, mark binary, sketch array<long>")
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.offsets.to_numpy(), column.values.to_numpy()
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, text_a, text_b: the pairs whose full sets reach the threshold."""
+    """a, b, set_a, set_b: the pairs whose full sets reach the threshold."""
     for batch in batches:
-        ok, last, held = [], None, None
-        left, a = shingle_sets, batch.column("a").to_numpy()
-        texts, others = batch.column("text_a"), batch.column("text_b")
-        rights = shingle_sets(others)
-        for i, right in enumerate(rights):
-            if a[i] != last:
-                last, held = a[i], next(left(texts.slice(i, 1)))
-            both = len(np.intersect1d(held, right, assume_unique=True))
-            ok.append(100 * both >= PERCENT * (len(held) + len(right) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        (p, x), (q, y) = _lists(batch.column("set_a")), _lists(batch.column("set_b"))
+        ok = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            left, right = x[p[i] : p[i + 1]], y[q[i] : q[i + 1]]
+            at = np.searchsorted(left, right)
+            at[at == len(left)] = 0
+            both = int((left[at] == right).sum()) if len(left) else 0
+            ok[i] = 100 * both >= PERCENT * (len(left) + len(right) - both)
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+
+def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, s_a, s_b: a, b and the similarity that the smallest values of the union of both sketches show, if LOOSE or more."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            n = part.num_rows
+            wide = np.full((n, 2 * K_SKETCH), np.iinfo(np.int64).max)
+            for k, name in enumerate(("s_a", "s_b")):
+                ends, flat = _lists(part.column(name))
+                size = np.diff(ends)
+                row = np.repeat(np.arange(n), size)
+                wide[row, k * K_SKETCH + np.arange(size.sum()) - np.repeat(ends[:-1] - ends[0], size)] = flat[ends[0] : ends[-1]]
+            wide.sort(axis=1)
+            some = wide != np.iinfo(np.int64).max
+            again = np.zeros_like(some)
+            again[:, 1:] = (wide[:, 1:] == wide[:, :-1]) & some[:, 1:]
+            place = np.cumsum(some & ~again, axis=1)  # among the union's values
+            union = np.minimum(place[:, -1], K_SKETCH)
+            est = (again & (place <= K_SKETCH)).sum(axis=1) / np.maximum(union, 1)
+            keep = pa.array(est >= LOOSE)
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(est).filter(keep)], names=["a", "b", "est"])
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of like enough sizes and sketches, with their estimate."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = F.array_intersect("s_a", "s_b")
-    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, K_SKETCH)
-    est = F.size(F.array_intersect("_union", "_both")) / F.size("_union")
-    return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT))
-        .select("a", "b", both.alias("_both"), union.alias("_union"))
-        .select("a", "b", est.alias("est")).where(F.col("est") >= LOOSE)
-    )
-
-
-def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """rep, comp: the smallest rep that edges (a, b) reach. nodes: rep, comp so far. Hooking and pointer jumping."""
-    state = nodes
+    like = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b", "s_a", "s_b").mapInArrow(_overlap, "a long, b long, est double")
+
+
+def _components(state: DataFrame, links: DataFrame) -> DataFrame:
+    """state (rep, comp) after links (a, b): the labels that links join are contracted, and each takes the smallest it reaches,
+    by the smallest label of a neighbour and the label of its own label, until nothing moves."""
+    # few links or labels are broadcast, so that a round on them deals nothing out; what is more is joined by shuffles
+    ends = state.select(F.col("rep").alias("a"), F.col("comp").alias("x")).join(small(links), "a")
+    ends = state.select(F.col("rep").alias("b"), F.col("comp").alias("y")).join(ends, "b").where("x <> y")
+    both = materialise(ends.select("x", "y").union(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "hooks")
+    labels = materialise(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("low")), "labels")
+    few = labels.count() <= SMALL
+    held = lambda df: F.broadcast(df) if few else df
     while True:
-        ends = edges.join(state.select(F.col("rep").alias("a"), F.col("comp").alias("x")), "a").join(state.select(F.col("rep").alias("b"), F.col("comp").alias("y")), "b")
-        cross = ends.where("x <> y").select(F.greatest("x", "y").alias("high"), F.least("x", "y").alias("low"))
-        hooks = materialise(cross.groupBy("high").agg(F.min("low").alias("low")), "hooks")
-        if hooks.isEmpty():
-            release(hooks)
-            return state
-        while True:  # each hook points lower, so jumping ends; it halves the depth each time
-            jumped = hooks.alias("p").join(hooks.select(F.col("high").alias("low"), F.col("low").alias("next")), "low", "left")
-            jumped = materialise(jumped.select("high", F.coalesce("next", "low").alias("low"), F.col("next").isNotNull().alias("moved")), "jump")
-            release(hooks)
-            hooks, more = jumped, not jumped.where("moved").isEmpty()
-            if not more:
-                break
-        was = state
-        state = materialise(state.join(hooks.select(F.col("high").alias("comp"), "low"), "comp", "left").select("rep", F.coalesce("low", "comp").alias("comp")), "components")
-        release(hooks, *([was] if was is not nodes else []))
-
-
-def _settle(open_pairs: DataFrame, state: DataFrame, texts: DataFrame) -> DataFrame:
-    """The components once every candidate pair is verified or lies inside one of them."""
-    most = A_ROUND
-    while not open_pairs.isEmpty():
-        open_pairs, state = _round(open_pairs, state, texts, most)
-        most *= 8
+        near = both.join(held(labels.select(F.col("x").alias("y"), "low")), "y").groupBy("x").agg(F.min("low").alias("near"))
+        best = near.join(held(labels), "x").select("x", "low", F.least("low", "near").alias("now"))
+        jump = best.join(held(labels.select(F.col("x").alias("now"), F.col("low").alias("next"))), "now", "left")
+        new = materialise(jump.select("x", F.least("now", F.coalesce("next", "now")).alias("low"), (F.least("now", F.coalesce("next", "now")) < F.col("low")).alias("moved")), "labels")
+        still = new.where("moved").isEmpty()
+        release(labels)
+        labels = new.select("x", "low")
+        if still:
+            break
+    out = materialise(state.join(held(labels.select(F.col("x").alias("comp"), "low")), "comp", "left").select("rep", F.coalesce("low", "comp").alias("comp")), "components")
+    release(both, labels)
+    return out
+
+
+def _settle(open_pairs: DataFrame, state: DataFrame, sets: DataFrame) -> DataFrame:
+    """The components once every candidate pair is verified or lies inside one of them: first each component's best pairs that
+    lead out of it, then what still does. `sets` has the full set of every class that a pair names."""
+    comp = lambda x, y: small(state).select(F.col("rep").alias(x), F.col("comp").alias(y))
+    for last in (False, True):
+        cross = open_pairs.join(comp("a", "x"), "a").join(comp("b", "y"), "b").where("x <> y")
+        if not last:
+            # the larger label ranks a pair: a large component's partners choose it, it does not choose among them
+            best = Window.partitionBy("high").orderBy(F.desc("est"), "a", "b")
+            open_pairs = materialise(cross.withColumn("high", F.greatest("x", "y")).withColumn("n", F.row_number().over(best)).select("a", "b", "n"), "open")
+            cross = open_pairs.where(F.col("n") <= A_ROUND)
+        links = verify(cross, sets)
+        if not last:
+            open_pairs = open_pairs.where(F.col("n") > A_ROUND)
+        if not links.isEmpty():
+            state = _components(state, links)
+        release(links)
     return state
 
 
-def _round(open_pairs: DataFrame, state: DataFrame, texts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Verify each component's best pairs that lead out of it. What is left open, and the components then."""
-    comp = lambda x, y: state.select(F.col("rep").alias(x), F.col("comp").alias(y))
-    cross = open_pairs.join(comp("a", "x"), "a").join(comp("b", "y"), "b").where("x <> y")
-    # the smaller label alone ranks a pair: a large component's partners choose it, it does not choose among them
-    best = Window.partitionBy("high").orderBy(F.desc("est"), "a", "b")
-    ranked = materialise(cross.withColumn("high", F.greatest("x", "y")).withColumn("_n", F.row_number().over(best)).select("a", "b", "est", "_n"), "open")
-    links = verify(ranked.where(F.col("_n") <= most), texts)
-    new = state if links.isEmpty() else _components(state, links)
-    release(links)
-    return ranked.where(F.col("_n") > most).select("a", "b", "est"), new
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Texts travel to their pairs, one pair a row."""
-    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
-    held = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("full").alias(f"set_{x}"))
+    held = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
     return materialise(held.mapInArrow(_verify, "a long, b long"), "links")
 
 
@@ -178,15 +199,14 @@ def components(docs: DataFrame) -> DataFrame:
     state = _link(reps, docs, made)
     # a component's id is the smallest doc_id in it; classes are named by a hash of their mark so that a doc_id may repeat
     smallest = state.join(reps.select("rep", "label"), "rep").groupBy("comp").agg(F.min("label").alias("component"))
-    known = reps.select("mark", "rep").join(state, "rep").join(smallest, "comp").select("mark", "component")
+    known = reps.select("mark", "rep", "label").join(state, "rep", "left").join(smallest, "comp", "left").select("mark", F.coalesce("component", "label").alias("component"))
     out = made.select("doc_id", "n_shingles", "mark").join(known, "mark", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def _link(reps: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
-    """rep, comp for every class."""
-    nodes = materialise(reps.select("rep", F.col("rep").alias("comp")), "nodes")
+    """rep, comp for every class that some pair names."""
     posts = reps.select("rep", "n_shingles", F.posexplode(F.slice("sketch", 1, LISTED)).alias("at", "value"))
     lists = materialise(posts.groupBy("value").count().where("count > 1").withColumnRenamed("count", "size"), "lists")
     posts = materialise(posts.join(lists, "value"), "posts")
@@ -200,45 +220,52 @@ def _link(reps: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
     many = hot_posts.groupBy("rep", "n_shingles").count().where(F.col("count") >= enough).select("rep", enough.alias("enough"))
     hot = materialise(hot_posts.join(many, "rep").select("value", "rep", "n_shingles", "enough"), "hot")
     involved = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).union(hot.select("rep")).distinct()
-    # one row of each class that some pair names, with its text
-    wanted = reps.join(involved, "rep", "left_semi").select("rep", "label", "mark")
+    nodes = materialise(involved.select("rep", F.col("rep").alias("comp")), "nodes")
+    # the full set of each class that some pair names
+    wanted = reps.join(nodes, "rep", "left_semi").select("rep", "label", "mark")
     named = made.join(wanted.select("mark", "rep"), "mark").where(F.col("doc_id").isNotNull()).groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark"))
-    texts = materialise(_texts(docs, named), "texts")
-    state = _settle(candidates, nodes, texts)
+    sets = materialise(_sets(docs, named), "sets")
+    state = _settle(candidates, nodes, sets)
     pivots, done = 1, None
     while not hot.isEmpty():
-        at = hot.join(state, "rep")
+        at = hot.join(small(state), "rep")
         sizes = at.groupBy("value", "comp").count()
         main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        at = at.join(main, "value")
+        at = at.join(small(materialise(main, "main")), "value")
         outside = at.where("comp <> main")
         if done is not None:
-            outside = outside.join(done, "rep", "left_anti")
+            outside = outside.join(small(done), "rep", "left_anti")
         first = Window.partitionBy("value").orderBy(F.xxhash64("rep"), "rep")
         now = materialise(outside.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= pivots).select("rep").distinct(), "pivots")
         if now.isEmpty():
             break
-        chosen = at.join(now, "rep").select("value", F.col("rep").alias("pivot"), F.col("comp").alias("own"), F.col("n_shingles").alias("n_pivot"), F.col("enough").alias("enough_pivot"))
+        chosen = at.join(small(now), "rep").select("value", F.col("rep").alias("pivot"), F.col("comp").alias("own"), F.col("n_shingles").alias("n_pivot"), F.col("enough").alias("enough_pivot"))
         like = F.least("n_shingles", "n_pivot") * 100 >= F.greatest("n_shingles", "n_pivot") * PERCENT
         met = at.join(chosen, "value").where((F.col("comp") != F.col("own")) & like)
         met = met.groupBy("pivot", "rep").agg(F.count("*").alias("shared"), F.min(F.least("enough", "enough_pivot")).alias("least"))
         met = met.where("shared >= least").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        state = _settle(materialise(_estimate(met, reps), "candidates"), state, texts)
+        state = _settle(materialise(_estimate(met, reps), "candidates"), state, sets)
         done = now if done is None else done.union(now)
         pivots *= 8
     return state
 
 
-def _texts(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """rep, text of the classes in named (rep, doc_id). A doc_id with several texts gives the one of the class."""
+def _sets(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """rep, full (its sorted shingle hashes) of the classes in named (rep, doc_id, mark). Of a doc_id's texts, those of the class."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [blake2b(s.tobytes(), digest_size=16).digest() == m for s, m in zip(shingle_sets(batch.column("text")), batch.column("mark").to_pylist(), strict=True)]
-            yield batch.select(["rep", "text"]).filter(pa.array(ok, pa.bool_()))
-
-    return held.select("rep", "text", "mark").mapInArrow(pick, "rep long, text string").dropDuplicates(["rep"])
+            rows, full = [], []
+            for i, (s, m) in enumerate(zip(shingle_sets(batch.column("text")), batch.column("mark").to_pylist(), strict=True)):
+                if blake2b(s.tobytes(), digest_size=16).digest() == m:
+                    rows.append(i)
+                    full.append(s)
+            ends = np.cumsum([0, *map(len, full)]).astype(np.int32)
+            flat = pa.array(np.concatenate(full) if full else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["rep", "full"])
+
+    return held.select("rep", "text", "mark").mapInArrow(pick, "rep long, full array<long>").dropDuplicates(["rep"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

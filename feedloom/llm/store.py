@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of at most a few small columns that small() lets a join broadcast: a few MB.
+SMALL = 100_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has few (Parquet footers tell), else as it is."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by materialise() once nothing that is still to run reads them.
 
