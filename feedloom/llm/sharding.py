@@ -51,7 +51,7 @@ def plan(slot_bytes: DataFrame, shards: int) -> DataFrame:
     return placed.select(F.explode(F.arrays_zip(F.col("slots.vslot").alias("vslot"), F.col("to").alias("to"))).alias("x")).select(F.col("x.vslot").alias("vslot"), F.col("x.to").alias("shard"))
 
 
-def rebalance(slot_bytes: DataFrame, old: DataFrame, shards: int, over: float = 0.02) -> DataFrame:
+def rebalance(slot_bytes: DataFrame, old: DataFrame, shards: int, over: float = 0.005) -> DataFrame:
     """The map `old` (vslot, shard) edited for so many shards: a shard gives up its lightest slots only while it is heavier than
     its fair share by more than `over`; what is given up, and slots of shards that are gone, go to the lightest."""
     had = slot_bytes.join(old, "vslot", "left")
