@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licenses, mixing, neardup, sharding, substrings, tokens
+from . import ann, decontaminate, langid, licenses, linededup, mixing, neardup, sharding, substrings, tokens
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.remove(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,7 +58,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_benchmark_decontamination, op3_sharding, op4_language_id, op5_nearest_neighbours, op6_minhash_near_dedup,
+        op1_benchmark_decontamination, op2_line_dedup, op3_sharding, op4_language_id, op5_nearest_neighbours, op6_minhash_near_dedup,
         op7_token_shards, op8_license_scan, op9_mixing, op10_substring_dedup,
     )
 }
