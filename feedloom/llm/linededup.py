@@ -1,48 +1,82 @@
-"""Removing multi-line chunks that an earlier document holds, with content-defined boundaries.
+"""Removing runs of two lines and more that an earlier place holds.
 
-A chunk ends after a line where a rolling hash over this line's hash and the one before is 0 modulo MEAN, so an insertion
-moves only the boundaries beside it. Chunks are grouped by their text itself, which compares their bytes; a chunk of
-at least two lines goes where a smaller doc_id has it. Null texts have no lines; a null doc_id removes nothing and keeps all.
+A run of lines repeats if and only if each two lines in a row of it do, so every place's two lines are looked up by a
+BLAKE2b hash of 128 bits of their bytes, and both lines of a pair go where the pair stands at an earlier place. Boundaries
+chosen by content would not do: of a passage of two lines they never hold both ends.
+
+Places are ordered by doc_id (null last), a digest of the text and the line; a pair goes where another row holds it earlier.
+The first of equal lines always stays. Single lines are not removed. Null texts have no lines and give no row.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from hashlib import blake2b, sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEAN = 3
+from .store import materialise
+
+#: Pairs at more places than this, and than one in HOT_SHARE of all, are looked up in a broadcast table: at most HOT_SHARE.
+HOT, HOT_SHARE = 1000, 50_000
 
 
-def chunks(text: str | None) -> list[list[str]]:
-    out: list[list[str]] = []
-    held: list[str] = []
-    before = 0
-    for line in text.split("\n") if text is not None else []:
-        now = zlib.crc32(line.encode())
-        held.append(line)
-        if zlib.crc32(f"{before}:{now}".encode()) % MEAN == 0:
-            out.append(held)
-            held = []
-        before = now
-    return [*out, held] if held else out
+def pairs(text: str | None) -> list[bytes]:
+    """A hash of each two lines in a row, by the place of the first."""
+    lines = text.encode().split(b"\n") if text is not None else []
+    return [blake2b(a + b"\n" + b, digest_size=16).digest() for a, b in zip(lines, lines[1:])]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(d, i, len(c), "\n".join(c)) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, c in enumerate(chunks(t))]
-        cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "pos", "n", "chunk"])
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            held = [pairs(t) for t in part.column("text").to_pylist()]
+            own = pa.array([i for i, h in enumerate(held) for _ in h], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(own), part.column("mark").take(own), pa.array([p for h in held for p in range(len(h))], pa.int32()), pa.array([x for h in held for x in h], pa.binary())],
+                names=["doc_id", "mark", "pos", "pair"],
+            )
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            n, removed, digest = [], [], []
+            for text, spots in zip(*(part.column(c).to_pylist() for c in ("text", "spots")), strict=True):
+                lines = text.split("\n") if text is not None else []
+                gone = {p + k for p in spots or () for k in (0, 1)}
+                kept = "\n".join(x for i, x in enumerate(lines) if i not in gone) if text is not None else None
+                n.append(len(lines))
+                removed.append(len(gone))
+                digest.append(sha256(kept.encode()).hexdigest() if kept is not None else None)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
+                names=["doc_id", "n_lines", "n_removed", "kept_sha256"],
+            )
+
+
+def _repeats(held: DataFrame) -> DataFrame:
+    """doc_id, mark, spots: the places whose two lines stand at an earlier place."""
+    found = materialise(held.mapInArrow(_pairs, "doc_id long, mark binary, pos int, pair binary"), "line-pairs")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "pos")
+    first = found.groupBy("pair").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialise(first, "first-pairs")
+    often = F.col("n") > max(HOT, found.count() // HOT_SHARE)
+    hot, rest = F.broadcast(first.where(often).drop("n")), first.where(~often).drop("n")
+    again = found.join(hot, "pair").unionByName(found.join(hot.select("pair"), "pair", "left_anti").join(rest, "pair"))
+    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))
+    return again.where(~same).groupBy("doc_id", "mark").agg(F.collect_list("pos").alias("spots"))
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 (kept chunks joined by line ends), one row for each doc_id with lines."""
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks, "doc_id long, pos int, n long, chunk string")
-    first = held.where("n > 1").groupBy("chunk").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("chunk", "least")
-    gone = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))
-    marked = held.join(first, "chunk", "left").withColumn("gone", gone)
-    kept = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("pos", "chunk")))), lambda x: x["chunk"]), "\n")
-    return marked.groupBy("doc_id").agg(F.sum("n").alias("n_lines"), F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("n_removed"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_removed, kept_sha256 (lines kept, joined by line ends), one row for each text."""
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("mark", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
+    spots = _repeats(held.where(F.contains("text", F.lit("\n")))).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    lines = held.where(F.contains("text", F.lit("\n")))
+    many = lines.join(spots, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("doc_id", "text", "spots")
+    few = held.where(~F.contains("text", F.lit("\n"))).select("doc_id", "text", F.lit(None).cast("array<int>").alias("spots"))
+    return many.unionByName(few).mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, kept_sha256 string")

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from feedloom.llm import ann, decontaminate, langid, licenses, mixing, neardup, queries, sharding, substrings, tokens
+from feedloom.llm import ann, decontaminate, langid, licenses, linededup, mixing, neardup, queries, sharding, substrings, tokens
 from feedloom.llm.store import new_path
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -362,6 +362,36 @@ def test_windows_share_anchors():
         assert all((g == got[0]).all() for g in got)
 
 
+# --- lines
+
+
+def lines_left(rows):
+    """By brute force: the rows' lines that are in no run of two lines and more that an earlier place holds."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, hashlib.sha256((rows[i][1] or "").encode()).digest()[:16]))
+    seen, out = {}, [None] * len(rows)
+    for i in order:
+        lines = rows[i][1].split("\n") if rows[i][1] is not None else []
+        gone = set()
+        for p in range(len(lines) - 1):
+            first = seen.setdefault(tuple(lines[p : p + 2]), (i, p))
+            if first[0] != i or first[1] + 1 < p:
+                gone |= {p, p + 1}
+        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone) if rows[i][1] is not None else None
+        out[i] = (rows[i][0], kept, len(lines), len(gone), hashlib.sha256(kept.encode()).hexdigest() if kept is not None else None)
+    return collections.Counter(out)
+
+
+def test_planted_passages_go_whole(spark):
+    rows = []
+    for n in range(2, 22):
+        passage = [prose(1000 * n + k, 6) for k in range(n)]
+        for copy in range(2):
+            before, after = ([prose(50_000 + 1000 * n + 100 * copy + 10 * side + k, 5) for k in range(3)] for side in range(2))
+            rows.append((100 * n + copy, "\n".join([*before, *passage, *after])))
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 100 if i % 100 else 0 for i, _ in rows}
+
+
 # --- pipeline
 
 
