@@ -4,8 +4,10 @@ A run of lines repeats if and only if each two lines in a row of it do, so every
 BLAKE2b hash of 128 bits of their bytes, and both lines of a pair go where the pair stands at an earlier place. Boundaries
 chosen by content would not do: of a passage of two lines they never hold both ends.
 
-Places are ordered by doc_id (null last), a digest of the text and the line; a pair goes where another row holds it earlier.
-The first of equal lines always stays. Single lines are not removed. Null texts have no lines and give no row.
+Places are ordered by doc_id (null last), a digest of the text and the line; a pair that overlaps its first place (three
+equal lines) is no repeat of it. The first of equal lines always stays. Single lines are not removed.
+Rows of one doc_id are rows of their own; of rows that are equal in doc_id and text, one comes first. Each row of the
+input gives one; a null text has no lines.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialise
@@ -45,17 +47,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            n, removed, digest = [], [], []
-            for text, spots in zip(*(part.column(c).to_pylist() for c in ("text", "spots")), strict=True):
+            texts, n, removed, digest = [], [], [], []
+            for text, copy, spots in zip(*(part.column(c).to_pylist() for c in ("text", "copy", "spots")), strict=True):
                 lines = text.split("\n") if text is not None else []
-                gone = {p + k for p in spots or () for k in (0, 1)}
+                if copy > 1 and len(lines) > 1:  # an equal row holds every pair
+                    gone = set(range(len(lines)))
+                else:
+                    gone = {p + k for p in spots or () for k in (0, 1)}
                 kept = "\n".join(x for i, x in enumerate(lines) if i not in gone) if text is not None else None
+                texts.append(kept)
                 n.append(len(lines))
                 removed.append(len(gone))
                 digest.append(sha256(kept.encode()).hexdigest() if kept is not None else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
-                names=["doc_id", "n_lines", "n_removed", "kept_sha256"],
+                [part.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
+                names=["doc_id", "text", "n_lines", "n_removed", "kept_sha256"],
             )
 
 
@@ -69,14 +75,16 @@ def _repeats(held: DataFrame) -> DataFrame:
     hot, rest = F.broadcast(first.where(often).drop("n")), first.where(~often).drop("n")
     again = found.join(hot, "pair").unionByName(found.join(hot.select("pair"), "pair", "left_anti").join(rest, "pair"))
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))
-    return again.where(~same).groupBy("doc_id", "mark").agg(F.collect_list("pos").alias("spots"))
+    later = ~same | (F.col("pos") > F.col("first.pos") + 1)
+    return again.where(later).groupBy("doc_id", "mark").agg(F.collect_list("pos").alias("spots"))
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 (lines kept, joined by line ends), one row for each text."""
+    """doc_id, text (the lines kept, joined by line ends), n_lines, n_removed, kept_sha256 (of that text), one row for each of docs."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("mark", F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16))
     spots = _repeats(held.where(F.contains("text", F.lit("\n")))).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
     lines = held.where(F.contains("text", F.lit("\n")))
-    many = lines.join(spots, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("doc_id", "text", "spots")
-    few = held.where(~F.contains("text", F.lit("\n"))).select("doc_id", "text", F.lit(None).cast("array<int>").alias("spots"))
-    return many.unionByName(few).mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    copy = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(F.lit(0)))
+    many = lines.withColumn("copy", copy).join(spots, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("doc_id", "text", "copy", "spots")
+    few = held.where(~F.coalesce(F.contains("text", F.lit("\n")), F.lit(False))).select("doc_id", "text", F.lit(1).alias("copy"), F.lit(None).cast("array<int>").alias("spots"))
+    return many.unionByName(few).mapInArrow(_cut, "doc_id long, text string, n_lines long, n_removed long, kept_sha256 string")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom.llm import ann, decontaminate, langid, licenses, linededup, mixing, neardup, queries, sharding, substrings, tokens
 from feedloom.llm.store import new_path
@@ -392,6 +393,26 @@ def test_planted_passages_go_whole(spark):
     assert got == {i: i // 100 if i % 100 else 0 for i, _ in rows}
 
 
+@pytest.mark.parametrize("hot", [linededup.HOT, 1])
+def test_lines_by_row(spark, hot, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", hot)
+    a, b = "one\ntwo\nthree", "x\none\ntwo\ny\none\ntwo\n"
+    rows = [
+        (1, b), (2, a), (2, a), (2, "four\n" + a), (3, None), (4, ""), (4, "lone"), (None, "new\nlines"), (None, "new\nlines"), (None, a), (None, None), (None, "own\n\ntext"),
+        (5, "r\nr\nr"), (6, "s\ns\ns\ns"), (7, "r\nr"), (8, "two\nthree\none"), (9, "\n\n\n\n"), (9, "\n\n\n\n"), (10, "dä\nß\r\nz"), (11, "q\ndä\nß\r"),
+    ]
+    got = linededup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed", "kept_sha256"]
+    assert collections.Counter(map(tuple, got.collect())) == lines_left(rows)
+
+
+def test_lines_of_a_table(spark, docs, sf_dir):
+    held = queries.read(spark, sf_dir, "documents").select("doc_id", "text")
+    for t in (held, held.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.floor(F.col("doc_id") / 4))), docs):
+        assert collections.Counter(map(tuple, linededup.remove(t).collect())) == lines_left([(r["doc_id"], r["text"]) for r in t.collect()])
+    assert linededup.remove(empty(docs)).count() == 0
+
+
 # --- pipeline
 
 
