@@ -6,8 +6,10 @@ escape's, -log2(distinct / (total + distinct)), plus the code length in the cont
 order 0 all 256 bytes are equally likely. A context that a language never saw costs nothing to leave. A text's
 language is the one whose tree codes the whole text in the fewest bits.
 
-Training is bounded: whole documents in the order of a hash of their id, at most `docs_per_lang` and
-`bytes_per_lang` a language (the first document is taken whatever its length). Scoring reads every byte.
+Training is bounded: documents in the order of a hash of their id, at most `docs_per_lang` and `bytes_per_lang` a
+language. Texts of up to a tenth of `bytes_per_lang` come first and are taken whole; of longer ones, which come after
+them, the beginning is taken. So the bytes end less than a tenth short of the bound, or the documents do, and one long
+text neither uses them up nor reaches the driver whole. Scoring reads every byte.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Equal code lengths go to the
 smaller language name. Without any training rows every text is `und`. Repeated rows are scored each; an empty
@@ -178,16 +180,19 @@ def train(samples: dict[str, list[str]], order: int = ORDER) -> Model:
 
 def sample(docs: DataFrame, docs_per_lang: int = 300, bytes_per_lang: int = 600_000) -> dict[str, list[str]]:
     """The bounded training sample; docs has doc_id, text and lang."""
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.xxhash64("text")]
+    most = max(4, bytes_per_lang // 10)
+    long = F.octet_length("text") > most
+    order = [F.col("_long"), F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("_tie")]
     rows = (
         docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+        .select("doc_id", "lang", long.alias("_long"), F.xxhash64("text").alias("_tie"), F.when(long, F.substring("text", 1, most // 4)).otherwise(F.col("text")).alias("text"))  # a character has four bytes at most
         .withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
         .where(F.col("_n") <= docs_per_lang)
-        .withColumn("_before", F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("_n")) - F.octet_length("text"))
-        .where((F.col("_before") <= bytes_per_lang - F.octet_length("text")) | (F.col("_n") == 1))
+        .withColumn("_bytes", F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("_n")))
+        .where(F.col("_bytes") <= bytes_per_lang)
     )
     out: dict[str, list[str]] = {}
-    for r in rows.select("lang", "text").collect():  # at most bytes_per_lang, or one document, a language
+    for r in rows.select("lang", "text").collect():  # at most bytes_per_lang a language
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 

@@ -129,6 +129,22 @@ def test_language(spark, docs, sf_dir):
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", docs["lang"].substr(9, 1)).where("lang is null")).collect()} == {"und"}
 
 
+def test_sample_is_filled_beside_long_texts(spark):
+    order = [r["id"] for r in spark.range(100).orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
+    for place in (0, 1, 2):
+        for size in (100_000, 59_000):
+            rows = [(i, prose(i, 200) if i != order[place] else "z" * size, "en") for i in order] + [(1000, "long only " * 9000, "de"), (1001, "", "fr")]
+            held = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+            got = langid.sample(held, bytes_per_lang=60_000)
+            texts = dict(rows_[:2] for rows_ in rows)
+            whole = {t for t in texts.values() if len(t) <= 6000}
+            used = [len(t) for t in got["en"]]
+            assert sum(used) <= 60_000 and sum(used) > 54_000 and set(got["en"]) <= whole and set(got) == {"en", "de"}
+            assert got["de"] == ["long only " * 150]
+    short = langid.sample(held.where("doc_id < 100").limit(20), bytes_per_lang=60_000)["en"]
+    assert len(short) == 20
+
+
 def test_code_lengths():
     model = langid.train({"a": ["abab abab", "abba"], "b": ["xyz xyz zyx"]})
     counts = [collections.defaultdict(collections.Counter) for _ in range(2)]
