@@ -15,8 +15,8 @@ Bounds: at most MAX_BLOCKS blocks, so their centres are the same few MB on any d
 block and at most CHUNK queries.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do those
-whose length differs from the first one's. A null vec_id takes no part. Repeated ids: each row is a candidate, an id
-is named once, with its best score, and never for itself. Equal scores go to the smaller vec_id. Fewer candidates
+whose length differs from the first one's. A null vec_id takes no part. Repeated ids: each row is a candidate and
+a query, an id is named once, with the best score of its rows, and never for itself; k counts ids. Equal scores go to the smaller vec_id. Fewer candidates
 than k give them all; empty tables give an empty result.
 """
 
@@ -96,30 +96,40 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def best(queries: np.ndarray, own: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k best of data as (query's row, data's row, score): scores summed pair by pair, ties to smaller ids."""
-    rows, cols, values = [], [], []
+    """For each query its k best ids of data as (query's row, data's row, score), an id by its best row: scores summed pair by pair, ties to smaller ids."""
+    rows, cols, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     scale = np.linalg.norm(queries, axis=1) * (np.linalg.norm(data, axis=1).max() if len(data) else 0)
+    names, code = np.unique(ids, return_inverse=True)
+    again = len(names) < len(ids)
+    if again:
+        order = np.argsort(code, kind="stable")
+        starts = np.searchsorted(code[order], np.arange(len(names)))
     for at in range(0, len(queries), 512):
         q, slack = queries[at : at + 512], SLACK * scale[at : at + 512, None]
         rough = q @ data.T
         rough[own[at : at + 512, None] == ids[None, :]] = -np.inf
-        floor = np.partition(rough, -k, axis=1)[:, -k][:, None] if rough.shape[1] > k else np.full((len(q), 1), -np.inf)
+        of_id = np.maximum.reduceat(rough[:, order], starts, axis=1) if again else rough
+        floor = np.partition(of_id, -k, axis=1)[:, -k][:, None] if of_id.shape[1] > k else np.full((len(q), 1), -np.inf)
         if least is not None:
             floor = np.maximum(floor, least[at : at + 512, None])
-        i, j = np.nonzero((rough >= floor - slack) & np.isfinite(rough))
-        for a in range(0, len(i), 1 << 15):
-            score = (q[i[a : a + (1 << 15)]] * data[j[a : a + (1 << 15)]]).sum(axis=1)
-            rows.append(at + i[a : a + (1 << 15)])
-            cols.append(j[a : a + (1 << 15)])
-            values.append(score)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    i, j, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-    order = np.lexsort((ids[j], -s, i))
-    i, j, s = i[order], j[order], s[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
-    keep = rank < k
-    return i[keep], j[keep], s[keep]
+        near = (rough >= floor - slack) & np.isfinite(rough)
+        if again:  # of an id's rows, those that can be its best
+            near &= rough >= of_id[:, code] - slack
+        i, j = np.nonzero(near)
+        s = np.concatenate([np.zeros(0), *((q[i[a : a + (1 << 15)]] * data[j[a : a + (1 << 15)]]).sum(axis=1) for a in range(0, len(i), 1 << 15))])
+        if again:
+            first = np.lexsort((j, -s, code[j], i))
+            i, j, s = i[first], j[first], s[first]
+            one = np.ones(len(i), bool)
+            one[1:] = (i[1:] != i[:-1]) | (code[j[1:]] != code[j[:-1]])
+            i, j, s = i[one], j[one], s[one]
+        ranked = np.lexsort((ids[j], -s, i))
+        i, j, s = i[ranked], j[ranked], s[ranked]
+        keep = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+        rows.append(at + i[keep])
+        cols.append(j[keep])
+        values.append(s[keep])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -131,6 +141,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return held.where(F.size("embedding") == first[0]["n"]) if first else held
 
 
+def _once(held: DataFrame) -> DataFrame:
+    """held with one of each id's equal rows, which would crowd windows and meet in one block; nothing is done if ids do not repeat."""
+    again = held.groupBy("vec_id").count().where("count > 1")
+    return held if again.isEmpty() else materialise(held.dropDuplicates(["vec_id", "embedding"]), "vectors")
+
+
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -179,7 +195,7 @@ def _windows(every: int, k: int):
 
 def search(vectors: DataFrame, every: int = 20, k: int = TOP, check: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`."""
-    held = usable(vectors)
+    held = _once(usable(vectors))
     n = held.count()
     blocks = int(min(MAX_BLOCKS, max(1, -(-n // BLOCK))))
     ordered = held.mapInArrow(_ordered, "curve int, key long, vec_id long, embedding array<double>")
@@ -188,7 +204,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = TOP, check: bool = True
     if not check:
         return near
     near = materialise(near, "near")
-    found = _check(held, near, n, blocks, every, k)
+    found = _check(held, near, blocks, every, k)
     return _top(near.select("query_id", "vec_id", "score").union(found), k)
 
 
@@ -198,7 +214,7 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _check(held: DataFrame, near: DataFrame, n: int, blocks: int, every: int, k: int) -> DataFrame:
+def _check(held: DataFrame, near: DataFrame, blocks: int, every: int, k: int) -> DataFrame:
     """What blocks hold that reaches a query's k-th score so far."""
     spark = held.sparkSession
 
@@ -226,9 +242,9 @@ def _check(held: DataFrame, near: DataFrame, n: int, blocks: int, every: int, k:
     centres, radii = np.array([r["centre"] for r in summary]), np.array([r["radius"] for r in summary])
     bounds = spark.sparkContext.broadcast((number, centres, radii))
     least = near.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
-    queries = held.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id"])
-    chunks = int(max(1, -(-n // (every * CHUNK))))
-    queries = queries.join(least, "query_id", "left").select("query_id", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"), F.coalesce("least", F.lit(float("-inf"))).alias("least"), "embedding")
+    queries = held.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
+    chunks = int(max(1, -(-queries.count() // CHUNK)))
+    queries = queries.join(least, "query_id", "left").select("query_id", F.pmod(F.xxhash64("query_id", "embedding"), F.lit(chunks)).cast("int").alias("chunk"), F.coalesce("least", F.lit(float("-inf"))).alias("least"), "embedding")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, centres, radii = bounds.value

@@ -198,6 +198,29 @@ def test_neighbours(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((600, 12))
+    ids = np.arange(600)
+    ids[200:400] = 7  # a third of the rows, different vectors
+    ids[400:430] = 11
+    x[400:430] = x[11]
+    ids[430:450] = 20  # a query of 21 rows
+    x[450:480], ids[450:480] = x[60] + 1e-3 * x[450:480], 61
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for t in (table, table.union(table)):
+        got = ann.search(t).collect()
+        for q in {int(i) for i in ids if i % 20 == 0}:
+            s = (x @ x[ids == q].T).max(axis=1)
+            top = {int(i): s[ids == i].max() for i in ids if i != q}
+            want = sorted(top, key=lambda i: (-top[i], i))[:20]
+            mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+            assert [r["vec_id"] for r in mine] == want and np.allclose([r["score"] for r in mine], [top[i] for i in want])
+    few = spark.createDataFrame([(0, [1.0, 0.0])] + [(1, [1.0, 0.1 * k]) for k in range(1, 40)] + [(i, [0.5, 0.01 * i]) for i in range(2, 22)], "vec_id long, embedding array<double>")
+    assert len({r["vec_id"] for r in ann.search(few).where("query_id = 0").collect()}) == 20
+
+
 def test_hilbert_is_a_curve():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     at = np.argsort(ann.hilbert(cells, 3))
