@@ -21,8 +21,8 @@ that still lead out of a component; pairs inside one need no more work. Componen
 pointer jumping on DataFrames; every round is cut by a table in the shared folder.
 
 Defined results: a null or wordless text has an empty set and links with nothing. Repeated rows and copies share
-a class. A null doc_id gets no class of its own: its row has null component_id and kept false, but where the set is
-shared it changes nothing for the others. Two rows of one doc_id with different texts are both linked to
+a class. For `components` a null doc_id gets no class of its own: its row has null component_id and kept false, but where
+the set is shared it changes nothing for the others; `keep_one` decides on such rows too. Two rows of one doc_id with different texts are both linked to
 that id. An empty table gives an empty result. Other columns are dropped by `components` and kept by `keep_one`.
 """
 
@@ -33,7 +33,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -79,12 +79,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat.append(s[:K_SKETCH])
             ends.append(ends[-1] + len(flat[-1]))
         values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "n_shingles", "mark", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "key", "n_shingles", "mark", "sketch"])
+
+
+def _key() -> Column:
+    return F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, mark (of the whole set; null if empty), sketch."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, mark binary, sketch array<long>")
+    """doc_id, key (of the text), n_shingles, mark (of the whole set; null if empty), sketch."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key")).mapInArrow(_sketch, "doc_id long, key binary, n_shingles long, mark binary, sketch array<long>")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +194,11 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row for each of docs (doc_id, text)."""
+    return _by_row(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """What components() gives, with key and mark."""
     made = materialise(sketches(docs), "sketches")
     classes = made.where(F.col("mark").isNotNull() & F.col("doc_id").isNotNull()).groupBy("mark").agg(F.min("doc_id").alias("rep"))
     classes = materialise(classes, "classes")
@@ -200,9 +209,9 @@ def components(docs: DataFrame) -> DataFrame:
     # a component's id is the smallest doc_id in it; classes are named by a hash of their mark so that a doc_id may repeat
     smallest = state.join(reps.select("rep", "label"), "rep").groupBy("comp").agg(F.min("label").alias("component"))
     known = reps.select("mark", "rep", "label").join(state, "rep", "left").join(smallest, "comp", "left").select("mark", F.coalesce("component", "label").alias("component"))
-    out = made.select("doc_id", "n_shingles", "mark").join(known, "mark", "left")
+    out = made.select("doc_id", "key", "n_shingles", "mark").join(known, "mark", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "key", "mark", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def _link(reps: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
@@ -269,6 +278,32 @@ def _sets(docs: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns; of repeated rows, each."""
-    kept = components(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs, with all their columns, whose doc_id is the smallest of their own text's component; of repeated rows
+    with an id, each. Rows of null doc_id come after all others: of those in a component that no other row keeps, one stays.
+    Texts without words link with nothing, so all such rows stay."""
+    id_, key, set_ = (_free(docs, x) for x in ("_id", "_key", "_set"))
+    of = F.col("doc_id").cast("long")
+    ends = docs.agg(F.min(of).alias("least"), F.max(of).alias("most"), F.count("*").alias("n"), F.count(of).alias("named")).first()
+    nameless = ends["n"] > ends["named"]
+    if nameless:  # ids made of the texts, above all others; below them where no room is left
+        least, most = (ends["least"], ends["most"]) if ends["named"] else (0, 0)
+        at = F.pmod(F.xxhash64("text"), F.lit(1 << 62))
+        made = F.lit(most + 1) + at if most < (1 << 62) else F.lit(max(least - 1, -(1 << 63))) - F.pmod(at, F.lit(min(1 << 62, max(1, least + (1 << 63)))))
+        of = F.coalesce(of, made)
+    held = docs.withColumns({id_: of, key: _key()})
+    linked = _by_row(held.select(F.col(id_).alias("doc_id"), "text"))
+    kept = linked.where("kept").select(F.col("doc_id").alias(id_ + "k"), F.col("key").alias(key + "k"), F.col("mark").isNotNull().alias(set_)).distinct()
+    out = held.join(kept, (F.col(id_) == F.col(id_ + "k")) & F.col(key).eqNullSafe(F.col(key + "k")))
+    if nameless:
+        one = out.where(F.col("doc_id").isNull() & F.col(set_))
+        rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+        number = _free(docs, "_number")
+        one = one.withColumn(number, F.row_number().over(Window.partitionBy(id_, key).orderBy(F.xxhash64(*rest)))).where(F.col(number) == 1).drop(number)
+        out = out.where(F.col("doc_id").isNotNull() | ~F.col(set_)).unionByName(one)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    while any(c.startswith(name) for c in docs.columns):
+        name += "_"
+    return name

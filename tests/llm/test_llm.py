@@ -268,6 +268,26 @@ def test_near_duplicates(spark, docs, long_list, monkeypatch):
     assert neardup.components(docs).where("doc_id is null").first()["kept"] is False
 
 
+def test_keep_one_decides_by_row(spark):
+    a, b, c, d = (prose(300 + k, 120) for k in range(4))
+    near_b = b.replace(b.split()[60], "changed", 1)
+    rows = [
+        (None, a, "x"), (None, a, "y"), (None, a.upper(), "z"), (None, None, "x"), (None, None, "x"), (None, "", "x"), (None, "", "x"),  # one of a's, all the empty ones
+        (3, b, "x"), (5, near_b, "x"), (5, c, "x"), (5, c, "y"), (None, near_b, "x"), (None, c, "x"), (6, c, "x"),  # 5 stays with c only
+        (8, None, "x"), (None, d, "x"), (None, d + " more", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [tuple(r) for r in neardup.keep_one(docs).collect()]
+    assert sum(r[0] is None and (r[1] or "").lower() == a for r in got) == 1
+    assert sum(r[0] is None and not r[1] for r in got) == 4
+    assert sorted(r for r in got if r[0] is not None and r[1] is not None) == [(3, b, "x"), (5, c, "x"), (5, c, "y")]
+    assert (8, None, "x") in got and sum((r[1] or "").startswith(d) for r in got) == 1 and len(got) == 10
+    named = neardup.keep_one(docs.where("doc_id is not null"))
+    assert named.count() == 4 and named.columns == docs.columns
+    top = spark.createDataFrame([((1 << 63) - 1, a, "x"), (None, b, "x"), (None, a, "x")], docs.schema)
+    assert sorted(r["text"] for r in neardup.keep_one(top).collect()) == sorted([a, b])
+
+
 # --- tokens
 
 
