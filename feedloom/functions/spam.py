@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 
 from .text import cashtags, col
 
-#: Phrases that settle the matter, and hints that count.
-PHRASES = ("join my telegram", "join our telegram", "dm me for", "link in bio", "free signals", "guaranteed profit", "100x gem", "pump group")
-HINTS = ("moon", "gem", "100x", "airdrop", "presale", "whitelist", "giveaway", "bullish", "to the moon", "buy now", "don't miss", "signals", "profits", "alpha", "lfg", "pump")
+#: Phrases that settle the matter, and hints that count; the reference's, then our own.
+PHRASES = (
+    "guaranteed profit", "guaranteed return", "guaranteed income", "dm me for signals", "dm for signals", "dm me for profit", "100% win rate", "never lose", "copy my trades", "mirror my trades",
+    "copyable strat", "copyable trade", "go follow @", "stock market guru", "trading guru", "market guru", "investing guru", "start earning", "boost your income", "live trades",
+    "join my telegram", "join our telegram", "dm me for", "link in bio", "free signals", "100x gem", "pump group",
+)
+HINTS = (
+    "his picks", "her picks", "their picks", "his calls", "her calls", "their calls", "his trades", "her trades", "their trades", "his strategies", "her strategies", "their strategies",
+    "his stock picks", "her stock picks", "always go up", "never go down", "always goes up", "never goes down", "always surge", "always surges", "making a fortune", "making money every day",
+    "incredible", "impressive gains", "crushing it", "trade alerts", "trading signals", "quietly following", "been following", "follow @", "thanks to @", "stock picks", "worth following",
+    "recommending this", "profiting me", "steady gains", "consistent gains", "seeing gains", "earn over", "earning over",
+    "moon", "gem", "100x", "airdrop", "presale", "whitelist", "giveaway", "bullish", "to the moon", "buy now", "don't miss", "signals", "profits", "alpha", "lfg", "pump",
+)
 
 
 def any_phrase(text: Column | str, phrases: tuple[str, ...] = PHRASES) -> Column:

@@ -237,6 +237,18 @@ def p1_p2_t24_signals(spark, d):
     return read(spark, d, "documents").select("doc_id", S.any_phrase("text", ("airdrop", "token")).alias("phrase"), F.size(T.cashtags("text")).cast("long").alias("cashtags"), F.col("text").rlike("@[A-Za-z0-9_]+").alias("mention"))
 
 
+def _held(words: tuple[str, ...], by: str) -> str:
+    """Whether, or how many, of the words stand in low."""
+    quoted = [w.replace("'", "''") for w in words]
+    return by.join(f"contains(low, '{w}')::INT" for w in quoted)
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, lower(text) AS low, len(list_distinct(regexp_extract_all(upper(text), '\\$[A-Z]{{1,6}}\\b'))) AS cashtags FROM documents)
+SELECT doc_id, ({_held(S.PHRASES, " + ")}) > 0 OR cashtags >= 3 OR (regexp_matches(text, '@[A-Za-z0-9_]+') AND cashtags > 0 AND ({_held(S.HINTS, " + ")}) >= 2) AS spam FROM t""")
+def p1_p3_spam(spark, d):
+    return read(spark, d, "documents").select("doc_id", S.is_spam("text").alias("spam"))
+
+
 @query("SELECT * FROM (VALUES (1::BIGINT, true), (2, true), (3, false)) v(id, spam)")
 def p6_video_spam(spark, d):
     return spark.createDataFrame([(1, "#a #b #c $d"), (2, "BUY AAPL, MSFT, TSLA, NVDA now"), (3, "calm title #one")], "id long, title string").select("id", S.video_spam("title").alias("spam"))

@@ -98,3 +98,14 @@ def test_stream_votes(spark, tmp_path):
     flows.drain(flows.votes(src), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {r["seq"]: r["cancel"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: None, 1: "unupvote", 2: None, 3: None, 4: None}
+
+
+def test_spam_phrases_and_hints(spark):
+    from feedloom.functions import spam
+
+    hard = ["guaranteed return", "100% win rate", "never lose", "copy my trades", "mirror my trades", "trading guru", "boost your income", "dm for signals", "go follow @", "live trades", "copyable strat"]
+    weak = ["his picks", "their calls", "never go down", "incredible", "crushing it", "trade alerts", "been following", "thanks to @", "stock picks", "steady gains", "earn over"]
+    texts = [f"So {p.title()} it is" for p in hard] + [f"@you $ABC {a}, {b}" for a, b in zip(weak, weak[1:])] + ["@you $ABC steady growth", "incredible stock picks"]
+    got = [r["spam"] for r in spark.createDataFrame(list(enumerate(texts)), "id long, text string").orderBy("id").select(spam.is_spam("text").alias("spam")).collect()]
+    assert got == [True] * (len(texts) - 2) + [False] * 2
+    assert len(set(spam.PHRASES)) == 27 and len(set(spam.HINTS)) == 56
