@@ -55,3 +55,16 @@ def release(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
     if tables:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+#: Bytes of an Arrow batch; without a bound, ten thousand rows of long texts or large sets are one batch.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes too, unless its own bound is a smaller one."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    own = str(conf.get(key, None) or "")
+    if not own.isdigit() or int(own) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df

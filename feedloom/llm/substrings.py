@@ -163,7 +163,7 @@ def anchors(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes]]:
     """For runs of texts: the first one's number, word hashes, index of each text's first word."""
     data, offsets = K.utf8(column)
-    for a, b in K.slices(offsets, K.PIECE):
+    for a, b in K.slices(offsets, K.SLICE):
         low = offsets[a]
         part = data[low : offsets[b]]
         starts, ends, first = K.words(part, offsets[a : b + 1] - low, K.SPACED)

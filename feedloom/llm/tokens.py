@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import new_path
+from .store import in_batches, new_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that goes with the vocabulary.
@@ -39,7 +39,7 @@ LENGTH = 1024
 KEY = 20240131
 SHARD_BYTES = 64 << 20
 #: Segments whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 #: A space that a byte of this class follows starts a piece: ASCII but white space, or the first byte of U+00C0 to U+07FF.
 _STARTS = np.array([0x21 <= i < 0x7F or 0xC3 <= i < 0xE0 for i in range(256)])
@@ -56,53 +56,122 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Known:
+    """Rows by 64-bit key: open addressing in an array, for many keys at once; a key of 0 counts as 1."""
+
+    def __init__(self):
+        self.bits, self.n = 14, 0
+        self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * K.BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        keys = np.maximum(keys, np.uint64(1))
+        at = self._first(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.rows[at], np.int32(-1))
+        open_ = np.flatnonzero((held != keys) & (held != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[open_]]
+            same = held == keys[open_]
+            out[open_[same]] = self.rows[at[open_[same]]]
+            open_ = open_[~same & (held != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Keys that are not held yet, each once."""
+        keys = np.maximum(keys, np.uint64(1))
+        self.n += len(keys)
+        if self.n * 3 > len(self.keys):
+            some = self.keys != 0
+            keys, rows = np.concatenate([self.keys[some], keys]), np.concatenate([self.rows[some], rows])
+            self.bits = int(self.n * 4).bit_length()
+            self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        at = self._first(keys)
+        while len(keys):
+            _, one = np.unique(at, return_index=True)
+            one = one[self.keys[at[one]] == 0]
+            self.keys[at[one]], self.rows[at[one]] = keys[one], rows[one]
+            rest = np.ones(len(keys), bool)
+            rest[one] = False
+            keys, rows, at = keys[rest], rows[rest], (at[rest] + 1) & (len(self.keys) - 1)
+
+
 class Tokenizer:
-    """Ids of many texts at once: equal segments from space to space are encoded once."""
+    """Ids of many texts at once: equal segments from space to space are encoded once and then looked up by hash."""
 
     def __init__(self, table: dict[bytes, int]):
         self.encode = encoder(table)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.bytes = np.zeros(max(table.values()) + 1, np.int64)
+        self.bytes[list(table.values())] = [len(x) for x in table]
+        self._forget()
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The stream of these texts, an end mark after each."""
+    def _forget(self) -> None:
+        # segment 0 is the end mark
+        self.known, self.ids, self.start, self.size = Known(), np.array([END], np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each segment, and where each text's segments end."""
         if not len(data):
-            return np.full(len(offsets) - 1, END, np.uint16)
+            return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+        if len(self.start) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
+            self._forget()
         first = np.zeros(len(data), bool)
         first[:-1] = (data[:-1] == 0x20) & _STARTS[data[1:]]
         first[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(data))
-        _, one, of = np.unique(K.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        raw, known = data.tobytes(), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        ids = []
-        for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True):
-            piece = raw[s:e]
-            got = known.get(piece)
-            if got is None:
-                got = np.array(self.encode(piece.decode()), np.uint16)
-                if len(piece) < 64:
-                    known[piece] = got
-            ids.append(got)
-        sizes = np.array([len(x) for x in ids])
-        flat, at = np.concatenate(ids), np.cumsum(sizes) - sizes
-        n = sizes[of]
-        # where each segment's ids go, with one place for the end mark of every text before it
-        text = np.searchsorted(offsets, starts, "right") - 1
-        to = np.cumsum(n) - n + text
-        out = np.full(int(n.sum()) + len(offsets) - 1, END, np.uint16)
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(to, n) + inner] = flat[np.repeat(at[of], n) + inner]
-        return out
+        keys = K.word_hashes(data, starts, ends)
+        of = self.known.find(keys)
+        new = np.flatnonzero(of < 0)
+        if len(new):
+            fresh, one, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            made, size = self._encode(data, starts[new[one]], ends[new[one]])
+            rows = np.arange(len(self.start), len(self.start) + len(size), dtype=np.int32)
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, made])
+            self.known.add(fresh, rows)
+            of[new] = rows[back]
+        return of, np.searchsorted(starts, offsets[1:])
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these segments, end to end, and how many each has. Those that start with their space end the one before
+        them wherever they stand, so many are encoded as one text; a text's first segment may not."""
+        size, out = np.zeros(len(starts), np.int64), [np.zeros(0, np.uint16)]
+        alone = np.flatnonzero((data[starts] != 0x20) | ~_STARTS[data[np.minimum(starts + 1, len(data) - 1)]])
+        cuts = np.union1d(np.union1d(alone, alone + 1), np.searchsorted(np.cumsum(ends - starts), np.arange(0, int((ends - starts).sum()), K.PIECE)))
+        cuts = np.union1d(cuts, [0, len(starts)])
+        raw = data.tobytes()
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            got = np.array(self.encode(b"".join([raw[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]).decode()), np.uint16)
+            out.append(got)
+            last = np.searchsorted(np.cumsum(self.bytes[got]), np.cumsum(ends[a:b] - starts[a:b])) + 1
+            size[a:b] = np.diff(last, prepend=0)
+        return np.concatenate(out), size
+
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> int:
+        """How many ids the stream of these texts has."""
+        of, _ = self._segments(data, offsets)
+        return int(self.size[of].sum()) + len(offsets) - 1
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The stream of these texts, an end mark after each."""
+        of, ends = self._segments(data, offsets)
+        of = np.insert(of, ends, 0)
+        n = self.size[of]
+        to = np.cumsum(n)
+        return self.ids[np.arange(to[-1]) + np.repeat(self.start[of] - to + n, n)] if len(of) else np.zeros(0, np.uint16)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[tuple[np.ndarray, int]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         data, offsets = K.utf8(batch.column("text"))
-        for a, b in K.slices(offsets, K.PIECE):
+        for a, b in K.slices(offsets, K.SLICE):
             low = offsets[a]
-            yield tokenizer(data[low : offsets[b]], offsets[a : b + 1] - low), b - a
+            yield data[low : offsets[b]], offsets[a : b + 1] - low
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, counts_only: bool = False) -> DataFrame:
@@ -124,10 +193,12 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, co
             ids = pa.array([press.compress(x.tobytes()) for x in whole.reshape(n, length)], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), pa.array(size), ids], names=["part", "at", "n_tokens", "ids"])
 
-        for stream, n_docs in _streams(batches, made):
-            tokens, seen = tokens + len(stream), seen + n_docs
+        for data, offsets in _slices(batches):
+            seen += len(offsets) - 1
             if counts_only:
+                tokens += made.count(data, offsets)
                 continue
+            stream = made(data, offsets)
             stream = np.concatenate([rest, stream]) if len(rest) else stream
             whole = len(stream) // length * length
             if whole:
@@ -142,7 +213,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, co
             yield rows(np.concatenate([rest, np.full(fill, END, np.uint16)]), fill)
 
     schema = "part int, sequences long, tokens long, docs long" if counts_only else "part int, at long, n_tokens int, ids binary"
-    return docs.select("text").mapInArrow(run, schema)
+    return in_batches(docs).select("text").mapInArrow(run, schema)
 
 
 def permute(number: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -189,7 +260,10 @@ def _writer(path: str, stride: int, per_shard: int):
             yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), pa.array(slots % per_shard * stride), batch.column("sequence"), batch.column("n_tokens"), pa.array(crc, pa.int64())], names=["slot", "shard", "byte_offset", "sequence", "n_tokens", "crc32"])
         if out is not None:
             out.close()
-            store.move(temporary, name)
+            if store.get_file_info(name).type == fs.FileType.NotFound:
+                store.move(temporary, name)
+            else:  # an earlier attempt's, of the same bytes
+                store.delete_file(temporary)
 
     return write
 
@@ -198,16 +272,15 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
     """slot, sequence, n_tokens, ids for every sequence, and their number. docs must be a written table."""
     spark = docs.sparkSession
     counts = pack(docs, vocabulary, length, counts_only=True).collect()  # a row for each input partition
-    base, total = {}, 0
-    for r in sorted(counts, key=lambda r: r["part"]):
-        base[r["part"]] = total
-        total += r["sequences"]
-    held = spark.sparkContext.broadcast(base)
+    counts.sort(key=lambda r: r["part"])
+    base, total = np.cumsum([0, *(r["sequences"] for r in counts)]), sum(r["sequences"] for r in counts)
+    held = spark.sparkContext.broadcast((np.array([r["part"] for r in counts], np.int32), base))  # 12 bytes a partition
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, at = batch.column("part").to_numpy(), batch.column("at").to_numpy()
-            own = at + np.array([held.value[p] for p in part.tolist()], np.int64)
+            parts, base = held.value
+            own = at + base[np.searchsorted(parts, part)]
             yield pa.RecordBatch.from_arrays([pa.array(permute(own, total, key)), pa.array(own), batch.column("n_tokens"), batch.column("ids")], names=["slot", "sequence", "n_tokens", "ids"])
 
     return pack(docs, vocabulary, length).mapInArrow(number, "slot long, sequence long, n_tokens int, ids binary"), total
