@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .store import in_batches
 
 ORDER = 4
 #: Bytes scored at once.
-LONGEST = 1 << 20
+LONGEST = 1 << 18
 UND = "und"
 
 
@@ -243,7 +244,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
                 names=[*rest.schema.names, *made],
             )
 
-    return keep.withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    return in_batches(keep).withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, docs_per_lang: int = 300, bytes_per_lang: int = 600_000, keep_text: bool = True, names: tuple[str, str, str] = MADE) -> DataFrame:

@@ -2,23 +2,29 @@
 
 A document's set holds its distinct five-word shingles (with fewer words, the whole sequence; without words,
 nothing). Its sketch is the K_SKETCH smallest hashes of that set. Documents of equal sets form one class, whose
-smallest doc_id represents it. Inverted lists over the LISTED smallest retained values generate pairs of
-representatives; the overlap within the K_SKETCH smallest values of the union estimates the similarity and drops pairs far below the
-threshold; the rest are verified on full sets, computed from the whole texts.
+smallest doc_id is its label. Inverted lists over the LISTED smallest retained values generate pairs of classes
+with the overlap of their listed values; the overlap within the K_SKETCH smallest values of the union estimates the
+similarity and drops pairs far below the threshold; the rest are verified on full sets, computed from the whole texts.
 
 Why no link is lost: of the 24 smallest hashes of the union of two sets with J >= 0.75, each is in both sets with
-probability J, and one in both is in both sketches. So both share at least 7 listed values but for odds of
+probability J, and one in both is in both sketches. So both share at least ENOUGH listed values but for odds of
 about 1e-7, and the estimate (mean 0.75, deviation 0.054) falls under LOOSE with odds of about the same order.
 
-Long lists never give all their pairs. A list of over LONG_LIST classes is `hot`. A pair that shares only hot values has
-at least 7 of them (or three quarters of a small set), so only classes with that many enter hot lists. In hot lists,
-pivots are compared with the members outside their component with which they share as many values, and pivots
-are taken from outside a list's largest component until none is left there: members of one component are never
-compared, and nothing else is left out.
+What keeps the work near the number of classes:
 
-Verification contracts too: of the candidate pairs, a first round verifies each component's best few, a second those
-that still lead out of a component; pairs inside one need no more work. Components are found by smallest labels and
-pointer jumping on DataFrames; every round is cut by a table in the shared folder.
+- A class with fewer than ENOUGH listed values that another class lists too has no partner.
+- The share of a class: how many of its shingles some class of another component holds, counted on full sets. Two sets
+  overlap in no more than the lesser share, which bounds their similarity from above, exactly. Classes whose share is below
+  the threshold leave; of the others, pairs that the bound rules out are never made. Shares fall as components merge: a
+  class that only resembles members of its own component has nothing left to meet.
+- Lists are compared with pivots, not pair by pair. First each list's class of the greatest share takes all members, and
+  each class keeps the pivot that it shares most lists with: one pair a class. Then, round by round, pivots are taken from
+  outside each list's largest component, and compared with the members outside their own component; a pair is made in the
+  first list that it shares, and only there. That ends when every class outside a largest component was a pivot, so each pair
+  that shares a list lies in one component, was compared, or is ruled out by the bound.
+
+Components are found by smallest labels and pointer jumping on DataFrames; every round is cut by a table in the shared
+folder.
 
 Defined results: a null or wordless text has an empty set and links with nothing. Repeated rows and copies share
 a class. For `components` a null doc_id gets no class of its own: its row has null component_id and kept false, but where
@@ -37,17 +43,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import SMALL, materialise, release, small
+from .store import SMALL, in_batches, materialise, release, small
 
 SHINGLE = 5
 PERCENT = 75
 K_SKETCH = 64
 LISTED = 24
-ENOUGH_HOT = 7
-LONG_LIST = 32
+ENOUGH = 7
 LOOSE = 0.47
-#: Pairs that the first round verifies for each component at most; the second takes all that are left.
-A_ROUND = 16
+#: Rows of texts whose sets are held at once.
+A_BATCH = 512
+#: Pivots that a list gives in the second round, and by how much more each later round takes.
+PIVOTS, MORE_PIVOTS = 8, 32
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -88,7 +95,7 @@ def _key() -> Column:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the text), n_shingles, mark (of the whole set; null if empty), sketch."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key")).mapInArrow(_sketch, "doc_id long, key binary, n_shingles long, mark binary, sketch array<long>")
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key")).mapInArrow(_sketch, "doc_id long, key binary, n_shingles long, mark binary, sketch array<long>")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,20 +103,6 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.offsets.to_numpy(), column.values.to_numpy()
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, set_a, set_b: the pairs whose full sets reach the threshold."""
-    for batch in batches:
-        (p, x), (q, y) = _lists(batch.column("set_a")), _lists(batch.column("set_b"))
-        ok = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            left, right = x[p[i] : p[i + 1]], y[q[i] : q[i + 1]]
-            at = np.searchsorted(left, right)
-            at[at == len(left)] = 0
-            both = int((left[at] == right).sum()) if len(left) else 0
-            ok[i] = 100 * both >= PERCENT * (len(left) + len(right) - both)
-        yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, s_a, s_b: a, b and the similarity that the smallest values of the union of both sketches show, if LOOSE or more."""
     for batch in batches:
@@ -133,15 +126,14 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(est).filter(keep)], names=["a", "b", "est"])
 
 
-def _estimate(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of like enough sizes and sketches, with their estimate."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    like = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b", "s_a", "s_b").mapInArrow(_overlap, "a long, b long, est double")
+def _estimate(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches are alike enough."""
+    side = lambda x: sketched.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b").mapInArrow(_overlap, "a long, b long, est double").select("a", "b")
 
 
 def _components(state: DataFrame, links: DataFrame) -> DataFrame:
-    """state (rep, comp) after links (a, b): the labels that links join are contracted, and each takes the smallest it reaches,
+    """state (rep, n, enough, comp) after links (a, b): the labels that links join are contracted, and each takes the smallest it reaches,
     by the smallest label of a neighbour and the label of its own label, until nothing moves."""
     # few links or labels are broadcast, so that a round on them deals nothing out; what is more is joined by shuffles
     ends = state.select(F.col("rep").alias("a"), F.col("comp").alias("x")).join(small(links), "a")
@@ -160,36 +152,22 @@ def _components(state: DataFrame, links: DataFrame) -> DataFrame:
         labels = new.select("x", "low")
         if still:
             break
-    out = materialise(state.join(held(labels.select(F.col("x").alias("comp"), "low")), "comp", "left").select("rep", F.coalesce("low", "comp").alias("comp")), "components")
+    out = materialise(state.join(held(labels.select(F.col("x").alias("comp"), "low")), "comp", "left").select("rep", "n", "enough", F.coalesce("low", "comp").alias("comp")), "components")
     release(both, labels)
     return out
 
 
-def _settle(open_pairs: DataFrame, state: DataFrame, sets: DataFrame) -> DataFrame:
-    """The components once every candidate pair is verified or lies inside one of them: first each component's best pairs that
-    lead out of it, then what still does. `sets` has the full set of every class that a pair names."""
-    comp = lambda x, y: small(state).select(F.col("rep").alias(x), F.col("comp").alias(y))
-    for last in (False, True):
-        cross = open_pairs.join(comp("a", "x"), "a").join(comp("b", "y"), "b").where("x <> y")
-        if not last:
-            # the larger label ranks a pair: a large component's partners choose it, it does not choose among them
-            best = Window.partitionBy("high").orderBy(F.desc("est"), "a", "b")
-            open_pairs = materialise(cross.withColumn("high", F.greatest("x", "y")).withColumn("n", F.row_number().over(best)).select("a", "b", "n"), "open")
-            cross = open_pairs.where(F.col("n") <= A_ROUND)
-        links = verify(cross, sets)
-        if not last:
-            open_pairs = open_pairs.where(F.col("n") > A_ROUND)
-        if not links.isEmpty():
-            state = _components(state, links)
-        release(links)
-    return state
-
-
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("full").alias(f"set_{x}"))
-    held = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
-    return materialise(held.mapInArrow(_verify, "a long, b long"), "links")
+    held = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return materialise(held.where(_alike(both, F.size("set_a"), F.size("set_b"))).select("a", "b"), "links")
+
+
+def _alike(both: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether sets of n_a and n_b that have so many in common reach the threshold."""
+    return both * 100 >= (n_a + n_b - both) * PERCENT
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -200,79 +178,135 @@ def components(docs: DataFrame) -> DataFrame:
 def _by_row(docs: DataFrame) -> DataFrame:
     """What components() gives, with key and mark."""
     made = materialise(sketches(docs), "sketches")
-    classes = made.where(F.col("mark").isNotNull() & F.col("doc_id").isNotNull()).groupBy("mark").agg(F.min("doc_id").alias("rep"))
-    classes = materialise(classes, "classes")
-    own = F.col("mark").isNotNull()
-    reps = made.where(own).join(classes, "mark").where(F.col("doc_id") == F.col("rep")).select("mark", "rep", "n_shingles", "sketch").dropDuplicates(["mark"])
-    reps = materialise(reps.withColumn("label", F.col("rep")).withColumn("rep", F.xxhash64("mark")), "reps")
-    state = _link(reps, docs, made)
-    # a component's id is the smallest doc_id in it; classes are named by a hash of their mark so that a doc_id may repeat
-    smallest = state.join(reps.select("rep", "label"), "rep").groupBy("comp").agg(F.min("label").alias("component"))
-    known = reps.select("mark", "rep", "label").join(state, "rep", "left").join(smallest, "comp", "left").select("mark", F.coalesce("component", "label").alias("component"))
-    out = made.select("doc_id", "key", "n_shingles", "mark").join(known, "mark", "left")
+    classes = made.where(F.col("mark").isNotNull() & F.col("doc_id").isNotNull()).groupBy("mark")
+    # classes are named by a hash of their mark so that a doc_id may repeat
+    reps = classes.agg(F.min("doc_id").alias("label"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    reps = materialise(reps.withColumn("rep", F.xxhash64("mark")), "classes")
+    state = _link(reps, docs)
+    # a component's id is the smallest doc_id in it
+    moved = state.join(reps.select("rep", "label"), "rep")
+    smallest = moved.groupBy("comp").agg(F.min("label").alias("component"), F.count("*").alias("of")).where("of > 1").drop("of")
+    linked = materialise(state.join(smallest, "comp").select("rep", "component"), "linked")
+    known = reps.select("mark", "rep", "label", "n_docs").join(small(linked), "rep", "left")
+    known = materialise(known.where((F.col("n_docs") > 1) | F.col("component").isNotNull()).select("mark", F.coalesce("component", "label").alias("component")), "known")
+    release(reps, linked)
+    out = made.select("doc_id", "key", "n_shingles", "mark").join(small(known), "mark", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), "doc_id"))
     return out.select("doc_id", "key", "mark", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _link(reps: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
-    """rep, comp for every class that some pair names."""
-    posts = reps.select("rep", "n_shingles", F.posexplode(F.slice("sketch", 1, LISTED)).alias("at", "value"))
-    lists = materialise(posts.groupBy("value").count().where("count > 1").withColumnRenamed("count", "size"), "lists")
-    posts = materialise(posts.join(lists, "value"), "posts")
-    short = posts.where(F.col("size") <= LONG_LIST).select("value", F.col("rep"), "n_shingles")
-    other = short.select("value", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"))
-    like = F.least("n_shingles", "n_b") * 100 >= F.greatest("n_shingles", "n_b") * PERCENT
-    pairs = short.join(other, "value").where((F.col("rep") < F.col("b")) & like).select(F.col("rep").alias("a"), "b").distinct()
-    candidates = materialise(_estimate(pairs, reps), "candidates")
-    enough = F.least(F.lit(ENOUGH_HOT), F.ceil(F.least(F.col("n_shingles"), F.lit(LISTED)) * PERCENT / 100))
-    hot_posts = posts.where(F.col("size") > LONG_LIST)
-    many = hot_posts.groupBy("rep", "n_shingles").count().where(F.col("count") >= enough).select("rep", enough.alias("enough"))
-    hot = materialise(hot_posts.join(many, "rep").select("value", "rep", "n_shingles", "enough"), "hot")
-    involved = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).union(hot.select("rep")).distinct()
-    nodes = materialise(involved.select("rep", F.col("rep").alias("comp")), "nodes")
-    # the full set of each class that some pair names
-    wanted = reps.join(nodes, "rep", "left_semi").select("rep", "label", "mark")
-    named = made.join(wanted.select("mark", "rep"), "mark").where(F.col("doc_id").isNotNull()).groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark"))
-    sets = materialise(_sets(docs, named), "sets")
-    state = _settle(candidates, nodes, sets)
-    pivots, done = 1, None
-    while not hot.isEmpty():
-        at = hot.join(small(state), "rep")
-        sizes = at.groupBy("value", "comp").count()
-        main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        at = at.join(small(materialise(main, "main")), "value")
-        outside = at.where("comp <> main")
-        if done is not None:
-            outside = outside.join(small(done), "rep", "left_anti")
-        first = Window.partitionBy("value").orderBy(F.xxhash64("rep"), "rep")
-        now = materialise(outside.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= pivots).select("rep").distinct(), "pivots")
+def _link(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, comp for every class that may have a partner."""
+    every = reps.select("rep", "n_shingles", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
+    shared = every.groupBy("value").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("value")
+    listed = materialise(every.join(shared, "value").select("value", "rep", "n_shingles"), "listed")
+    enough = F.least(F.lit(ENOUGH), F.ceil(F.least(F.col("n_shingles"), F.lit(LISTED)) * PERCENT / 100)).cast("int")
+    able = listed.groupBy("rep", "n_shingles").count().where(F.col("count") >= enough).select("rep", F.col("n_shingles").alias("n"), enough.alias("enough"))
+    able = materialise(able, "able")
+    # the sketch, the listed values and the full set of each class that may have a partner
+    held = reps.select("rep", "label", "mark", "sketch").join(small(able), "rep")
+    sketched = materialise(held.select("rep", "label", "mark", "sketch"), "sketched")
+    posts = materialise(listed.select("value", "rep").join(small(able.select("rep")), "rep", "left_semi"), "posts")
+    release(listed)
+    sets = materialise(_sets(docs, sketched.select("rep", F.col("label").alias("doc_id"), "mark")), "sets")
+    state = materialise(able.select("rep", "n", "enough", F.col("rep").alias("comp")), "components")
+    release(able)
+    live = _live(sets, state)
+    state, moved = _merge(_first_pairs(posts, live), state, sketched, sets)
+    if moved:
+        live = _live(sets, state, live)
+    pivots, done = PIVOTS, None
+    while True:
+        at = posts.join(small(live.drop("comp")), "rep").join(small(state.select("rep", "comp")), "rep")
+        now = _pivots(at, pivots, done)
         if now.isEmpty():
             break
-        chosen = at.join(small(now), "rep").select("value", F.col("rep").alias("pivot"), F.col("comp").alias("own"), F.col("n_shingles").alias("n_pivot"), F.col("enough").alias("enough_pivot"))
-        like = F.least("n_shingles", "n_pivot") * 100 >= F.greatest("n_shingles", "n_pivot") * PERCENT
-        met = at.join(chosen, "value").where((F.col("comp") != F.col("own")) & like)
-        met = met.groupBy("pivot", "rep").agg(F.count("*").alias("shared"), F.min(F.least("enough", "enough_pivot")).alias("least"))
-        met = met.where("shared >= least").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        state = _settle(materialise(_estimate(met, reps), "candidates"), state, sets)
+        state, _ = _merge(_pivot_pairs(at, now, done, sketched), state, sketched, sets)
         done = now if done is None else done.union(now)
-        pivots *= 8
-    return state
+        pivots *= MORE_PIVOTS
+    release(posts, sets, sketched, live)
+    return state.select("rep", "comp")
+
+
+def _live(sets: DataFrame, state: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """The classes (of `among`) whose share allows a partner: state with share, the number of shingles that another component holds."""
+    held = state if among is None else materialise(state.join(small(among.select("rep")), "rep", "left_semi"), "open")
+    each = sets.join(small(held.select("rep", "comp")), "rep").select("rep", "comp", F.explode("full").alias("shingle"))
+    across = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
+    share = each.select("rep", "shingle").join(across, "shingle").groupBy("rep").agg(F.count("*").alias("share"))
+    return materialise(held.join(share, "rep").where(F.col("share") * 100 >= F.col("n") * PERCENT).select("rep", "n", "enough", "comp", "share"), "live")
+
+
+def _possible(x: str, y: str) -> Column:
+    """Whether the shares of two classes allow the threshold."""
+    return _alike(F.least(f"{x}share", f"{y}share"), F.col(f"{x}n"), F.col(f"{y}n"))
+
+
+def _first_pairs(posts: DataFrame, live: DataFrame) -> DataFrame:
+    """For each class the pair (a, b) with the pivot that it shares most lists with; a list's pivot has its greatest share."""
+    at = posts.join(small(live), "rep")
+    named = F.struct("rep", "n", "share")
+    pivot = at.groupBy("value").agg(F.max_by(named, F.struct(F.col("share") / F.col("n"), F.col("rep"))).alias("p"), F.count("*").alias("size")).where("size > 1")
+    pivot = pivot.select("value", F.col("p.rep").alias("p_rep"), F.col("p.n").alias("p_n"), F.col("p.share").alias("p_share"))
+    met = at.join(pivot, "value").where((F.col("rep") != F.col("p_rep")) & _possible("", "p_"))
+    met = met.groupBy("rep", "p_rep").agg(F.count("*").alias("both"))
+    best = met.groupBy("rep").agg(F.max(F.struct("both", "p_rep")).alias("p"))
+    return best.select(F.least("rep", F.col("p.p_rep")).alias("a"), F.greatest("rep", F.col("p.p_rep")).alias("b")).distinct()
+
+
+def _pivots(at: DataFrame, most: int, done: DataFrame | None) -> DataFrame:
+    """rep of up to `most` classes of each list that are outside its largest component and not done."""
+    sizes = at.groupBy("value", "comp").count()
+    main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("value", "main")
+    outside = at.join(main, "value").where("comp <> main")
+    if done is not None:
+        outside = outside.join(small(done), "rep", "left_anti")
+    bucket = F.pmod(F.xxhash64("rep", F.lit(most)), F.lit(most))
+    chosen = outside.groupBy("value", bucket.alias("bucket")).agg(F.max_by("rep", F.struct(F.col("share") / F.col("n"), F.col("rep"))).alias("rep"))
+    return materialise(chosen.select("rep").distinct(), "pivots")
+
+
+def _pivot_pairs(at: DataFrame, now: DataFrame, done: DataFrame | None, sketched: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a pivot and a class of another component that share enough listed values, each once, from its first
+    list. Classes that are done have met all others."""
+    if done is not None:
+        at = at.join(small(done), "rep", "left_anti")
+    values = sketched.select("rep", F.slice("sketch", 1, LISTED).alias("values"))
+    held = at.join(values, "rep").join(small(now).withColumn("is_pivot", F.lit(True)), "rep", "left")
+    chosen = held.where("is_pivot").select(*(F.col(c).alias(f"p_{c}") for c in ("value", "rep", "n", "share", "comp", "enough", "values")))
+    both = F.array_intersect("values", "p_values")
+    first = (F.array_min(both) == F.col("value")) & (F.size(both) >= F.least("enough", "p_enough"))
+    met = held.join(chosen, (F.col("value") == F.col("p_value")) & (F.col("comp") != F.col("p_comp")) & (F.col("is_pivot").isNull() | (F.col("rep") < F.col("p_rep"))) & _possible("", "p_") & first)
+    return met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b"))
+
+
+def _merge(pairs: DataFrame, state: DataFrame, sketched: DataFrame, sets: DataFrame) -> tuple[DataFrame, bool]:
+    """The components after these pairs, and whether any has changed."""
+    close = materialise(_estimate(pairs, sketched), "candidates")
+    links = verify(close, sets)
+    some = not links.isEmpty()
+    if some:
+        state = _components(state, links)
+    release(close, links)
+    return state, some
 
 
 def _sets(docs: DataFrame, named: DataFrame) -> DataFrame:
     """rep, full (its sorted shingle hashes) of the classes in named (rep, doc_id, mark). Of a doc_id's texts, those of the class."""
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(named), "doc_id")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, full = [], []
-            for i, (s, m) in enumerate(zip(shingle_sets(batch.column("text")), batch.column("mark").to_pylist(), strict=True)):
-                if blake2b(s.tobytes(), digest_size=16).digest() == m:
-                    rows.append(i)
-                    full.append(s)
-            ends = np.cumsum([0, *map(len, full)]).astype(np.int32)
-            flat = pa.array(np.concatenate(full) if full else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["rep", "full"])
+            for at in range(0, batch.num_rows, A_BATCH):
+                part = batch.slice(at, A_BATCH)
+                rows, full = [], []
+                for i, (s, m) in enumerate(zip(shingle_sets(part.column("text")), part.column("mark").to_pylist(), strict=True)):
+                    if blake2b(s.tobytes(), digest_size=16).digest() == m:
+                        rows.append(i)
+                        full.append(s)
+                ends = np.cumsum([0, *map(len, full)]).astype(np.int32)
+                flat = pa.array(np.concatenate(full) if full else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["rep", "full"])
 
     return held.select("rep", "text", "mark").mapInArrow(pick, "rep long, full array<long>").dropDuplicates(["rep"])
 
@@ -281,7 +315,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is the smallest of their own text's component; of repeated rows
     with an id, each. Rows of null doc_id come after all others: of those in a component that no other row keeps, one stays.
     Texts without words link with nothing, so all such rows stay."""
-    id_, key, set_ = (_free(docs, x) for x in ("_id", "_key", "_set"))
+    id_, key = (_free(docs, x) for x in ("_id", "_key"))
     of = F.col("doc_id").cast("long")
     ends = docs.agg(F.min(of).alias("least"), F.max(of).alias("most"), F.count("*").alias("n"), F.count(of).alias("named")).first()
     nameless = ends["n"] > ends["named"]
@@ -292,14 +326,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
         of = F.coalesce(of, made)
     held = docs.withColumns({id_: of, key: _key()})
     linked = _by_row(held.select(F.col(id_).alias("doc_id"), "text"))
-    kept = linked.where("kept").select(F.col("doc_id").alias(id_ + "k"), F.col("key").alias(key + "k"), F.col("mark").isNotNull().alias(set_)).distinct()
-    out = held.join(kept, (F.col(id_) == F.col(id_ + "k")) & F.col(key).eqNullSafe(F.col(key + "k")))
+    gone = materialise(linked.where(~F.col("kept")).select(F.col("doc_id").alias(id_ + "k"), F.col("key").alias(key + "k")).distinct(), "dropped")
+    out = held.join(small(gone), (F.col(id_) == F.col(id_ + "k")) & (F.col(key) == F.col(key + "k")), "left_anti")
     if nameless:
-        one = out.where(F.col("doc_id").isNull() & F.col(set_))
+        worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        one = out.where(F.col("doc_id").isNull() & worded)
         rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
         number = _free(docs, "_number")
         one = one.withColumn(number, F.row_number().over(Window.partitionBy(id_, key).orderBy(F.xxhash64(*rest)))).where(F.col(number) == 1).drop(number)
-        out = out.where(F.col("doc_id").isNotNull() | ~F.col(set_)).unionByName(one)
+        out = out.where(F.col("doc_id").isNotNull() | ~worded).unionByName(one)
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -248,9 +248,9 @@ def near(rows):
     return {i: (len(s), label[i]) for i, s in sets}
 
 
-@pytest.mark.parametrize("long_list", [neardup.LONG_LIST, 2])
-def test_near_duplicates(spark, docs, long_list, monkeypatch):
-    monkeypatch.setattr(neardup, "LONG_LIST", long_list)
+@pytest.mark.parametrize("pivots", [neardup.PIVOTS, 64])
+def test_near_duplicates(spark, docs, pivots, monkeypatch):
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
     held = docs.where("doc_id is not null")
     extra = []
     base = prose(20, 150).split()
@@ -268,6 +268,23 @@ def test_near_duplicates(spark, docs, long_list, monkeypatch):
     assert neardup.components(docs).where("doc_id is null").first()["kept"] is False
 
 
+def test_near_duplicates_in_large_groups(spark):
+    """Chains, subgroups and members just short of the threshold, all sharing one text's shingles; one class is a third of all rows."""
+    rng, rows = np.random.default_rng(5), []
+    base = prose(60, 100).split()
+    for k in range(160):
+        w = list(base)
+        for j in rng.choice(100, rng.integers(1, 9), replace=False):
+            w[j] = f"e{k}-{j}" if k % 3 else f"e{k // 12}-{j}"
+        rows.append((k, " ".join(w)))
+    for k in range(40):  # each a few words on from the one before it
+        rows.append((1000 + k, " ".join((base + prose(61, 200).split())[4 * k : 4 * k + 90])))
+    rows += [(2000 + k, rows[17][1]) for k in range(100)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = near(rows)
+    assert got == want and 5 < len({c for _, c in want.values()}) < 200
+
+
 def test_keep_one_decides_by_row(spark):
     a, b, c, d = (prose(300 + k, 120) for k in range(4))
     near_b = b.replace(b.split()[60], "changed", 1)
