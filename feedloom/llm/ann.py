@@ -14,8 +14,8 @@ what structure there is decides how many blocks are spared. `check=False` gives
 Bounds: at most MAX_BLOCKS blocks, so their centres are the same few MB on any data; a group of the check holds one
 block and at most CHUNK queries.
 
-Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do those
-whose length differs from the first one's. A null vec_id takes no part. Repeated ids: each row is a candidate and
+Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part. Vectors of
+different lengths have no product: each length is searched by itself, one after the other (lengths are few: a column has one, as a rule). A null vec_id takes no part. Repeated ids: each row is a candidate and
 a query, an id is named once, with the best score of its rows, and never for itself; k counts ids. Equal scores go to the smaller vec_id. Fewer candidates
 than k give them all; empty tables give an empty result.
 """
@@ -23,6 +23,7 @@ than k give them all; empty tables give an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -136,9 +137,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding (array of double) of the rows that take part."""
     held = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     number = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    held = held.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & number & F.exists("embedding", lambda v: v != 0))
-    first = held.select("vec_id", F.size("embedding").alias("n")).orderBy("vec_id").limit(1).collect()
-    return held.where(F.size("embedding") == first[0]["n"]) if first else held
+    return held.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & number & F.exists("embedding", lambda v: v != 0))
 
 
 def _once(held: DataFrame) -> DataFrame:
@@ -196,6 +195,14 @@ def _windows(every: int, k: int):
 def search(vectors: DataFrame, every: int = 20, k: int = TOP, check: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by `every`."""
     held = _once(usable(vectors))
+    sizes = [r["n"] for r in held.groupBy(F.size("embedding").alias("n")).count().orderBy("n").collect()]
+    if len(sizes) < 2:
+        return _search(held, every, k, check)
+    found = [_search(held.where(F.size("embedding") == n), every, k, check).select("query_id", "vec_id", "score") for n in sizes]
+    return _top(reduce(DataFrame.union, found), k)
+
+
+def _search(held: DataFrame, every: int, k: int, check: bool) -> DataFrame:
     n = held.count()
     blocks = int(min(MAX_BLOCKS, max(1, -(-n // BLOCK))))
     ordered = held.mapInArrow(_ordered, "curve int, key long, vec_id long, embedding array<double>")

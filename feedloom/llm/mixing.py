@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 #: What stands between words. Splitting is many times faster than counting words one by one.
 BETWEEN = r"[\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -71,40 +73,49 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target and copies."""
-    made = ["size", "source_size", "target", "copies"]
-    held = docs.drop(*made).withColumn("size", size())
-    key, bins = "_key", ["_b", "_h"]
-    held = held.withColumn(key, _hex(F.col("doc_id"), seed)).withColumn("_b", size_bin(F.col("size"))).withColumn("_h", F.substring(key, 1, 2))
-    held = held.repartition("source", "_b", "_h")
-    counts = held.groupBy("source", *bins).agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
-    goal = targets(counts.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, cap)
+    """docs with size, source_size, target and copies, which replace columns of these names; all others are kept, whatever they are called."""
+    kept = docs.drop("size", "source_size", "target", "copies")
+    whole = kept.select("doc_id", "source", size().alias("size"), F.struct("*").alias("_row"))
+    return _mix(whole, _sizes(docs), weights, cap, seed).select("_row.*", "size", "source_size", "target", "copies")
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size of every row, written: the texts are read and split once for all sums."""
+    return materialise(docs.select("doc_id", "source", size().alias("size")), "sizes")
+
+
+def _binned(rows: DataFrame, seed: int) -> DataFrame:
+    key = _hex(F.col("doc_id"), seed)
+    return rows.withColumn("_key", key).withColumn("_b", size_bin(F.col("size"))).withColumn("_h", F.substring("_key", 1, 2))
+
+
+def _mix(rows: DataFrame, sizes: DataFrame, weights: tuple[int, ...], cap: int, seed: int) -> DataFrame:
+    """rows (doc_id, source, size and a struct at most) with source_size, target and copies."""
+    bins = ["_b", "_h"]
+    counts = _binned(sizes, seed).groupBy("source", *bins).agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
+    goal = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     base = counts.withColumn("_base", F.sum("_n").over(Window.partitionBy("source").orderBy(*bins)) - F.col("_n"))
     base = base.join(goal, base["source"].eqNullSafe(goal["source"])).select(base["source"].alias("_source"), *(F.col(b).alias(f"{b}2") for b in bins), "_base", "source_size", "target")
-    own = F.row_number().over(Window.partitionBy("source", *bins).orderBy("size", key, "doc_id"))
-    ranked = held.withColumn("_own", own)
+    own = F.row_number().over(Window.partitionBy("source", *bins).orderBy("size", "_key", "doc_id"))
+    ranked = _binned(rows, seed).withColumn("_own", own)
     same = ranked["source"].eqNullSafe(base["_source"]) & (ranked["_b"] == base["_b2"]) & (ranked["_h"] == base["_h2"])
     rank = (F.col("_base") + F.col("_own")).cast("double")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = offset(F.col("source"), seed)
     copies = F.floor(rate * rank + u) - F.floor(rate * (rank - 1) + u)
-    return ranked.join(base, same).select(*docs.drop(*made).columns, "size", F.col("source_size").cast("long").alias("source_size"), "target", F.least(copies, F.lit(cap)).cast("long").alias("copies"))
+    return ranked.join(base, same).select(*rows.columns, F.col("source_size").cast("long").alias("source_size"), "target", F.least(copies, F.lit(cap)).cast("long").alias("copies"))
 
 
-def report(docs: DataFrame, **kw) -> DataFrame:
+def report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, one row for each of docs (doc_id, source, text)."""
-    return mix(_slim(docs), **kw).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def _slim(docs: DataFrame) -> DataFrame:
-    # the text itself does not travel: its size is counted where it is read
-    return docs.select("doc_id", "source", "text")
+    sizes = _sizes(docs)
+    return _mix(sizes, sizes, weights, cap, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def emit(docs: DataFrame, **kw) -> DataFrame:
+def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; whatever their columns are called."""
-    whole = docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))
-    return mix(whole, **kw).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")
+    whole = docs.select("doc_id", "source", size().alias("size"), F.struct("*").alias("_row"))
+    return _mix(whole, _sizes(docs), weights, cap, seed).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")
 
 
 ORACLE = r"""

@@ -15,13 +15,15 @@ What keeps the work near the number of classes:
 - A class with fewer than ENOUGH listed values that another class lists too has no partner.
 - The share of a class: how many of its shingles some class of another component holds, counted on full sets. Two sets
   overlap in no more than the lesser share, which bounds their similarity from above, exactly. Classes whose share is below
-  the threshold leave; of the others, pairs that the bound rules out are never made. Shares fall as components merge: a
+  the threshold leave; of the others, pairs that this bound rules out are never made. Shares fall as components merge: a
   class that only resembles members of its own component has nothing left to meet.
+- Two sets differ in at least as many shingles as their parity bitmaps differ in bits: a second bound, exact too, which
+  rules out nearly all pairs of members of a large group that are near the threshold and below it.
 - Lists are compared with pivots, not pair by pair. First each list's class of the greatest share takes all members, and
   each class keeps the pivot that it shares most lists with: one pair a class. Then, round by round, pivots are taken from
   outside each list's largest component, and compared with the members outside their own component; a pair is made in the
   first list that it shares, and only there. That ends when every class outside a largest component was a pivot, so each pair
-  that shares a list lies in one component, was compared, or is ruled out by the bound.
+  that shares a list lies in one component, was compared, or is ruled out by a bound.
 
 Components are found by smallest labels and pointer jumping on DataFrames; every round is cut by a table in the shared
 folder.
@@ -51,6 +53,8 @@ K_SKETCH = 64
 LISTED = 24
 ENOUGH = 7
 LOOSE = 0.47
+#: Numbers of 64 bits in a class's parity bitmap: bit b says whether an odd number of its shingles hash to b.
+BITMAP = 16
 #: Rows of texts whose sets are held at once.
 A_BATCH = 512
 #: Pivots that a list gives in the second round, and by how much more each later round takes.
@@ -209,6 +213,7 @@ def _link(reps: DataFrame, docs: DataFrame) -> DataFrame:
     posts = materialise(listed.select("value", "rep").join(small(able.select("rep")), "rep", "left_semi"), "posts")
     release(listed)
     sets = materialise(_sets(docs, sketched.select("rep", F.col("label").alias("doc_id"), "mark")), "sets")
+    traits = materialise(sketched.select("rep", F.slice("sketch", 1, LISTED).alias("values")).join(sets.select("rep", "bits"), "rep"), "traits")
     state = materialise(able.select("rep", "n", "enough", F.col("rep").alias("comp")), "components")
     release(able)
     live = _live(sets, state)
@@ -221,10 +226,10 @@ def _link(reps: DataFrame, docs: DataFrame) -> DataFrame:
         now = _pivots(at, pivots, done)
         if now.isEmpty():
             break
-        state, _ = _merge(_pivot_pairs(at, now, done, sketched), state, sketched, sets)
+        state, _ = _merge(_pivot_pairs(at, now, done, traits), state, sketched, sets)
         done = now if done is None else done.union(now)
         pivots *= MORE_PIVOTS
-    release(posts, sets, sketched, live)
+    release(posts, sets, sketched, traits, live)
     return state.select("rep", "comp")
 
 
@@ -266,17 +271,18 @@ def _pivots(at: DataFrame, most: int, done: DataFrame | None) -> DataFrame:
     return materialise(chosen.select("rep").distinct(), "pivots")
 
 
-def _pivot_pairs(at: DataFrame, now: DataFrame, done: DataFrame | None, sketched: DataFrame) -> DataFrame:
+def _pivot_pairs(at: DataFrame, now: DataFrame, done: DataFrame | None, traits: DataFrame) -> DataFrame:
     """The pairs (a, b) of a pivot and a class of another component that share enough listed values, each once, from its first
     list. Classes that are done have met all others."""
     if done is not None:
         at = at.join(small(done), "rep", "left_anti")
-    values = sketched.select("rep", F.slice("sketch", 1, LISTED).alias("values"))
-    held = at.join(values, "rep").join(small(now).withColumn("is_pivot", F.lit(True)), "rep", "left")
-    chosen = held.where("is_pivot").select(*(F.col(c).alias(f"p_{c}") for c in ("value", "rep", "n", "share", "comp", "enough", "values")))
+    held = at.join(traits, "rep").join(small(now).withColumn("is_pivot", F.lit(True)), "rep", "left")
+    chosen = held.where("is_pivot").select(*(F.col(c).alias(f"p_{c}") for c in ("value", "rep", "n", "share", "comp", "enough", "values", "bits")))
+    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("p_bits")[k])) for k in range(BITMAP)), F.lit(0))
+    near = _alike((F.col("n") + F.col("p_n") - differ) / 2, F.col("n"), F.col("p_n"))
     both = F.array_intersect("values", "p_values")
     first = (F.array_min(both) == F.col("value")) & (F.size(both) >= F.least("enough", "p_enough"))
-    met = held.join(chosen, (F.col("value") == F.col("p_value")) & (F.col("comp") != F.col("p_comp")) & (F.col("is_pivot").isNull() | (F.col("rep") < F.col("p_rep"))) & _possible("", "p_") & first)
+    met = held.join(chosen, (F.col("value") == F.col("p_value")) & (F.col("comp") != F.col("p_comp")) & (F.col("is_pivot").isNull() | (F.col("rep") < F.col("p_rep"))) & _possible("", "p_") & near & first)
     return met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b"))
 
 
@@ -292,23 +298,24 @@ def _merge(pairs: DataFrame, state: DataFrame, sketched: DataFrame, sets: DataFr
 
 
 def _sets(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """rep, full (its sorted shingle hashes) of the classes in named (rep, doc_id, mark). Of a doc_id's texts, those of the class."""
+    """rep, full (its sorted shingle hashes), bits (its parity bitmap) of the classes in named (rep, doc_id, mark). Of a doc_id's texts, those of the class."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(named), "doc_id")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, A_BATCH):
                 part = batch.slice(at, A_BATCH)
-                rows, full = [], []
+                rows, full, bits = [], [], []
                 for i, (s, m) in enumerate(zip(shingle_sets(part.column("text")), part.column("mark").to_pylist(), strict=True)):
                     if blake2b(s.tobytes(), digest_size=16).digest() == m:
                         rows.append(i)
                         full.append(s)
+                        bits.append(np.packbits(np.bincount(K.mix(s.view(np.uint64)) & np.uint64(64 * BITMAP - 1), minlength=64 * BITMAP) & 1).view(np.int64))
                 ends = np.cumsum([0, *map(len, full)]).astype(np.int32)
                 flat = pa.array(np.concatenate(full) if full else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["rep", "full"])
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([b.tolist() for b in bits], pa.list_(pa.int64()))], names=["rep", "full", "bits"])
 
-    return held.select("rep", "text", "mark").mapInArrow(pick, "rep long, full array<long>").dropDuplicates(["rep"])
+    return held.select("rep", "text", "mark").mapInArrow(pick, "rep long, full array<long>, bits array<long>").dropDuplicates(["rep"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

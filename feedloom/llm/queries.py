@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontaminate, langid, licenses, linededup, mixing, neardup, sharding, substrings, tokens
+from .store import new_path
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,7 +24,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), map_path=new_path(spark, "slot-map"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

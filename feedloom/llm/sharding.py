@@ -9,8 +9,8 @@ Inside a shard, rows are numbered from 0 without gaps: a slot's rows follow thos
 no task ever numbers a whole shard.
 
 Defined results: size is the text's UTF-8 bytes plus 1, a null text has none; its text_crc32 is null. A null doc_id
-hashes with its text like any other. Repeated rows are told apart by the hash of their text, and rows equal in both
-share a slot. An empty table gives an empty result; other columns are kept by `assign`.
+hashes with its text like any other. Rows equal in id and text hash alike; where they, or anything else, make a slot
+heavy, it is split by the rows' places in the input, so that no slot holds more than a sliver of a shard. An empty table gives an empty result; other columns are kept by `assign`.
 """
 
 from __future__ import annotations
@@ -18,7 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 SLOTS = 4096
+#: A slot with more than a HEAVY-th of a shard's fair share of bytes is split in up to PARTS.
+HEAVY, PARTS = 64, 64
 LAW = "bytes"
 
 
@@ -27,9 +31,19 @@ def virtual_slot(slots: int = SLOTS) -> Column:
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot, dealt by vslot."""
-    slim = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), virtual_slot(slots).alias("vslot"))
-    return slim.repartition("vslot")
+    """doc_id, size, text_crc32, vslot, part (of its slot, by the row's place in the input: equal rows have no other difference)."""
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")
+    return docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), virtual_slot(slots).alias("vslot"), part.alias("part"))
+
+
+def split(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """rows (of sized, written) with heavy slots split: part p of slot s becomes slot s + p x slots, and a slot's first part
+    keeps its number. Slots stay as they are while none holds more than a HEAVY-th of a shard's fair share."""
+    sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.min("part").alias("least"))
+    total = F.sum("bytes").over(Window.partitionBy())  # at most `slots` rows
+    heavy = sums.withColumn("total", total).where(F.col("bytes") * shards * HEAVY > F.col("total")).select(F.col("vslot").alias("_heavy"), "least")
+    held = rows.join(F.broadcast(heavy), F.col("vslot") == F.col("_heavy"), "left")
+    return held.withColumn("vslot", F.col("vslot") + F.coalesce(F.col("part") - F.col("least"), F.lit(0)) * slots).drop("part", "least", "_heavy")
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
@@ -85,10 +99,9 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/version={version}")
 
 
-def number(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
-    """rows (of sized) with shard and slot, the place in the shard."""
-    sums = slot_sizes(rows)
-    # at most SLOTS rows on the broadcast side
+def number(rows: DataFrame, sums: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """rows (of split) with shard and slot, the place in the shard; sums are its slot_sizes."""
+    # a row for each slot on the broadcast side
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("n")
     placed = sums.join(F.broadcast(slot_map), "vslot").select("vslot", "shard", before.alias("base"))
     own = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32")) - 1
@@ -97,15 +110,16 @@ def number(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None, version: int = 0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, one row for each of docs (doc_id, text)."""
-    rows = sized(docs, slots)
-    slot_map = plan(slot_sizes(rows).select("vslot", "bytes"), shards)
+    rows = split(materialise(sized(docs, slots), "sizes"), shards, slots)
+    sums = materialise(slot_sizes(rows), "slots")
+    slot_map = plan(sums.select("vslot", "bytes"), shards)
     if map_path:
         slot_map = store_map(slot_map, map_path, version)
-    return number(rows, slot_map).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    return number(rows, sums, slot_map).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
 def assign(docs: DataFrame, slot_map: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """docs with the column shard, by a stored map: no shuffle."""
+    """docs with the column shard, by a stored map: no shuffle. Rows of a slot that was split go where its first part is."""
     name = "_vslot"
     while name in docs.columns:
         name += "_"

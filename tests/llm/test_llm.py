@@ -103,6 +103,18 @@ def test_shards(spark, docs, tmp_path):
     assert sharding.shard(empty(docs)).count() == 0
 
 
+def test_shards_of_repeated_rows(spark):
+    """4,000 equal rows, and a third of null ids with null texts, are dealt over all shards."""
+    rows = [(7, "same text")] * 4000 + [(None, None)] * 2000 + [(i, prose(i, 5)) for i in range(100)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    load = collections.Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert len(got) == len(rows) and len(load) == 8 and max(load.values()) <= 1.05 * min(load.values())
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_rebalance_moves_little(spark):
     sizes = spark.range(512).selectExpr("cast(id as int) as vslot", "100 + id % 7 as bytes")
     old = sharding.plan(sizes, 8).cache()
@@ -217,6 +229,8 @@ def test_neighbours_of_repeated_ids(spark):
             want = sorted(top, key=lambda i: (-top[i], i))[:20]
             mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
             assert [r["vec_id"] for r in mine] == want and np.allclose([r["score"] for r in mine], [top[i] for i in want])
+    mixed = spark.createDataFrame([(0, [1.0, 2.0]), *((i, [1.0, float(i), 2.0]) for i in range(1, 61))], "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["rank"]) for r in ann.search(mixed).collect()) == [(q, k) for q in (20, 40, 60) for k in range(1, 21)]
     few = spark.createDataFrame([(0, [1.0, 0.0])] + [(1, [1.0, 0.1 * k]) for k in range(1, 40)] + [(i, [0.5, 0.01 * i]) for i in range(2, 22)], "vec_id long, embedding array<double>")
     assert len({r["vec_id"] for r in ann.search(few).where("query_id = 0").collect()}) == 20
 
@@ -382,6 +396,14 @@ def test_mixing(spark, docs):
     assert sum(r["n"] for r in mixing.emit(docs).groupBy().agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()) == sum(r["taken"] // r["size"] for r in got if r["size"]) + sum(0 for r in got) + mixing.mix(docs).where("size = 0").selectExpr("coalesce(sum(copies), 0) c").first()["c"]
 
 
+def test_mixing_keeps_other_columns(spark, docs):
+    held = docs.select("*", *(F.lit(c).alias(c) for c in ("_key", "_b", "_h", "_own", "_row", "_base")))
+    got = mixing.mix(held)
+    assert got.columns == [*held.columns, "size", "source_size", "target", "copies"]
+    assert {tuple(r) for r in got.select("_key", "_b", "_h", "_own", "_row", "_base").collect()} == {("_key", "_b", "_h", "_own", "_row", "_base")}
+    assert mixing.emit(held).columns == held.columns
+
+
 def test_targets(spark):
     sizes = {"a": 100, "b": 10, "c": 40, "d": 0, "e": 3}
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
