@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .store import in_batches
+from .store import give_back, in_batches
 
 ORDER = 4
 #: Bytes scored at once.
@@ -61,7 +61,7 @@ class Table:
     """Rows of float32 by 64-bit key: open addressing in an array, looked up for many keys at once."""
 
     def __init__(self, keys: np.ndarray, rows: np.ndarray):
-        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.bits = max(4, int(len(keys) * 2).bit_length())
         size = 1 << self.bits
         self.keys = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.index = np.zeros(size, np.int32)
@@ -250,4 +250,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
 def identify(docs: DataFrame, docs_per_lang: int = 300, bytes_per_lang: int = 600_000, keep_text: bool = True, names: tuple[str, str, str] = MADE) -> DataFrame:
     """Train on labelled rows outside the held-out fold, then predict every row of docs (doc_id, text, lang, ...)."""
     model = train(sample(docs.where(~F.coalesce(held_out(), F.lit(False))), docs_per_lang, bytes_per_lang))
-    return predict(docs, model, keep_text=keep_text, names=names)
+    found = predict(docs, model, keep_text=keep_text, names=names)
+    del model
+    give_back()
+    return found

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import SMALL, in_batches, materialise, release, small
+from .store import in_batches, is_small, materialise, release, small
 
 SHINGLE = 5
 PERCENT = 75
@@ -144,7 +144,7 @@ def _components(state: DataFrame, links: DataFrame) -> DataFrame:
     ends = state.select(F.col("rep").alias("b"), F.col("comp").alias("y")).join(ends, "b").where("x <> y")
     both = materialise(ends.select("x", "y").union(ends.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "hooks")
     labels = materialise(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("low")), "labels")
-    few = labels.count() <= SMALL
+    few = is_small(labels)
     held = lambda df: F.broadcast(df) if few else df
     while True:
         near = both.join(held(labels.select(F.col("x").alias("y"), "low")), "y").groupBy("x").agg(F.min("low").alias("near"))

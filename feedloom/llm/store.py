@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -33,30 +35,47 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of at most a few small columns that small() lets a join broadcast: a few MB.
-SMALL = 100_000
+#: Bytes in Parquet up to which small() lets a join broadcast a written table.
+SMALL = 2 << 20
+
+
+def _folders(table: DataFrame) -> list:
+    """Hadoop paths, with their file systems, of the folders that materialise() wrote for a table."""
+    context = table.sparkSession.sparkContext
+    paths = [context._jvm.org.apache.hadoop.fs.Path(x) for x in {f.rpartition("/")[0] for f in table.inputFiles()} if "/feedloom/" in x]
+    return [(p, p.getFileSystem(context._jsc.hadoopConfiguration())) for p in paths]
+
+
+def is_small(table: DataFrame) -> bool:
+    """Whether the files that a table is read from are few bytes; asks the file system, not Spark."""
+    return sum(store.getContentSummary(path).getLength() for path, store in _folders(table)) <= SMALL
 
 
 def small(table: DataFrame) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it has few (Parquet footers tell), else as it is."""
-    return F.broadcast(table) if table.count() <= SMALL else table
+    """A written table, marked for broadcast if it is small, else as it is."""
+    return F.broadcast(table) if is_small(table) else table
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables made by materialise() once nothing that is still to run reads them.
+    """Delete tables made by materialise() once nothing that is still to run reads them, and give memory back.
 
     The driver's JVM then collects its garbage, upon which Spark drops the shuffle files of finished queries."""
     for df in tables:
-        spark = df.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/feedloom/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+        for path, store in _folders(df):
+            store.delete(path, True)
     if tables:
+        give_back()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Collect this process's garbage and, where its allocator can, return freed memory to the system."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: Bytes of an Arrow batch; without a bound, ten thousand rows of long texts or large sets are one batch.
 BATCH_BYTES = 8 << 20
 
