@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 
 from .text import cashtags, col
 
-#: Phrases that settle the matter, and hints that count; the reference's, then our own.
+#: Phrases that settle the matter, and hints that count; SURVEY P1 and P3.
 PHRASES = (
     "guaranteed profit", "guaranteed return", "guaranteed income", "dm me for signals", "dm for signals", "dm me for profit", "100% win rate", "never lose", "copy my trades", "mirror my trades",
     "copyable strat", "copyable trade", "go follow @", "stock market guru", "trading guru", "market guru", "investing guru", "start earning", "boost your income", "live trades",
-    "join my telegram", "join our telegram", "dm me for", "link in bio", "free signals", "100x gem", "pump group",
 )
 HINTS = (
     "his picks", "her picks", "their picks", "his calls", "her calls", "their calls", "his trades", "her trades", "their trades", "his strategies", "her strategies", "their strategies",
     "his stock picks", "her stock picks", "always go up", "never go down", "always goes up", "never goes down", "always surge", "always surges", "making a fortune", "making money every day",
     "incredible", "impressive gains", "crushing it", "trade alerts", "trading signals", "quietly following", "been following", "follow @", "thanks to @", "stock picks", "worth following",
     "recommending this", "profiting me", "steady gains", "consistent gains", "seeing gains", "earn over", "earning over",
-    "moon", "gem", "100x", "airdrop", "presale", "whitelist", "giveaway", "bullish", "to the moon", "buy now", "don't miss", "signals", "profits", "alpha", "lfg", "pump",
 )
 
+#: Phrases of video titles and descriptions, and sequences of four tickers and more.
+VIDEO_PHRASES = (
+    "deleted in 24 hours", "will be deleted", "remove this video", "this video will be removed", "dm me", "dm for", "message me for", "guaranteed profit", "guaranteed return",
+    "100% win", "never lose", "get rich", "financial freedom in", "copy my trades", "live trading", "live crypto", "live gold", "live forex", "urgent:", "🔴 urgent", "🚨 urgent",
+    "must watch", "watch before", "prediction!", "friday prediction", "monday prediction",
+)
+TICKERS = r"[A-Z]{1,5}(\s*[/|,]\s*[A-Z]{1,5}){3,}"
+
 
 def any_phrase(text: Column | str, phrases: tuple[str, ...] = PHRASES) -> Column:
     low = F.lower(col(text))
@@ -47,18 +53,21 @@ def is_spam(text: Column | str) -> Column:
     return any_phrase(text) | many_cashtags(text) | shill(text)
 
 
-def video_spam(title: Column | str) -> Column:
+def video_spam(title: Column | str, description: Column | str | None = None) -> Column:
     t = col(title)
     marks = F.length(t) - F.length(F.replace(F.replace(t, F.lit("#"), F.lit("")), F.lit("$"), F.lit("")))
-    return any_phrase(t) | (marks >= 4) | t.rlike(r"\b[A-Z]{2,5}(, [A-Z]{2,5}){3,}")
+    whole = t if description is None else F.concat(t, F.lit(" "), F.coalesce(col(description), F.lit("")))
+    return any_phrase(whole, VIDEO_PHRASES) | (marks >= 4) | t.rlike(TICKERS)
 
 
 def funnel(posts: DataFrame, at: Column, floor: int = 3, days: int = 7) -> DataFrame:
-    """posts (id, ord, text, likes, reposts, published_at) with the step that drops each: seen, engagement, age, spam or none."""
+    """posts (id, ord, text, likes, reposts, published_at) with the step that drops each: seen, engagement, age, spam or none.
+    An id is seen once a row of it was kept."""
     from pyspark.sql import Window
 
-    first = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
     engagement = F.col("likes") + 2 * F.col("reposts")
     old = F.timestamp_diff("SECOND", F.col("published_at"), at) > days * 86400
-    step = F.when(first > 1, "seen").when(engagement < floor, "engagement").when(old, "age").when(is_spam("text"), "spam").otherwise("none")
-    return posts.withColumn("engagement", engagement).withColumn("dropped", step)
+    step = F.when(engagement < floor, "engagement").when(old, "age").when(is_spam("text"), "spam").otherwise("none")
+    kept = F.min(F.when(F.col("dropped") == "none", F.col("ord"))).over(Window.partitionBy("id"))
+    told = posts.withColumn("engagement", engagement).withColumn("dropped", step).withColumn("_kept", kept)
+    return told.withColumn("dropped", F.when(F.col("ord") > F.col("_kept"), "seen").otherwise(F.col("dropped"))).drop("_kept")

@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Parameters that only track where a visitor came from.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "igshid", "_hsenc")
+#: Parameters that only track where a visitor came from. Names are compared in lower case, so the last never matches.
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "referrer", "_hsenc", "_hsmi", "hsCtaTracking")
 #: How a question starts.
-QUESTION_STARTS = ("what", "why", "how", "when", "where", "who", "which", "is ", "are ", "can ", "does ", "do ", "did ", "will ", "would ", "should ", "could ", "has ", "have ")
+QUESTION_STARTS = ("what", "why", "how", "will", "would", "could", "should", "do ", "does", "did", "is ", "are ", "can ", "which", "who ", "when", "where", "might", "shall")
+#: Hosts whose links hide another address.
+SHORTENERS = ("tinyurl.com", "bit.ly", "ow.ly", "goo.gl", "buff.ly", "dlvr.it", "ift.tt", "rebrand.ly", "short.io", "tiny.cc", "t.co", "lnkd.in", "fb.me", "is.gd", "v.gd")
 
 
 def col(c: Column | str) -> Column:
@@ -23,22 +25,29 @@ def item_id(source: Column | str, url: Column | str) -> Column:
     return F.substring(F.sha2(F.concat(F.coalesce(col(source), F.lit("")), F.lit(":"), F.coalesce(col(url), F.lit(""))), 256), 1, 16)
 
 
+def _form(x: Column) -> Column:
+    """A form field's text decoded and encoded again, so that equal values look equal; what cannot be decoded stays."""
+    plain = F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def normalize_url(url: Column | str) -> Column:
-    """Without fragment, tracking or blank parameters and trailing slashes; repeated parameters stand together; lower case."""
-    bare = F.regexp_replace(col(url), "#.*$", "")
-    path, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"^[^?]*\?(.*)$", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: (F.instr(p, "=") > 1) & ~p.endswith("=") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING))
-    keys = F.array_distinct(F.transform(pairs, lambda p: F.substring_index(p, "=", 1)))
-    grouped = F.flatten(F.transform(keys, lambda k: F.filter(pairs, lambda p: F.substring_index(p, "=", 1) == k)))
+    """Without fragment, tracking or blank parameters and slashes at its end; repeated parameters stand together; lower case."""
+    bare = F.regexp_replace(col(url), "(?s)#.*$", "")
+    path, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"(?s)^[^?]*\?(.*)$", 1)
+    given = F.filter(F.split(query, "&"), lambda p: (F.instr(p, "=") > 0) & ~p.endswith("=") | p.rlike("^[^=]*=.*=$"))
+    name = lambda p: _form(F.substring_index(p, "=", 1))
+    pairs = F.filter(F.transform(given, lambda p: F.struct(name(p).alias("k"), _form(F.substr(p, F.instr(p, "=") + 1)).alias("v"))), lambda p: ~F.lower(p["k"]).isin(*TRACKING))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    grouped = F.flatten(F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: F.concat(k, F.lit("="), p["v"]))))
     rest = F.array_join(grouped, "&")
-    stem = F.regexp_replace(path, "/+$", "")
-    return F.lower(F.when(rest == "", stem).otherwise(F.concat(stem, F.lit("?"), rest)))
+    return F.lower(F.regexp_replace(F.when(rest == "", path).otherwise(F.concat(path, F.lit("?"), rest)), "/+$", ""))
 
 
 def title_key(title: Column | str) -> Column:
-    """Without a trailing publisher of up to 40 characters; a-z and digits only; 80 characters."""
-    bare = F.regexp_replace(F.lower(col(title)), r"\s+-\s+[^-]{1,40}$", "")
-    return F.substring(F.regexp_replace(bare, "[^a-z0-9]", ""), 1, 80)
+    """Without a trailing publisher, a word character and up to 40 more without a hyphen; a-z and digits only; 80 characters."""
+    bare = F.regexp_replace(F.regexp_replace(col(title), r"(?U)^\s+|\s+\z", ""), r"(?U)\s+-\s+\w[^-]{0,40}\z", "")
+    return F.substring(F.regexp_replace(F.lower(bare), "[^a-z0-9]", ""), 1, 80)
 
 
 def search_title_key(title: Column | str) -> Column:
@@ -148,17 +157,23 @@ def embed_text(title: Column | str, content: Column | str, n: int = 200) -> Colu
 
 
 def cashtags(text: Column | str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.upper(col(text)), F.lit(r"\$[A-Z]{1,6}\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.upper(col(text)), F.lit(r"\$[A-Z]{1,5}\b"), F.lit(0)))
+
+
+#: Fixed value: the host whose article links hold their target.
+NEWS_HOST = "news.google.com"
 
 
 def news_target(url: Column | str) -> Column:
-    """The address inside a search engine's article link: url-safe base64 of the last path segment; null if there is none."""
+    """The address inside a news search's article link: url-safe base64 of its path segment, up to a zero byte. Other links, and
+    those that hold no address, stay as they are."""
     segment = F.regexp_extract(col(url), r"/articles/([A-Za-z0-9_-]+)", 1)
     raw = F.decode(F.try_to_binary(F.translate(segment, "-_", "+/"), F.lit("base64")), "ISO-8859-1")
-    found = F.regexp_extract(raw, r"(https://[\x21-\x7e]+)", 1)
-    plain = F.regexp_extract(raw, r"(http://[\x21-\x7e]+)", 1)
-    at = F.when(found != "", found).otherwise(plain)
-    return F.when((at != "") & (F.instr(F.substring(at, 1, 60), ".") > 0), at)
+    plain, safe = (F.regexp_extract(raw, rf"(?s)({x}://[^\x00]*)", 1) for x in ("http", "https"))
+    held = F.when(safe != "", safe).otherwise(plain)
+    held = F.decode(F.encode(held, "ISO-8859-1"), "UTF-8")
+    found = F.contains(col(url), F.lit(NEWS_HOST)) & (segment != "") & (F.instr(F.substring(held, 1, 60), ".") > 0)
+    return F.when(F.coalesce(found, F.lit(False)), held).otherwise(col(url))
 
 
 def fenced_json(text: Column | str) -> Column:
@@ -176,7 +191,7 @@ def json_object(text: Column | str) -> Column:
 def shown_url(expanded: Column | str, own: Column | str) -> Column:
     """The linked address unless it is a shortener's or the network's own."""
     host = F.lower(F.regexp_replace(F.regexp_extract(col(expanded), r"^[a-zA-Z]+://([^/?#]+)", 1), r"^www\.", ""))
-    bad = host.isin("t.co", "bit.ly", "buff.ly", "ow.ly", "tinyurl.com", "dlvr.it", "twitter.com", "x.com") | (host == "")
+    bad = host.isin(*SHORTENERS, "twitter.com", "x.com") | (host == "")
     return F.when(F.coalesce(bad, F.lit(True)), col(own)).otherwise(col(expanded))
 
 

@@ -68,7 +68,7 @@ def f8_widened_window(spark, d):
     return recency.widen(held, as_of(), 2, "k").select("id", "topic", "widened")
 
 
-@query("SELECT item_id, greatest(CASE WHEN regexp_matches(lower(trim(text)), '^(what|why|how|when|where|who|which|is |are |can |does |do |did |will |would |should |could |has |have )') OR len(regexp_extract_all(text, '\\S+')) >= 7 THEN 168 ELSE 72 END, 72) AS hours FROM benchmark")
+@query("SELECT item_id, greatest(CASE WHEN regexp_matches(lower(trim(text)), '^(what|why|how|will|would|could|should|do |does|did|is |are |can |which|who |when|where|might|shall)') OR len(regexp_extract_all(text, '\\S+')) >= 7 THEN 168 ELSE 72 END, 72) AS hours FROM benchmark")
 def f9_question_window(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.greatest(F.when(T.is_question("text"), 168).otherwise(72), F.lit(72)).alias("hours"))
 
@@ -211,15 +211,15 @@ def t1_item_id(spark, d):
 
 
 _TRACK = "', '".join(T.TRACKING)
-_PAIRS = f"list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '^[^?]*\\?(.*)$', 1), '&'), lambda p: instr(p, '=') > 1 AND NOT ends_with(p, '=') AND lower(split_part(p, '=', 1)) NOT IN ('{_TRACK}'))"
+_PAIRS = f"list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '^[^?]*\\?(.*)$', 1), '&'), lambda p: instr(p, '=') > 0 AND NOT ends_with(p, '=') AND lower(split_part(p, '=', 1)) NOT IN ('{_TRACK}'))"
 
 
-@query(f"WITH p AS (SELECT page_id, regexp_replace(regexp_extract(regexp_replace(url, '#.*$', ''), '^([^?]*)', 1), '/+$', '') AS stem, array_to_string({_PAIRS}, '&') AS rest FROM pages) SELECT page_id, lower(CASE WHEN rest = '' THEN stem ELSE stem || '?' || rest END) AS url FROM p")
+@query(f"WITH p AS (SELECT page_id, regexp_extract(regexp_replace(url, '#.*$', ''), '^([^?]*)', 1) AS stem, array_to_string({_PAIRS}, '&') AS rest FROM pages) SELECT page_id, lower(regexp_replace(CASE WHEN rest = '' THEN stem ELSE stem || '?' || rest END, '/+$', '')) AS url FROM p")
 def t2_normalize_url(spark, d):
     return read(spark, d, "pages").select("page_id", T.normalize_url("url").alias("url"))
 
 
-@query(I + "SELECT id, regexp_replace(regexp_replace(lower(title), '\\s+-\\s+[^-]{1,40}$', ''), '[^a-z0-9]', '', 'g')[1:80] AS key FROM items")
+@query(I + "SELECT id, regexp_replace(lower(regexp_replace(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '\\s+-\\s+[\\p{L}\\p{N}_][^-]{0,40}$', '')), '[^a-z0-9]', '', 'g')[1:80] AS key FROM items")
 def t3_title_key(spark, d):
     return items(spark, d).select("id", T.title_key("title").alias("key"))
 
@@ -242,13 +242,13 @@ def t8_fts_escape(spark, d):
     return read(spark, d, "benchmark").select("item_id", T.fts_escape("text").alias("escaped"))
 
 
-_Q = "(ends_with(trim(text), '?') OR regexp_matches(lower(trim(text)), '^(what|why|how|when|where|who|which|is |are |can |does |do |did |will |would |should |could |has |have )') OR len(regexp_extract_all(trim(text), '\\S+')) >= 7)"
-_FIX = "(VALUES (1, 'whatsapp'), (2, 'market news?'), (3, 'the quick brown fox jumps over dogs'), (4, 'rust'), (5, 'open source models')) v(id, text)"
+_Q = "(ends_with(trim(text), '?') OR regexp_matches(lower(trim(text)), '^(what|why|how|will|would|could|should|do |does|did|is |are |can |which|who |when|where|might|shall)') OR len(regexp_extract_all(trim(text), '\\S+')) >= 7)"
+_FIX = "(VALUES (1, 'whatsapp'), (2, 'market news?'), (3, 'the quick brown fox jumps over dogs'), (4, 'rust'), (5, 'open source models'), (6, 'might rates fall'), (7, 'shall we buy'), (8, 'willow tree'), (9, 'has gold peaked'), (10, 'whose turn'), (11, 'do it'), (12, 'dome'), (13, 'island life'), (14, 'who won'), (15, 'cannot say'), (16, 'Is  it'), (17, 'why')) v(id, text)"
 
 
 @query(f"SELECT id::BIGINT AS id, {_Q} AS question, {_Q} OR len(regexp_extract_all(text, '\\S+')) >= 3 AS expand FROM {_FIX}")
 def t9_t10_question(spark, d):
-    rows = spark.createDataFrame([(1, "whatsapp"), (2, "market news?"), (3, "the quick brown fox jumps over dogs"), (4, "rust"), (5, "open source models")], "id long, text string")
+    rows = spark.createDataFrame([(1, "whatsapp"), (2, "market news?"), (3, "the quick brown fox jumps over dogs"), (4, "rust"), (5, "open source models"), (6, "might rates fall"), (7, "shall we buy"), (8, "willow tree"), (9, "has gold peaked"), (10, "whose turn"), (11, "do it"), (12, "dome"), (13, "island life"), (14, "who won"), (15, "cannot say"), (16, "Is  it"), (17, "why")], "id long, text string")
     return rows.select("id", T.is_question("text").alias("question"), T.wants_expansion("text").alias("expand"))
 
 
@@ -307,12 +307,12 @@ def t22_json_object(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object(body, "$.k").cast("long").alias("k"))
 
 
-@query("SELECT 1::BIGINT AS id, 'https://example.com/story' AS target UNION ALL SELECT 2, NULL")
+@query("SELECT 1::BIGINT AS id, 'https://example.com/story' AS target UNION ALL SELECT 2, 'https://news.google.com/x' UNION ALL SELECT 3, 'https://a.example/articles/aGk'")
 def t6_news_target(spark, d):
     import base64
 
     inner = base64.urlsafe_b64encode(b"\x08\x13\x22\x19https://example.com/story\x00\x01").decode().rstrip("=")
-    rows = spark.createDataFrame([(1, f"https://news.example/rss/articles/{inner}?oc=5"), (2, "https://news.example/x")], "id long, url string")
+    rows = spark.createDataFrame([(1, f"https://news.google.com/rss/articles/{inner}?oc=5"), (2, "https://news.google.com/x"), (3, "https://a.example/articles/aGk")], "id long, url string")
     return rows.select("id", T.news_target("url").alias("target"))
 
 

@@ -220,6 +220,7 @@ def d8_clusters(spark, d):
 _POSTS = [
     (1, 0, "Join my Telegram for tips", 50, 0), (2, 1, "$AAPL $MSFT $TSLA up", 50, 0), (3, 2, "$AAPL and $AAPL again", 50, 0), (4, 3, "@you $DOGE to the moon, buy now", 50, 0),
     (5, 4, "@you $DOGE steady", 50, 0), (6, 5, "plain words", 1, 0), (5, 6, "@you $DOGE steady", 50, 0), (7, 7, "plain words two", 1, 1),
+    (8, 8, "Copy my trades today", 50, 0), (9, 9, "@you $DOGE his picks keep crushing it", 50, 0), (8, 10, "calm now", 50, 0), (8, 11, "calm again", 50, 0),
 ]
 
 
@@ -227,12 +228,12 @@ def posts(spark):
     return spark.createDataFrame(_POSTS, "id long, ord long, text string, likes long, reposts long")
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'spam'), (1, 'spam'), (2, 'none'), (3, 'spam'), (4, 'none'), (5, 'engagement'), (6, 'seen'), (7, 'none')) v(ord, dropped)")
+@query("SELECT * FROM (VALUES (0::BIGINT, 'none'), (1, 'spam'), (2, 'none'), (3, 'none'), (4, 'none'), (5, 'engagement'), (6, 'seen'), (7, 'none'), (8, 'spam'), (9, 'spam'), (10, 'none'), (11, 'seen')) v(ord, dropped)")
 def p1_p4_funnel(spark, d):
     return S.funnel(posts(spark).withColumn("published_at", as_of()), as_of()).select("ord", "dropped")
 
 
-@query("SELECT doc_id, contains(lower(text), 'airdrop') OR contains(lower(text), 'token') AS phrase, len(list_distinct(regexp_extract_all(upper(text), '\\$[A-Z]{1,6}\\b'))) AS cashtags, regexp_matches(text, '@[A-Za-z0-9_]+') AS mention FROM documents")
+@query("SELECT doc_id, contains(lower(text), 'airdrop') OR contains(lower(text), 'token') AS phrase, len(list_distinct(regexp_extract_all(upper(text), '\\$[A-Z]{1,5}\\b'))) AS cashtags, regexp_matches(text, '@[A-Za-z0-9_]+') AS mention FROM documents")
 def p1_p2_t24_signals(spark, d):
     return read(spark, d, "documents").select("doc_id", S.any_phrase("text", ("airdrop", "token")).alias("phrase"), F.size(T.cashtags("text")).cast("long").alias("cashtags"), F.col("text").rlike("@[A-Za-z0-9_]+").alias("mention"))
 
@@ -243,15 +244,15 @@ def _held(words: tuple[str, ...], by: str) -> str:
     return by.join(f"contains(low, '{w}')::INT" for w in quoted)
 
 
-@query(f"""WITH t AS (SELECT doc_id, text, lower(text) AS low, len(list_distinct(regexp_extract_all(upper(text), '\\$[A-Z]{{1,6}}\\b'))) AS cashtags FROM documents)
+@query(f"""WITH t AS (SELECT doc_id, text, lower(text) AS low, len(list_distinct(regexp_extract_all(upper(text), '\\$[A-Z]{{1,5}}\\b'))) AS cashtags FROM documents)
 SELECT doc_id, ({_held(S.PHRASES, " + ")}) > 0 OR cashtags >= 3 OR (regexp_matches(text, '@[A-Za-z0-9_]+') AND cashtags > 0 AND ({_held(S.HINTS, " + ")}) >= 2) AS spam FROM t""")
 def p1_p3_spam(spark, d):
     return read(spark, d, "documents").select("doc_id", S.is_spam("text").alias("spam"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, true), (2, true), (3, false)) v(id, spam)")
+@query("SELECT * FROM (VALUES (1::BIGINT, true), (2, true), (3, false), (4, true), (5, false), (6, true)) v(id, spam)")
 def p6_video_spam(spark, d):
-    return spark.createDataFrame([(1, "#a #b #c $d"), (2, "BUY AAPL, MSFT, TSLA, NVDA now"), (3, "calm title #one")], "id long, title string").select("id", S.video_spam("title").alias("spam"))
+    return spark.createDataFrame([(1, "#a #b #c $d"), (2, "BUY AAPL, MSFT, TSLA, NVDA now"), (3, "calm title #one"), (4, "SPY / QQQ / NVDA / TSLA"), (5, "AAPL, MSFT and a calm day"), (6, "How to get RICH")], "id long, title string").select("id", S.video_spam("title").alias("spam"))
 
 
 @query("SELECT * FROM (VALUES (1::BIGINT, 'own'), (2, 'https://www.netflix.com/x'), (3, 'own'), (4, 'own')) v(id, url)")
@@ -279,9 +280,9 @@ def s1_feed_entries(spark, d):
     return feeds.entries(spark.createDataFrame([("f", _RSS)], "feed string, xml string"), as_of()).select("feed", "title", "url", "content")
 
 
-@query("SELECT * FROM (VALUES ('p'::VARCHAR, 2::BIGINT, 1.0::DOUBLE), ('q', 4, 1.0)) v(subreddit, id, raw_score)")
+@query("SELECT * FROM (VALUES ('p'::VARCHAR, 1::BIGINT, 0.5::DOUBLE), ('p', 2, 1.0), ('q', 4, 1.0)) v(subreddit, id, raw_score)")
 def s6_reddit(spark, d):
-    rows = spark.createDataFrame([("p", 1, 0, "t", " ", True, 5), ("p", 2, 1, "t", "body", True, 10), ("q", 4, 0, "t", None, False, 3)], "subreddit string, id long, ord int, title string, selftext string, is_self boolean, score long")
+    rows = spark.createDataFrame([("p", 1, 0, "t", " ", True, 5), ("p", 2, 1, "t", "body", True, 10), ("p", 3, 2, "t", "", True, 7), ("p", 5, 3, "t", None, True, 7), ("q", 4, 0, "t", None, False, 3)], "subreddit string, id long, ord int, title string, selftext string, is_self boolean, score long")
     return feeds.reddit(rows).select("subreddit", "id", "raw_score")
 
 
@@ -291,10 +292,10 @@ def s7_a11_engagement(spark, d):
     return feeds.engagement(held, 3).select("ord", F.round("raw_score", 6).alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('a'::VARCHAR, 1000::BIGINT, round(11 / 2.0, 6)::DOUBLE)) v(id, views, capped) WHERE false UNION ALL SELECT 'a', 1000, 1.0 UNION ALL SELECT 'c', 600, 0.3")
+@query("SELECT * FROM (VALUES ('a'::VARCHAR, 1000::BIGINT, round(11 / 2.0, 6)::DOUBLE)) v(id, views, capped) WHERE false UNION ALL SELECT 'a', 1000, 1.0 UNION ALL SELECT 'c', 600, 0.2")
 def s9_j9_f14_t32_videos(spark, d):
-    found = spark.createDataFrame([("a", 0, "x", "en"), ("a", 1, "x", "en"), ("b", 2, "y", "en"), ("c", 3, "z", "en"), ("d", 4, "w", "de")], "id string, ord int, title string, language string")
-    stats = spark.createDataFrame([("a", 1000, 10), ("c", 600, 0)], "id string, views long, likes long")
+    found = spark.createDataFrame([("a", 0, "x", "en"), ("a", 1, "x", "en"), ("b", 2, "y", "en"), ("c", 3, "z", "en"), ("d", 4, "w", "de"), ("e", 5, "URGENT: sell", "en")], "id string, ord int, title string, language string")
+    stats = spark.createDataFrame([("a", 1000, 10), ("c", 600, 0), ("d", 2000, 9), ("e", 900, 9)], "id string, views long, likes long")
     return feeds.videos(found, stats).select("id", "views", F.col("raw_score").alias("capped"))
 
 

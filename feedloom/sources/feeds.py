@@ -51,12 +51,11 @@ def reddit(posts: DataFrame, limit: int = 50, subreddits: int = 1) -> DataFrame:
     from pyspark.sql import Window
 
     own = Window.partitionBy("subreddit")
-    rank = F.row_number().over(own.orderBy("ord"))
     cap = max(10, limit // max(1, subreddits))
-    held = posts.withColumn("_n", rank).withColumn("_max", F.max("score").over(own)).where(F.col("_n") <= cap)
-    held = held.where(~(F.col("is_self") & (F.trim(F.coalesce("selftext", F.lit(""))) == "")))
+    held = posts.withColumn("_n", F.row_number().over(own.orderBy("ord"))).where(F.col("_n") <= cap).withColumn("_max", F.max("score").over(own))
+    held = held.where(~(F.col("is_self") & (F.coalesce("selftext", F.lit("")) == "")))
     content = F.coalesce(F.nullif(F.substring("selftext", 1, 2000), F.lit("")), F.col("title"))
-    return held.select("subreddit", "id", "title", content.alias("content"), F.when(F.col("_max") > 0, F.col("score") / F.col("_max")).otherwise(0.0).alias("raw_score"))
+    return held.select("subreddit", "id", "title", content.alias("content"), minmax(F.col("score").cast("double"), F.lit(0.0), F.col("_max").cast("double")).alias("raw_score"))
 
 
 def engagement(posts: DataFrame, floor: int) -> DataFrame:
@@ -68,12 +67,14 @@ def engagement(posts: DataFrame, floor: int) -> DataFrame:
 
 
 def videos(found: DataFrame, statistics: DataFrame) -> DataFrame:
-    """found (id, ord, title, language) once each, with statistics (id, views, likes), without dead ones, English only, scored."""
+    """found (id, ord, title, language) once each, with statistics (id, views, likes), without spam and dead ones, English only,
+    scored by the views of the most watched of all found."""
+    from ..functions.spam import video_spam
     from ..operators.recency import first_seen
 
     held = first_seen(found, "id", "ord").join(statistics, "id", "left").fillna(0, ["views", "likes"])
-    held = held.where(~((F.col("likes") == 0) & (F.col("views") < 500)) & (F.col("language") == "en"))
-    high = held.agg(F.max("views").alias("high"))
+    high = held.agg(F.when(F.max("views") > 0, F.max("views")).otherwise(1).alias("high"))
+    held = held.where(~((F.col("likes") == 0) & (F.col("views") < 500)) & (F.col("language") == "en") & ~video_spam("title"))
     score = F.least(F.lit(1.0), (F.col("views") * 0.001 + F.col("likes")) / (F.col("high") * 0.001 + 1))
     return held.join(F.broadcast(high)).withColumn("raw_score", F.round(score, 6)).drop("high")
 
