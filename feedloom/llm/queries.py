@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licenses, linededup, mixing, neardup, sharding, substrings, tokens
+from . import ann, decontaminate, langid, licenses, linededup, mixing, neardup, oracles, sharding, substrings, tokens
 from .store import new_path
 
 
@@ -64,4 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op9_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": oracles.DECONTAMINATION, "op2_line_dedup": oracles.LINES, "op6_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op9_mixing": mixing.ORACLE, "op10_substring_dedup": oracles.SUBSTRINGS,
+}
