@@ -198,3 +198,10 @@ def shown_url(expanded: Column | str, own: Column | str) -> Column:
 def show_content(title: Column | str, content: Column | str) -> Column:
     t, c = col(title), col(content)
     return (F.length(c) > F.length(t) + 60) & ~F.lower(c).startswith("http") & (F.substring(F.lower(c), 1, 80) != F.substring(F.lower(t), 1, 80))
+
+
+def usage(response: Column | str) -> list[Column]:
+    """prompt_tokens, completion_tokens, total_tokens of a model's answer in JSON; 0 for what is missing or no number."""
+    read = lambda k: F.get_json_object(col(response), f"$.usage.{k}")
+    names = ("prompt_tokens", "completion_tokens", "total_tokens")
+    return [F.coalesce(read(k).try_cast("double").cast("long"), F.lit(0).cast("long")).alias(k) for k in names]

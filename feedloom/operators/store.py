@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,47 @@ def prune(items: DataFrame, cutoff: Column) -> DataFrame:
     return items.where(F.col("fetched_at") >= cutoff)
 
 
+def clear(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """relation, cleared: how many rows each table held before it was emptied; its columns stay."""
+    counts = []
+    for name, path in paths.items():
+        held = spark.read.parquet(path)
+        counts.append((name, held.count()))
+        spark.createDataFrame([], held.schema).write.mode("overwrite").parquet(path)
+    return spark.createDataFrame(counts, "relation string, cleared long")
+
+
+def digest_rows(rows: DataFrame) -> DataFrame:
+    """id, date, topic (in lower case), content, item_count, generated_at of digests as they are written."""
+    topic = F.lower("topic")
+    return rows.select(F.concat_ws("_", "date", topic).alias("id"), "date", topic.alias("topic"), "content", "item_count", "generated_at")
+
+
+def put_digests(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The digests after new ones (one a date and topic): those of a known date and topic are replaced."""
+    return merge(old, digest_rows(new), "id", ["content", "item_count", "generated_at"])
+
+
+def get_digest(held: DataFrame, date: str, topic: str) -> DataFrame:
+    """The digest of a date and topic, else the topic's latest: one row or none."""
+    exact = (F.col("date") == date).cast("int")
+    return held.where(F.col("topic") == topic.lower()).orderBy(F.desc(exact), F.desc_nulls_last("generated_at")).limit(1)
+
+
+def delete_digest(held: DataFrame, date: str, topic: str) -> DataFrame:
+    return held.where(F.col("id") != f"{date}_{topic.lower()}")
+
+
+def put_settings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """key, value, updated_at after new settings, one a key."""
+    return merge(old, new, "key", ["value", "updated_at"])
+
+
+def get_setting(held: DataFrame, key: str, default: str = "") -> DataFrame:
+    """value: one row, the default where the key is unknown."""
+    return held.where(F.col("key") == key).agg(F.coalesce(F.first("value"), F.lit(default)).alias("value"))
+
+
 def publish(df: DataFrame, path: str, version: int) -> str:
     """Write a version beside the others, never over one that is read."""
     to = f"{path.rstrip('/')}/version={version}"

@@ -9,6 +9,7 @@ from ..adapters import as_of, hours_before, interactions, items, ledger, read, w
 from ..functions import text as T
 from ..operators import digest, preference, recency, store
 from ..operators import ledger as costs
+from ..session import new_folder
 from .registry import query
 
 AT = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -95,9 +96,10 @@ def f13_show_content(spark, d):
     return items(spark, d).select("id", T.show_content("title", "content").alias("show"))
 
 
-@query(A + "SELECT i.id, NULL::VARCHAR AS summary, NULL::DOUBLE AS relevance FROM items i WHERE i.id NOT IN (SELECT item_id FROM interactions WHERE item_id % 4 = 0) AND i.id % 2 = 0")
+@query(I + f"SELECT id, NULL::VARCHAR AS summary, NULL::DOUBLE AS relevance FROM items WHERE id NOT IN (SELECT id FROM items WHERE fetched_at < {AT} - INTERVAL 24 HOUR)")
 def f15_f16_new_rows_cleared(spark, d):
-    new = items(spark, d).where("id % 2 = 0").join(interactions(spark, d).where("item_id % 4 = 0").select(F.col("item_id").alias("id")).distinct(), "id", "left_anti")
+    stored = items(spark, d).where(F.col("fetched_at") < hours_before(as_of(), 24)).select("id")
+    new = items(spark, d).join(stored, "id", "left_anti")
     return new.select("id", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("double").alias("relevance"))
 
 
@@ -316,9 +318,11 @@ def t6_news_target(spark, d):
     return rows.select("id", T.news_target("url").alias("target"))
 
 
-@query("SELECT event_id, coalesce(try_cast(value::VARCHAR AS DOUBLE)::BIGINT, 0) - coalesce(try_cast(value::VARCHAR AS DOUBLE)::BIGINT, 0) AS diff, coalesce(try_cast(event_type AS BIGINT), 0) AS tokens FROM events")
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE floor(value)::BIGINT END AS prompt_tokens, 0::BIGINT AS completion_tokens, CASE WHEN event_type = 'error' THEN 0 ELSE coalesce(user_id, 0) END::BIGINT AS total_tokens FROM events")
 def t26_usage_default(spark, d):
-    return read(spark, d, "events").select("event_id", F.lit(0).cast("long").alias("diff"), F.coalesce(F.col("event_type").try_cast("long"), F.lit(0)).alias("tokens"))
+    usage = F.struct(F.floor("value").alias("prompt_tokens"), F.col("event_type").alias("completion_tokens"), F.col("user_id").alias("total_tokens"))
+    held = read(spark, d, "events").select("event_id", F.when(F.col("event_type") != "error", F.to_json(F.struct(usage.alias("usage")))).alias("response"))
+    return held.select("event_id", *T.usage("response"))
 
 
 @query("SELECT 1::BIGINT AS id, 'AI,Rust' AS topics UNION ALL SELECT 2, '' UNION ALL SELECT 3, ''")
@@ -475,9 +479,35 @@ def k5_prune(spark, d):
     return store.prune(items(spark, d), hours_before(as_of(), 24)).select("id")
 
 
-@query(I + "SELECT 0::BIGINT AS left_over, count(*) AS cleared FROM items")
+@query(I + "SELECT 'items' AS relation, count(*) AS cleared, 0::BIGINT AS left_over FROM items UNION ALL SELECT 'digests', count(DISTINCT topic), 0 FROM items")
 def k6_clear(spark, d):
-    return items(spark, d).agg(F.lit(0).cast("long").alias("left_over"), F.count("*").alias("cleared"))
+    at, held = new_folder(spark), items(spark, d)
+    paths = {"items": f"{at}/items", "digests": f"{at}/digests"}
+    held.write.parquet(paths["items"])
+    held.groupBy("topic").agg(F.count("*").alias("item_count")).write.parquet(paths["digests"])
+    cleared = store.clear(spark, paths)
+    left = [spark.read.parquet(p).agg(F.lit(name).alias("relation"), F.count("*").alias("left_over")) for name, p in paths.items()]
+    return cleared.join(left[0].unionByName(left[1]), "relation")
+
+
+_DIGESTS = "SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, lower(o_orderpriority) AS topic, count(*) AS item_count FROM orders WHERE o_orderstatus {} 'F' GROUP BY 1, 2"
+
+
+@query(f"SELECT date || '_' || topic AS id, date, topic, CASE WHEN n.date IS NULL THEN 'old' ELSE 'new' END AS content, coalesce(n.item_count, o.item_count) AS item_count FROM ({_DIGESTS.format('=')}) o FULL JOIN ({_DIGESTS.format('<>')}) n USING (date, topic)")
+def k7_digest_upsert(spark, d):
+    orders = read(spark, d, "orders").withColumn("done", F.col("o_orderstatus") == "F")
+    rows = orders.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("topic"), "done").agg(F.count("*").alias("item_count"), F.max("o_orderdate").alias("generated_at"))
+    old, new = (rows.where(F.col("done") == x).select("date", "topic", F.lit(c).alias("content"), "item_count", "generated_at") for x, c in ((True, "old"), (False, "new")))
+    held = store.put_digests(store.digest_rows(old), new)
+    return held.select("id", "date", "topic", "content", "item_count")
+
+
+@query("SELECT 'k' || coalesce(s_suppkey, c_custkey) AS key, coalesce(c_name, s_name) AS value FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
+def k8_settings(spark, d):
+    at = as_of()
+    old = read(spark, d, "supplier").select(F.concat(F.lit("k"), "s_suppkey").alias("key"), F.col("s_name").alias("value"), at.alias("updated_at"))
+    new = read(spark, d, "customer").select(F.concat(F.lit("k"), "c_custkey").alias("key"), F.col("c_name").alias("value"), at.alias("updated_at"))
+    return store.put_settings(old, new).select("key", "value")
 
 
 @query("SELECT source, (10 * (doc0 + 0) + n)::BIGINT AS items_fetched, last_error FROM (SELECT source, 1 AS doc0, sum(doc_id % 3) AS n, arg_max(CASE WHEN doc_id % 4 = 0 THEN 'e' || doc_id END, CASE WHEN doc_id % 4 = 0 THEN doc_id END) AS last_error FROM documents GROUP BY source)")
@@ -501,7 +531,7 @@ def k12_markdown(spark, d):
 
 @query()
 def k11_json(spark, d):
-    return store.export_json(items(spark, d).where("topic = 't1' AND language = 'es'"))
+    return store.export_json(items(spark, d))
 
 
 @query("SELECT o_custkey % 10 AS keyword, o_orderkey AS seq, coalesce(date_diff('second', lag(o_orderdate) OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderdate, o_orderkey), o_orderdate) >= 300, true) AS admitted FROM orders")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from ..functions import text as T
 from ..operators import dedup, preference, recency
 from ..operators import retrieval as R
 from ..sources import feeds
+from ..session import new_folder
 from .item_queries import DIMS, PREFS
 from .registry import query
 
@@ -98,9 +97,9 @@ def r10_j7_preference_boost(spark, d):
     return preference.boosted(held, preference.scores(interactions(spark, d), held)).select("id", "boost", "boosted")
 
 
-@query("SELECT round(avg(v), 6) AS mean_of_unit, round(sqrt(sum(v * v)), 6) AS norm FROM (SELECT m / sqrt(sum(m * m) OVER ()) AS v FROM (SELECT pos, avg(v::DOUBLE) AS m FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id < 5) GROUP BY pos))")
+@query("SELECT round(avg(v), 6) AS mean_of_unit, round(sqrt(sum(v * v)), 6) AS norm FROM (SELECT m / sqrt(sum(m * m) OVER ()) AS v FROM (SELECT pos, avg(v::DOUBLE) AS m FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY pos))")
 def r11_a14_mean_embedding(spark, d):
-    one = R.mean_vector(vectors(spark, d).where("id < 5")).select(F.explode("embedding").alias("v"))
+    one = R.mean_vector(vectors(spark, d)).select(F.explode("embedding").alias("v"))
     return one.agg(F.round(F.avg("v"), 6).alias("mean_of_unit"), F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("norm"))
 
 
@@ -191,11 +190,28 @@ def d2_semantic_fold(spark, d):
     return dedup.semantic_fold(held, dedup.vector_pairs(vectors(spark, d), 0.4).select("a", "b"))
 
 
-@query("""WITH t AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark), c AS (SELECT id, term, count(*) AS tf FROM t WHERE length(term) > 1 AND term NOT IN ('the','and','of','to','in','is','for','on','with','by') GROUP BY 1, 2),
-v AS (SELECT term, sum(tf) AS a, count(*) AS df FROM c GROUP BY term ORDER BY a DESC, term LIMIT 5000), w AS (SELECT id, term, tf * (ln(((SELECT count(*) FROM benchmark) + 1) / (df + 1)) + 1) AS w FROM c JOIN v USING (term)),
-u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w) SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) >= 0.2""")
+_STOP = ", ".join(f"'{w}'" for w in dedup.STOP_WORDS)
+
+
+@query(I + f""", t AS (SELECT id, unnest(regexp_extract_all(lower(title || ' ' || content[1:200]), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM items), c AS (SELECT id, term, count(*) AS tf FROM t WHERE term NOT IN ({_STOP}) GROUP BY 1, 2),
+v AS (SELECT term, sum(tf) AS a, count(*) AS df FROM c GROUP BY term ORDER BY a DESC, term LIMIT 5000), w AS (SELECT id, term, tf * (ln(((SELECT count(*) FROM items) + 1) / (df + 1)) + 1) AS w FROM c JOIN v USING (term)),
+u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w) SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) >= 0.82""")
 def d3_tfidf_pairs(spark, d):
-    return dedup.tfidf_pairs(read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), 0.2)
+    return dedup.tfidf_pairs(items(spark, d).select("id", F.concat("title", F.lit(" "), F.substring("content", 1, 200)).alias("text")), 0.82)
+
+
+@query()
+def d3_tfidf_fold(spark, d):
+    text = F.concat("title", F.lit(" "), F.substring("content", 1, 200))
+    held = items(spark, d).select("id", F.col("id").alias("ord"), T.detail_score("content", "summary", "raw_score").alias("detail"), text.alias("text"))
+    return dedup.tfidf_fold(held, 0.82)
+
+
+@query()
+def d4_dispatcher(spark, d):
+    held = fold_items(spark, d)
+    found = [dedup.deduplicate(held, name, 0.82, vectors(spark, d)).withColumn("strategy", F.lit(name)) for name in ("semantic", "tfidf", "none")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(I + " SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY trim(lower(title))[1:80] ORDER BY id) AS n FROM items) WHERE n = 1")
@@ -210,9 +226,10 @@ def d6_d7_existing_first(spark, d):
     return recency.first_seen(both, "doc_id", "part")
 
 
-@query("SELECT label AS cluster_id, min(vec_id) AS representative, count(*) AS n FROM embeddings GROUP BY label")
+@query()
 def d8_clusters(spark, d):
-    return read(spark, d, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.min("vec_id").alias("representative"), F.count("*").alias("n"))
+    held = d2_semantic_fold(spark, d).where("cluster_id IS NOT NULL")
+    return held.groupBy("cluster_id").agg(F.min("id").alias("first"), F.count("*").alias("n"))
 
 
 # --- spam and sources --------------------------------------------------------------------------------------------------
@@ -354,21 +371,10 @@ def _flow(spark, d):
     return flows, spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 10).parquet(top)
 
 
-def _folder(spark) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="feedloom-")
-    return f"{base}/feedloom-streams/{uuid.uuid4().hex}"
-
-
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def w2_w3_stream_arrivals(spark, d):
     flows, events = _flow(spark, d)
-    at = _folder(spark)
+    at = new_folder(spark)
     stream = flows.arrivals(events.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts")
     flows.drain(stream, f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
@@ -377,7 +383,7 @@ def w2_w3_stream_arrivals(spark, d):
 @query("SELECT event_type AS action, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def w8_stream_running_scores(spark, d):
     flows, events = _flow(spark, d)
-    at = _folder(spark)
+    at = new_folder(spark)
     sums = events.groupBy(F.col("event_type").alias("action")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     flows.drain_batches(sums, flows.upserts(f"{at}/out", "action", ["n", "total"], "n"), f"{at}/checkpoint")
     return flows.current(spark, f"{at}/out").select("action", "n", F.round("total", 4).alias("total"))
@@ -386,7 +392,7 @@ def w8_stream_running_scores(spark, d):
 @query()
 def w7_stream_votes(spark, d):
     flows, events = _flow(spark, d)
-    at = _folder(spark)
+    at = new_folder(spark)
     kind = F.col("event_type")
     acts = events.select((F.col("event_id") % 50).alias("item_id"), F.col("event_id").alias("seq"), F.when(kind == "purchase", "upvote").when(kind == "error", "downvote").when(kind == "signup", "undownvote").otherwise("read").alias("action"))
     flows.drain(flows.votes(acts), f"{at}/out", f"{at}/checkpoint")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,3 +40,13 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(made))
         _SHIPPED.add(app)
     return spark
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A name of its own in the folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="feedloom-")
+    return f"{base}/feedloom-streams/{uuid.uuid4().hex}"

@@ -127,3 +127,75 @@ def test_spam_phrases_and_hints(spark):
     got = [r["spam"] for r in spark.createDataFrame(list(enumerate(texts)), "id long, text string").orderBy("id").select(spam.is_spam("text").alias("spam")).collect()]
     assert got == [True] * (len(texts) - 2) + [False] * 2
     assert len(set(spam.PHRASES)) == 20 and len(set(spam.HINTS)) == 40
+
+
+def words(seed, n, vocabulary=60):
+    import random
+
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+def test_tfidf_pairs_lose_none(spark):
+    import math
+
+    texts = [words(i, 12) for i in range(60)]
+    texts += [t[:-1] + ["other"] for t in texts[:20]] + [t[:-3] for t in texts[20:30]] + [["the", "of"], [], ["a", "x"]]
+    got = {(r["a"], r["b"]): r["similarity"] for r in dedup.tfidf_pairs(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string"), 0.5).collect()}
+    kept = [[w for w in t if len(w) > 1 and w not in dedup.STOP_WORDS] for t in texts]
+    df = {w: sum(w in t for t in kept) for t in kept for w in t}
+    unit = []
+    for t in kept:
+        v = {w: t.count(w) * (math.log((len(texts) + 1) / (df[w] + 1)) + 1) for w in t}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        unit.append({w: x / size for w, x in v.items()})
+    dots = {(i, j): round(sum(x * unit[j].get(w, 0) for w, x in unit[i].items()), 6) for i in range(len(unit)) for j in range(i + 1, len(unit))}
+    want = {k: s for k, s in dots.items() if s >= 0.5}
+    assert len(want) > 25 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_dispatcher(spark):
+    body = " ".join(words(1, 30, 500))
+    rows = [
+        (1, 0, "https://a.example/1", "First", body, "s", 0.0),
+        (2, 1, "https://a.example/2", "Second", body + " more", None, 0.0),  # near 1, poorer
+        (3, 2, "https://a.example/1", "Third", "short", None, 0.0),  # the address of 1
+        (4, 3, "https://a.example/4", "Fourth", " ".join(words(2, 30, 500)), None, 0.0),
+        (5, 4, "https://a.example/5", "Fifth", " ".join(words(3, 30, 500)), None, 0.0),
+    ]
+    held = spark.createDataFrame(rows, "id long, ord long, url string, title string, content string, summary string, raw_score double")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (4, [0.6, 0.8]), (5, [0.6, 0.8])], "id long, embedding array<double>")
+    of = lambda df: {r["id"]: (r["is_duplicate"], r["duplicate_of"]) for r in df.collect()}
+    none = {1: (False, None), 2: (False, None), 3: (True, 1), 4: (False, None), 5: (False, None)}
+    assert of(dedup.deduplicate(held, "none")) == none == of(dedup.deduplicate(held, "semantic"))
+    assert of(dedup.deduplicate(held, "tfidf", 0.7)) == none | {2: (True, 1)}
+    got = of(dedup.deduplicate(held, "semantic", 0.82, vectors))
+    assert {i for i, (gone, _) in got.items() if gone} == {3, 5} or {i for i, (gone, _) in got.items() if gone} == {3, 4}
+
+
+def test_digests_and_settings(spark):
+    schema = "date string, topic string, content string, item_count long, generated_at int"
+    held = store.digest_rows(spark.createDataFrame([("d1", "AI", "a", 1, 1), ("d2", "ai", "b", 2, 2)], schema))
+    held = store.put_digests(held, spark.createDataFrame([("d2", "Ai", "c", 3, 3), ("d2", "Rust", "r", 1, 3)], schema))
+    assert sorted((r["id"], r["content"]) for r in held.collect()) == [("d1_ai", "a"), ("d2_ai", "c"), ("d2_rust", "r")]
+    assert [store.get_digest(held, d, "AI").first()["content"] for d in ("d1", "d9")] == ["a", "c"]
+    assert store.get_digest(held, "d1", "none").count() == 0
+    assert sorted(r["id"] for r in store.delete_digest(held, "d2", "AI").collect()) == ["d1_ai", "d2_rust"]
+    kept = store.put_settings(spark.createDataFrame([("k", "1", 1)], "key string, value string, updated_at int"), spark.createDataFrame([("k", "2", 2), ("l", "3", 2)], "key string, value string, updated_at int"))
+    assert [store.get_setting(kept, k, "x").first()["value"] for k in ("k", "l", "m")] == ["2", "3", "x"]
+
+
+def test_clear(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(7).write.parquet(path)
+    assert [tuple(r) for r in store.clear(spark, {"t": path}).collect()] == [("t", 7)]
+    assert spark.read.parquet(path).columns == ["id"] and spark.read.parquet(path).isEmpty()
+
+
+def test_usage(spark):
+    from feedloom.functions import text as T
+
+    rows = [(0, None), (1, "no json"), (2, '{"usage": null}'), (3, '{"usage": {"prompt_tokens": 5, "completion_tokens": "7", "total_tokens": "many"}}')]
+    got = spark.createDataFrame(rows, "id int, response string").select("id", *T.usage("response")).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in got] == [(0, 0, 0)] * 3 + [(5, 7, 0)]
