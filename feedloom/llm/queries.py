@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licenses, linededup, mixing, neardup, oracles, sharding, substrings, tokens
+from . import ann, decontaminate, langid, licenses, linededup, merkle, mixing, neardup, oracles, pii, sharding, substrings, tokens, whitening
 from .store import new_path
 
 
@@ -56,15 +56,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(read(spark, sf_dir, "documents").select(*merkle.FIELDS))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_line_dedup, op3_sharding, op4_language_id, op5_nearest_neighbours, op6_minhash_near_dedup,
-        op7_token_shards, op8_license_scan, op9_mixing, op10_substring_dedup,
+        op7_token_shards, op8_license_scan, op9_mixing, op10_substring_dedup, op11_merkle_manifest, op12_pii, op13_embedding_whitening,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": oracles.DECONTAMINATION, "op2_line_dedup": oracles.LINES, "op6_minhash_near_dedup": oracles.NEAR_DUPLICATES,
-    "op9_mixing": mixing.ORACLE, "op10_substring_dedup": oracles.SUBSTRINGS,
+    "op9_mixing": mixing.ORACLE, "op10_substring_dedup": oracles.SUBSTRINGS, "op11_merkle_manifest": merkle.ORACLE,
 }
