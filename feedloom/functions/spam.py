@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .text import cashtags, col
@@ -60,14 +60,33 @@ def video_spam(title: Column | str, description: Column | str | None = None) ->
     return any_phrase(whole, VIDEO_PHRASES) | (marks >= 4) | t.rlike(TICKERS)
 
 
-def funnel(posts: DataFrame, at: Column, floor: int = 3, days: int = 7) -> DataFrame:
-    """posts (id, ord, text, likes, reposts, published_at) with the step that drops each: seen, engagement, age, spam or none.
-    An id is seen once a row of it was kept."""
-    from pyspark.sql import Window
+STEPS = ("seen", "engagement", "age", "spam", "model", "none")
 
+
+def funnel(posts: DataFrame, at: Column, floor: int = 3, days: int = 7, seen: DataFrame | None = None, flag: Column | None = None) -> DataFrame:
+    """posts (id, ord, text, likes, reposts, published_at) with the step that drops each: seen, engagement, age, spam, model or none.
+
+    An id is seen if it is among those `seen` before (id), or once a row of it was kept. `flag` is a model's verdict; it is
+    asked about the posts that no other step drops."""
     engagement = F.col("likes") + 2 * F.col("reposts")
     old = F.timestamp_diff("SECOND", F.col("published_at"), at) > days * 86400
     step = F.when(engagement < floor, "engagement").when(old, "age").when(is_spam("text"), "spam").otherwise("none")
-    kept = F.min(F.when(F.col("dropped") == "none", F.col("ord"))).over(Window.partitionBy("id"))
-    told = posts.withColumn("engagement", engagement).withColumn("dropped", step).withColumn("_kept", kept)
-    return told.withColumn("dropped", F.when(F.col("ord") > F.col("_kept"), "seen").otherwise(F.col("dropped"))).drop("_kept")
+    told = posts.withColumn("engagement", engagement)
+    if seen is not None:
+        known = seen.select(F.col("id").alias("_id"), F.lit(True).alias("_seen")).distinct()
+        told = told.join(known, F.col("id") == F.col("_id"), "left").withColumn("dropped", F.when(F.col("_seen"), "seen").otherwise(step)).drop("_id", "_seen")
+    else:
+        told = told.withColumn("dropped", step)
+    if flag is not None:
+        # rows that the cheap steps drop never reach the model
+        asked = told.where("dropped = 'none'").withColumn("_flag", flag).withColumn("dropped", F.when(F.col("_flag"), "model").otherwise("none")).drop("_flag")
+        told = asked.unionByName(told.where("dropped <> 'none'"))
+    again = told.where("dropped = 'none'").groupBy("id").agg(F.min("ord").alias("_kept"))
+    # later rows of a kept id are seen, whatever step would drop them; counted up before rows meet, so copies are no hot key
+    return told.join(again.select(F.col("id").alias("_id"), "_kept"), F.col("id") == F.col("_id"), "left").withColumn("dropped", F.when(F.col("ord") > F.col("_kept"), "seen").otherwise(F.col("dropped"))).drop("_id", "_kept")
+
+
+def counted(told: DataFrame, name: str = "funnel") -> tuple[DataFrame, Observation]:
+    """told, and an observation of how many posts each step drops, complete once an action has read told."""
+    seen = Observation(name)
+    return told.observe(seen, *(F.count_if(F.col("dropped") == s).alias(s) for s in STEPS)), seen

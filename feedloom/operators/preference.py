@@ -45,6 +45,14 @@ def replayed(interactions: DataFrame, items: DataFrame) -> DataFrame:
     return found.groupBy("dimension", "value").agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
+def compounded(interactions: DataFrame, items: DataFrame, cycle: Column, last: int) -> DataFrame:
+    """The scores at the end of cycle `last`, where each cycle adds all history so far: a weight counts once for every cycle
+    from its own on. What preference_changes keeps up incrementally."""
+    times = weighted(interactions).select(F.col("item_id").alias("id"), (F.col("weight") * (F.lit(last) - cycle.cast("long") + 1)).alias("weight"), F.col("weight").alias("own"))
+    by_item = times.where("own <> 0").groupBy("id").agg(F.sum("weight").alias("weight"))
+    return by_item.join(dimensions(items), "id").groupBy("dimension", "value").agg(F.round(F.sum("weight"), 6).alias("score"))
+
+
 def boosted(items: DataFrame, prefs: DataFrame) -> DataFrame:
     """items with boost (clamped to 3 either way) and boosted (0 to 10; null where relevance is)."""
     scale = F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv])

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import freshness, search_terms, search_title_key
+from ..providers import Providers, pair_score, similarity
+
+if TYPE_CHECKING:
+    from .keyword_index import KeywordIndex
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -103,8 +109,9 @@ def one_title(ranked: DataFrame, order: str = "rank") -> DataFrame:
     return ranked.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def search(items: DataFrame, vectors: DataFrame, query: str, query_vector: DataFrame, since: Column, limit: int = 60, alpha: float | None = None, **kw) -> DataFrame:
-    fused = rrf([bm25(items, query, limit * 2), vector_top(vectors, query_vector, limit * 3)], alpha_weights(alpha))
+def search(items: DataFrame, keywords: KeywordIndex, vectors: DataFrame, query: str, query_vector: DataFrame, since: Column, limit: int = 60, alpha: float | None = None, **kw) -> DataFrame:
+    """The best items by an index of keywords and by vectors, fused, filtered, one of each title."""
+    fused = rrf([keywords.search(query, limit * 2), vector_top(vectors, query_vector, limit * 3)], alpha_weights(alpha))
     return one_title(hydrate(fused, items, since, **kw)).orderBy("rank").limit(limit)
 
 
@@ -117,11 +124,37 @@ def blend(items: DataFrame, authority: DataFrame, at: Column, semantic: Column)
     return held.withColumn("blended", F.round(score, 6))
 
 
-def rerank(ranked: DataFrame, score: Column, depth: int = 20) -> DataFrame:
-    """ranked (rank) with place: the first `depth` by score, the others as they were."""
-    head = F.col("rank") < depth
-    order = [F.when(head, 0).otherwise(1), F.when(head, -score), F.col("rank")]
-    return ranked.withColumn("place", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+def rerank(ranked: DataFrame, score: Column, query: str, depth: int = 20) -> DataFrame:
+    """ranked (a query column, rank) with place: of each query the first `depth` by score, the others where they were."""
+    head = ranked.where(F.col("rank") < depth)
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), "rank")) - 1  # `depth` rows a query
+    return head.withColumn("place", place.cast("long")).unionByName(ranked.where(F.col("rank") >= depth).withColumn("place", F.col("rank").cast("long")))
+
+
+def rank_by_query(candidates: DataFrame, authority: DataFrame, at: Column, providers: Providers = Providers(), top: int = 60, depth: int = 20) -> DataFrame:
+    """The `top` best of the candidates (query, id, ord and an item's columns) of each query, with rank from 0.
+
+    Ranked by the blend with the embeddings' similarity, then the first `depth` by the cross-encoder; the others keep their
+    places. Without an embedding model, or where it fails, candidates stay in their order (ord); without a cross-encoder, or
+    where it fails for any of a query's first, these keep theirs. Each query keeps `top` rows a task before any are
+    shuffled, so a query with most of the candidates is no hot key."""
+
+    def place(*order: Column | str) -> Column:
+        return (F.row_number().over(Window.partitionBy("query").orderBy(*order)) - 1).cast("long")
+
+    if providers.embed is None:
+        return candidates.withColumn("rank", place("ord", "id")).where(F.col("rank") < top)
+    text = lambda n: F.concat(F.col("title"), F.lit(" "), F.substring(F.coalesce("summary", "content"), 1, n))
+    scored = blend(candidates.withColumn("semantic", similarity("query", text(300), providers.embed)), authority, at, F.col("semantic"))
+    held = scored.withColumn("rank", place(F.desc_nulls_last("blended"), "ord", "id")).where(F.col("rank") < top)
+    if providers.cross is None:
+        return held
+    head = held.where(F.col("rank") < depth).select("query", "id", "rank", text(200).alias("_text"))
+    scores = head.select("query", "id", "rank", pair_score("query", "_text", providers.cross).alias("cross"))
+    whole = F.count("cross").over(Window.partitionBy("query")) == F.count("*").over(Window.partitionBy("query"))  # `depth` rows a query
+    moved = scores.withColumn("cross", F.when(whole, F.col("cross"))).withColumn("_to", place(F.desc_nulls_last("cross"), "rank")).select(F.col("query").alias("_query"), F.col("rank").alias("_from"), "_to", "cross")
+    met = held.join(moved, (F.col("query") == F.col("_query")) & (F.col("rank") == F.col("_from")), "left")
+    return met.withColumn("rank", F.coalesce("_to", "rank")).drop("_query", "_from", "_to")
 
 
 def ndcg(rows: DataFrame, k: int = 10) -> DataFrame:

@@ -1,4 +1,4 @@
-from . import item_queries, search_queries
+from . import item_queries, search_queries, state_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "item_queries", "search_queries"]
+__all__ = ["ORACLES", "QUERIES", "item_queries", "search_queries", "state_queries"]

@@ -13,6 +13,7 @@ from ..operators import retrieval as R
 from ..sources import feeds
 from ..session import new_folder
 from .item_queries import DIMS, PREFS
+from .indexes import bm25_sql, indexed
 from .registry import query
 
 I, C = with_("items"), with_("candidates")
@@ -27,15 +28,6 @@ def one_vector(spark, d, i: int = 7):
     return vectors(spark, d).where(F.col("id") == i)
 
 
-def bm25_sql(terms: list[str], k: int, name: str = "b") -> str:
-    f = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(terms))
-    n = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(terms)))
-    part = " + ".join(f"(CASE WHEN ln((n - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)) > 0 THEN ln((n - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for i in range(len(terms)))
-    hit = " AND ".join(f"f{i} > 0" for i in range(len(terms)))
-    return f"""{name}t AS (SELECT id, regexp_extract_all(lower(concat_ws(' ', title, content)), '[\\p{{L}}\\p{{N}}]+') AS t FROM items), {name}f AS (SELECT id, len(t) AS dl, {f} FROM {name}t),
-{name}s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {n} FROM {name}f), {name} AS (SELECT id, score, row_number() OVER (ORDER BY score, id) - 1 AS rank FROM (SELECT id, round(-({part}), 6) AS score FROM {name}f, {name}s WHERE {hit} ORDER BY score, id LIMIT {k}))"""
-
-
 def vec_sql(k: int, name: str = "v", q: int = 7) -> str:
     return f"""{name} AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT vec_id AS id, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {q})), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT {k}))"""
 
@@ -45,9 +37,9 @@ def rrf_sql(a: str, b: str, wa: float, wb: float, gate: int = 200, name: str = "
 (SELECT id, rank, 0 AS l, {wa}::DOUBLE AS w FROM {a} WHERE rank < {gate} UNION ALL SELECT id, rank, 1, {wb}::DOUBLE FROM {b} WHERE rank < {gate}) GROUP BY id))"""
 
 
-@query(I + ", " + bm25_sql(["this", "from"], 120) + " SELECT id, score, rank FROM b")
+@query(I + ", " + bm25_sql("this from", 120) + " SELECT id, score, rank FROM b")
 def r1_j1_bm25(spark, d):
-    return R.bm25(items(spark, d), "this from", 120)
+    return indexed(spark, d).search("this from", 120)
 
 
 @query("WITH " + vec_sql(180) + " SELECT id, score, rank FROM v")
@@ -55,12 +47,12 @@ def r2_vector_top(spark, d):
     return R.vector_top(vectors(spark, d), one_vector(spark, d), 180)
 
 
-_FUSE = bm25_sql(["this", "from"], 120) + ", " + vec_sql(180) + ", "
+_FUSE = bm25_sql("this from", 120) + ", " + vec_sql(180) + ", "
 
 
 @query(I + ", " + _FUSE + rrf_sql("b", "v", 0.7, 0.3, 40) + " SELECT id, score, rank FROM r")
 def r3_r4_r5_fusion(spark, d):
-    return R.rrf([R.bm25(items(spark, d), "this from", 120), R.vector_top(vectors(spark, d), one_vector(spark, d), 180)], R.alpha_weights(0.7), gate=40)
+    return R.rrf([indexed(spark, d).search("this from", 120), R.vector_top(vectors(spark, d), one_vector(spark, d), 180)], R.alpha_weights(0.7), gate=40)
 
 
 _HYDRATED = f"""h AS (SELECT i.*, r.rank, r.score AS rrf FROM items i JOIN r USING (id) WHERE published_at >= {AT} - INTERVAL 168 HOUR AND NOT is_duplicate AND (relevance IS NULL OR relevance >= 4.0)),
@@ -69,7 +61,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY trim(lower(title))[1:80] ORDER B
 
 @query(I + ", " + _FUSE + rrf_sql("b", "v", 0.5, 0.5) + ", " + _HYDRATED + " SELECT id, rank, rrf FROM o WHERE n = 1 ORDER BY rank LIMIT 60")
 def r6_o3_d5_hybrid_search(spark, d):
-    return R.search(items(spark, d), vectors(spark, d), "this from", one_vector(spark, d), recency.cutoff(as_of(), 168)).select("id", "rank", "rrf")
+    return R.search(items(spark, d), indexed(spark, d), vectors(spark, d), "this from", one_vector(spark, d), recency.cutoff(as_of(), 168)).select("id", "rank", "rrf")
 
 
 _AUTH = "coalesce(CASE lower(source) WHEN 'src1' THEN 0.9 WHEN 'src2' THEN 0.7 WHEN 'src3' THEN 0.2 END::DOUBLE, 0.55::DOUBLE)"
@@ -84,12 +76,6 @@ def r7_t12_blend(spark, d):
     return R.blend(items(spark, d), authority(spark), as_of(), F.col("raw_score")).select("id", "blended")
 
 
-@query(I + ", h AS (SELECT id, row_number() OVER (ORDER BY raw_score DESC, id) - 1 AS rank, length(content) AS ce FROM items WHERE topic = 't1') SELECT id, row_number() OVER (ORDER BY CASE WHEN rank < 20 THEN 0 ELSE 1 END, CASE WHEN rank < 20 THEN -ce END, rank) - 1 AS place FROM h")
-def r8_r9_rerank_head(spark, d):
-    held = items(spark, d).where("topic = 't1'").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("raw_score"), "id")) - 1)
-    return R.rerank(held, F.length("content")).select("id", "place")
-
-
 @query(with_("items", "interactions") + ", " + DIMS + ", " + PREFS + """, s AS (SELECT id, sum(round(2 / (1 + exp(-(CASE dimension WHEN 'source' THEN 0.3 WHEN 'tag' THEN 0.5 ELSE 0.4 END::DOUBLE) * score)) - 1, 9)) AS b FROM dims JOIN prefs USING (dimension, value) GROUP BY id)
 SELECT id, round(least(3, greatest(-3, coalesce(b, 0))), 6) AS boost, CASE WHEN relevance IS NOT NULL THEN round(least(10, greatest(0, relevance + round(least(3, greatest(-3, coalesce(b, 0))), 6))), 6) END AS boosted FROM items LEFT JOIN s USING (id)""")
 def r10_j7_preference_boost(spark, d):
@@ -105,7 +91,7 @@ def r11_a14_mean_embedding(spark, d):
 
 @query(I + ", " + _FUSE + rrf_sql("b", "v", 0.2, 0.8, name="x") + ", " + rrf_sql("b", "v", 0.8, 0.2, name="y") + " SELECT round(count(*) FILTER (p AND q) / count(*), 6) AS overlap FROM (SELECT bool_or(s = 0) AS p, bool_or(s = 1) AS q FROM (SELECT id, 0 AS s FROM x WHERE rank < 50 UNION ALL SELECT id, 1 FROM y WHERE rank < 50) GROUP BY id)")
 def r13_a12_alpha_overlap(spark, d):
-    lists = [R.bm25(items(spark, d), "this from", 120), R.vector_top(vectors(spark, d), one_vector(spark, d), 180)]
+    lists = [indexed(spark, d).search("this from", 120), R.vector_top(vectors(spark, d), one_vector(spark, d), 180)]
     x, y = (R.rrf(lists, R.alpha_weights(a)).where("rank < 50") for a in (0.2, 0.8))
     return R.jaccard(x, y)
 

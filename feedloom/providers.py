@@ -42,9 +42,9 @@ def overlap_score(query: str, texts: list[str]) -> list[float]:
 
 @dataclass(frozen=True)
 class Providers:
-    embed: Callable[[list[str]], np.ndarray] = hashed_embedding
-    cross: Callable[[str, list[str]], list[float]] = overlap_score
-    spam: Callable[[list[str]], list[float]] | None = None
+    embed: Callable[[list[str]], np.ndarray] | None = hashed_embedding
+    cross: Callable[[str, list[str]], list[float]] | None = overlap_score
+    spam: Callable[[], Callable[[list[str]], list[float]]] | None = None
     analyse: Callable[[str], str] | None = None
     options: dict = field(default_factory=dict)
 
@@ -60,25 +60,60 @@ def embedding(text: Column | str, providers: Providers = Providers()) -> Column:
     return run(col(text))
 
 
-def cross_score(query: str, text: Column | str, providers: Providers = Providers()) -> Column:
-    cross = providers.cross
+_LOADED: dict[str, object] = {}
+
+
+def loaded(load: Callable[[], object]) -> object:
+    """What a loader gives, loaded once a worker; None if it cannot be loaded."""
+    name = f"{load.__module__}.{load.__qualname__}"
+    if name not in _LOADED:
+        try:
+            _LOADED[name] = load()
+        except Exception:  # a worker without the model does without it
+            _LOADED[name] = None
+    return _LOADED[name]
+
+
+def pair_score(query: Column | str, text: Column | str, cross: Callable[[str, list[str]], list[float]]) -> Column:
+    """The model's score of each query and text, in batches by query; null where the model fails."""
 
     @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(cross(query, s.fillna("").tolist()))
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for q, t in parts:
+            out = pd.Series(np.nan, index=q.index)
+            for one, at in q.groupby(q).groups.items():
+                try:
+                    out.loc[at] = cross(one, t.loc[at].fillna("").tolist())
+                except Exception:  # scores of a failing model count as missing
+                    continue
+            yield out
+
+    return F.nanvl(run(col(query), col(text)), F.lit(None))
 
-    return run(col(text))
 
+def similarity(query: Column | str, text: Column | str, embed: Callable[[list[str]], np.ndarray]) -> Column:
+    """Inner product of the embeddings of a query and a text; null where the model fails. A query is embedded once a batch."""
 
-def spam_flag(text: Column | str, threshold: float = 0.8, providers: Providers = Providers()) -> Column:
-    """False everywhere without a model."""
-    if providers.spam is None:
+    def cross(q: str, texts: list[str]) -> list[float]:
+        found = embed([q, *texts])
+        return (found[1:] @ found[0]).tolist()
+
+    return pair_score(query, text, cross)
+
+
+def spam_flag(text: Column | str, load: Callable[[], Callable[[list[str]], list[float]]] | None, threshold: float = 0.8) -> Column:
+    """Whether the model that `load` gives, loaded once a worker, calls the first 512 characters spam; false without a model."""
+    if load is None:
         return F.lit(False)
-    model = providers.spam
 
     @F.pandas_udf("boolean")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([p >= threshold for p in model(s.fillna("").str.slice(0, 512).tolist())])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = loaded(load)
+        for s in parts:
+            try:
+                yield pd.Series([p >= threshold for p in model(s.fillna("").str.slice(0, 512).tolist())], dtype=bool)
+            except Exception:  # a missing or failing model flags nothing
+                yield pd.Series([False] * len(s), dtype=bool)
 
     return run(col(text))
 

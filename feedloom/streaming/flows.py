@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import interaction_weight
+from ..operators.preference import dimensions
 from ..operators.store import last_of, merge
 
 
@@ -75,6 +77,79 @@ def sessions(interactions: DataFrame, gap: str = "30 minutes", late: str = "2 da
     return interactions.withWatermark("created_at", late).groupBy(F.session_window("created_at", gap), "user_id").agg(F.count("*").alias("n"))
 
 
+def matched(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "2 days") -> DataFrame:
+    """Rows of left (key, seq, created_at) with the rows of right that follow them on the same key `within` an interval: both
+    sides forget what their watermark and the interval rule out."""
+    a = left.select(F.col(key).alias("a_key"), F.col("seq").alias("a_seq"), F.col("created_at").alias("a_at")).withWatermark("a_at", late)
+    b = right.select(F.col(key).alias("b_key"), F.col("seq").alias("b_seq"), F.col("created_at").alias("b_at")).withWatermark("b_at", late)
+    soon = F.expr(f"b_at >= a_at AND b_at <= a_at + INTERVAL {within}")
+    return a.join(b, (F.col("a_key") == F.col("b_key")) & soon).select(F.col("a_key").alias(key), "a_seq", "b_seq")
+
+
+_PREFERENCE = "dimension string, value string, total double, score double, cycle long"
+
+
+def preference_changes(interactions: DataFrame, items: DataFrame, cycle: Column) -> DataFrame:
+    """dimension, value, total, score, cycle: the state of each preference that new interactions change.
+
+    Preferences compound: at the end of every cycle the weights of all history are added to the scores again. A key's state
+    is the total of its weights and its score at the end of its last cycle, so cycles without an interaction cost nothing and
+    late ones count from their own cycle on. The items are a table; keys without an interaction have no state."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    class Compounding(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("preference", "total double, score double, cycle long")
+
+        def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+            total, score, last = self.state.get() if self.state.exists() else (0.0, 0.0, None)
+            for part in rows:
+                newest = int(part["cycle"].max())
+                if last is None:
+                    last = newest
+                elif newest > last:
+                    score, last = score + total * (newest - last), newest
+                score += float((part["weight"] * (last - part["cycle"] + 1)).sum())
+                total += float(part["weight"].sum())
+            self.state.update((total, score, last))
+            yield pd.DataFrame([(*key, total, score, last)], columns=["dimension", "value", "total", "score", "cycle"])
+
+        def close(self) -> None:
+            pass
+
+    weights = interactions.select(F.col("item_id").alias("id"), interaction_weight("action", "read_seconds").alias("weight"), cycle.cast("long").alias("cycle"))
+    found = weights.where("weight <> 0").join(dimensions(items), "id").select("dimension", "value", "weight", "cycle")
+    return found.groupBy("dimension", "value").transformWithStateInPandas(Compounding(), _PREFERENCE, "Update", "None")
+
+
+def changes_to(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds each batch's changes as a part of its own; a batch that runs again replaces its part."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run
+
+
+def preferences_at(spark: SparkSession, path: str, cycle: int) -> DataFrame:
+    """dimension, value, score at the end of a cycle, from the last change of each."""
+    held = spark.read.schema(f"{_PREFERENCE}, batch long").parquet(path)
+    last = held.groupBy("dimension", "value").agg(F.max_by(F.struct("total", "score", "cycle"), "batch").alias("s"))
+    return last.select("dimension", "value", F.round(F.col("s.score") + F.col("s.total") * (F.lit(cycle) - F.col("s.cycle")), 6).alias("score"))
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Keep state in RocksDB, as stateful processors need, for the streams started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
 def votes(interactions: DataFrame) -> DataFrame:
     """item_id, seq, action, cancel: each vote with the cancel that it needs first; the state of an item is its active vote."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
