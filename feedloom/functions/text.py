@@ -131,18 +131,28 @@ def slug(topic: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(col(topic)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def bold(markdown: Column | str) -> Column:
-    out = col(markdown)
+def escaped(text: Column | str) -> Column:
+    """Text for HTML, quotes included."""
+    out = col(text)
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(char), F.lit(name))
-    return F.regexp_replace(out, r"\*\*(.+?)\*\*", "<strong>$1</strong>")
+    return out
+
+
+def bold(markdown: Column | str) -> Column:
+    return F.regexp_replace(escaped(markdown), r"\*\*(.+?)\*\*", "<strong>$1</strong>")
 
 
 def parse_digest(text: Column | str) -> Column:
-    """headline and bullets: parts between ||| if there are any, else lines."""
-    parts = F.when(F.instr(col(text), "|||") > 0, F.split(col(text), r"\|\|\|")).otherwise(F.split(col(text), "\n"))
-    clean = F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^\s*[-*•]\s*", ""))), lambda p: p != "")
-    return F.struct(F.get(clean, F.lit(0)).alias("headline"), F.slice(clean, 2, 1000).alias("bullets"))
+    """headline and bullets: what stands between ||| as it is, without blank bullets, else the lines that are not blank, trimmed.
+    Null where there is nothing."""
+    t = col(text)
+    blank = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "") == ""
+    parts, lines = F.split(t, r"\|\|\|"), F.filter(F.transform(F.split(t, r"\r\n|\r|\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    cut = F.instr(t, "|||") > 0
+    rest = lambda x: F.slice(x, 2, F.greatest(F.lit(1), F.size(x)))
+    held = F.struct(F.when(cut, F.get(parts, F.lit(0))).otherwise(F.get(lines, F.lit(0))).alias("headline"), F.when(cut, F.filter(rest(parts), lambda p: ~blank(p))).otherwise(rest(lines)).alias("bullets"))
+    return F.when(cut | (F.size(lines) > 0), held)
 
 
 def csv_list(text: Column | str) -> Column:

@@ -82,3 +82,13 @@ def round_robin(models: DataFrame) -> DataFrame:
     many = F.greatest(F.lit(1), F.rint(F.col("rpm") / least).cast("int"))
     spread = models.withColumn("_many", many).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_many"))))
     return spread.select((F.row_number().over(Window.orderBy("ord", "copy")) - 1).alias("slot"), "model")  # a few models
+
+
+def diagnostics(items: DataFrame, digests: DataFrame, last: int = 5) -> DataFrame:
+    """topic, total, duplicates, analysed, digests (the last ones, latest first: date, item_count, preview) of each topic of the items."""
+    counts = items.groupBy(F.lower("topic").alias("topic")).agg(F.count("*").alias("total"), F.count_if("is_duplicate").alias("duplicates"), F.count("summary").alias("analysed"))
+    # ranked before the shuffle too, so that a topic with most digests sends `last` rows a task
+    order = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc_nulls_last("generated_at"), "id"))
+    row = F.struct("_n", "date", "item_count", F.substring("content", 1, 80).alias("preview"))
+    kept = digests.withColumn("_n", order).where(F.col("_n") <= last).groupBy("topic").agg(F.array_sort(F.collect_list(row)).alias("digests"))
+    return counts.join(kept, "topic", "left").withColumn("digests", F.transform("digests", lambda x: x.dropFields("_n")))

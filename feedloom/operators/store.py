@@ -63,10 +63,15 @@ def put_digests(old: DataFrame, new: DataFrame) -> DataFrame:
     return merge(old, digest_rows(new), "id", ["content", "item_count", "generated_at"])
 
 
+def latest_digests(held: DataFrame, date: str) -> DataFrame:
+    """One digest of each topic: that of the date, else the latest. An aggregate, so a topic's digests are reduced where they are."""
+    best = F.max_by(F.struct(*held.columns), F.struct((F.col("date") == date).alias("_exact"), F.col("generated_at").isNotNull().alias("_dated"), F.col("generated_at").alias("_at")))
+    return held.groupBy(F.col("topic").alias("_topic")).agg(best.alias("_best")).select("_best.*")
+
+
 def get_digest(held: DataFrame, date: str, topic: str) -> DataFrame:
     """The digest of a date and topic, else the topic's latest: one row or none."""
-    exact = (F.col("date") == date).cast("int")
-    return held.where(F.col("topic") == topic.lower()).orderBy(F.desc(exact), F.desc_nulls_last("generated_at")).limit(1)
+    return latest_digests(held.where(F.col("topic") == topic.lower()), date)
 
 
 def delete_digest(held: DataFrame, date: str, topic: str) -> DataFrame:
@@ -91,9 +96,13 @@ def publish(df: DataFrame, path: str, version: int) -> str:
 
 
 def export_json(items: DataFrame) -> DataFrame:
-    """One row: all items as a JSON array in order of id. For the rows of a day, not for a corpus."""
-    one = items.agg(F.array_sort(F.collect_list(F.struct("id", "title", "source", "relevance"))).alias("a"))
-    return one.select(F.to_json("a").alias("json"))
+    """id, json: an object for each item, to be written as lines."""
+    return items.select("id", F.to_json(F.struct("id", "title", "source", "relevance")).alias("json"))
+
+
+def write_json(items: DataFrame, path: str) -> None:
+    """JSON lines, a file for each partition."""
+    export_json(items).select("json").write.text(path)
 
 
 def export_markdown(items: DataFrame, topics: list[str], limit: int = 20) -> DataFrame:

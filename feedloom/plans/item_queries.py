@@ -139,9 +139,17 @@ def a1_counts(spark, d):
     return held.where("topic <> ''").groupBy("topic").agg(F.count("*").alias("n")).unionByName(held.agg(F.lit("(all)").alias("topic"), F.count("*").alias("n")))
 
 
-@query(I + "SELECT topic, count(*) AS total, count(*) FILTER (is_duplicate) AS duplicates, count(*) FILTER (summary IS NOT NULL) AS analysed FROM items GROUP BY topic")
+@query(I + f""", g AS (SELECT topic, strftime({AT}, '%Y-%m-%d') AS date, 'text ' || topic || ' ' || day AS content, n AS item_count, day AS generated_at FROM (SELECT topic, date_trunc('day', published_at) AS day, count(*) AS n FROM items GROUP BY 1, 2)),
+l AS (SELECT topic, string_agg(strftime(generated_at, '%Y-%m-%d') || ' ' || item_count, ', ' ORDER BY generated_at DESC) AS digests FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY generated_at DESC) AS k FROM g) WHERE k <= 5 GROUP BY 1)
+SELECT topic, total, duplicates, analysed, digests FROM (SELECT topic, count(*) AS total, count(*) FILTER (is_duplicate) AS duplicates, count(*) FILTER (summary IS NOT NULL) AS analysed FROM items GROUP BY topic) JOIN l USING (topic)""")
 def a2_topic_diagnostics(spark, d):
-    return items(spark, d).groupBy("topic").agg(F.count("*").alias("total"), F.count_if("is_duplicate").alias("duplicates"), F.count("summary").alias("analysed"))
+    """Counts and the last five digests of each topic; a digest a day."""
+    held = items(spark, d)
+    days = held.groupBy("topic", F.date_trunc("day", "published_at").alias("generated_at")).agg(F.count("*").alias("item_count"))
+    digests = days.select("topic", F.date_format("generated_at", "yyyy-MM-dd").alias("date"), F.concat_ws(" ", F.lit("text"), "topic").alias("content"), "item_count", "generated_at")
+    found = recency.diagnostics(held, store.digest_rows(digests))
+    line = F.transform("digests", lambda x: F.concat_ws(" ", x["date"], x["item_count"].cast("string")))
+    return found.select("topic", "total", "duplicates", "analysed", F.array_join(line, ", ").alias("digests"))
 
 
 @query(I + "SELECT source, count(*) AS n FROM items WHERE NOT is_duplicate GROUP BY source")
@@ -245,13 +253,15 @@ def t8_fts_escape(spark, d):
 
 
 _Q = "(ends_with(trim(text), '?') OR regexp_matches(lower(trim(text)), '^(what|why|how|will|would|could|should|do |does|did|is |are |can |which|who |when|where|might|shall)') OR len(regexp_extract_all(trim(text), '\\S+')) >= 7)"
-_FIX = "(VALUES (1, 'whatsapp'), (2, 'market news?'), (3, 'the quick brown fox jumps over dogs'), (4, 'rust'), (5, 'open source models'), (6, 'might rates fall'), (7, 'shall we buy'), (8, 'willow tree'), (9, 'has gold peaked'), (10, 'whose turn'), (11, 'do it'), (12, 'dome'), (13, 'island life'), (14, 'who won'), (15, 'cannot say'), (16, 'Is  it'), (17, 'why')) v(id, text)"
+_ASKED = "(SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '\\S+')[1:turn * 2 + 1], ' ') || CASE WHEN conv_id % 3 = 0 THEN '?' ELSE '' END AS text FROM conversations)"
 
 
-@query(f"SELECT id::BIGINT AS id, {_Q} AS question, {_Q} OR len(regexp_extract_all(text, '\\S+')) >= 3 AS expand FROM {_FIX}")
+@query(f"SELECT conv_id, turn, {_Q} AS question, {_Q} OR len(regexp_extract_all(text, '\\S+')) >= 3 AS expand FROM {_ASKED}")
 def t9_t10_question(spark, d):
-    rows = spark.createDataFrame([(1, "whatsapp"), (2, "market news?"), (3, "the quick brown fox jumps over dogs"), (4, "rust"), (5, "open source models"), (6, "might rates fall"), (7, "shall we buy"), (8, "willow tree"), (9, "has gold peaked"), (10, "whose turn"), (11, "do it"), (12, "dome"), (13, "island life"), (14, "who won"), (15, "cannot say"), (16, "Is  it"), (17, "why")], "id long, text string")
-    return rows.select("id", T.is_question("text").alias("question"), T.wants_expansion("text").alias("expand"))
+    """First words of turns, with a question mark on some."""
+    few = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, (F.col("turn") * 2 + 1).cast("int")), " ")
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.concat(few, F.when(F.col("conv_id") % 3 == 0, "?").otherwise("")).alias("text"))
+    return rows.select("conv_id", "turn", T.is_question("text").alias("question"), T.wants_expansion("text").alias("expand"))
 
 
 @query(I + "SELECT id, round(CASE WHEN hi <= lo THEN 0.5 ELSE least(1.0, greatest(0.0, (raw_score - lo) / (hi - lo))) END, 6)::DOUBLE AS n FROM (SELECT id, raw_score, min(raw_score) OVER (PARTITION BY source, topic) AS lo, max(raw_score) OVER (PARTITION BY source, topic) AS hi FROM items)")
@@ -275,16 +285,26 @@ def t14_interaction_weight(spark, d):
     return preference.weighted(interactions(spark, d)).select("seq", "weight")
 
 
-@query(I + "SELECT id, trim(split_part(content, chr(10), 1)) AS headline, len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')) - 1 AS bullets FROM items WHERE regexp_matches(content, '^[A-Za-z]') AND NOT regexp_matches(content, '(^|\\n)\\s*[-*•]')")
+def digest_sql(column: str) -> str:
+    """A digest's parts in SQL: the headline first."""
+    ws = "'^\\s+|\\s+$', '', 'g'"
+    return f"CASE WHEN contains({column}, '|||') THEN string_split({column}, '|||')[1:1] || list_filter(string_split({column}, '|||')[2:], lambda p: regexp_replace(p, {ws}) <> '') ELSE list_filter(list_transform(string_split({column}, chr(10)), lambda p: regexp_replace(p, {ws})), lambda p: p <> '') END"
+
+
+@query(I + f""", c AS (SELECT id, CASE WHEN id % 3 = 0 THEN replace(content, ' ', '|||') WHEN id % 3 = 1 THEN replace(content, ' ', ' ' || chr(10)) ELSE content END AS content FROM items), p AS (SELECT id, {digest_sql("content")} AS parts FROM c)
+SELECT id, parts[1] AS headline, CASE WHEN len(parts) > 0 THEN len(parts) - 1 END AS bullets, CASE WHEN len(parts) > 0 THEN coalesce(array_to_string(parts[2:], chr(10)), '') END AS body FROM p""")
 def t16_digest_parse(spark, d):
-    held = items(spark, d).where(F.col("content").rlike("^[A-Za-z]") & ~F.col("content").rlike(r"(^|\n)\s*[-*•]"))
-    x = T.parse_digest("content")
-    return held.select("id", x["headline"].alias("headline"), F.size(x["bullets"]).cast("long").alias("bullets"))
+    """Contents as they are, with their blanks as separators, and as lines."""
+    kind, blank = F.col("id") % 3, F.lit(" ")
+    text = F.when(kind == 0, F.replace("content", blank, F.lit("|||"))).when(kind == 1, F.replace("content", blank, F.lit(" \n"))).otherwise(F.col("content"))
+    held = items(spark, d).withColumn("x", T.parse_digest(text))
+    x = F.col("x")
+    return held.select("id", x["headline"].alias("headline"), F.when(x.isNotNull(), F.size(x["bullets"])).cast("long").alias("bullets"), F.array_join(x["bullets"], "\n").alias("body"))
 
 
-@query("SELECT '<strong>a &amp; b</strong> &lt;i&gt;' AS html")
+@query(I + r"""SELECT id, regexp_replace(replace(replace(replace(replace(replace('**' || title || '** <i> & ' || source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;'), '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g') AS html FROM items""")
 def t17_bold(spark, d):
-    return spark.createDataFrame([("**a & b** <i>",)], "t string").select(T.bold("t").alias("html"))
+    return items(spark, d).select("id", T.bold(F.concat(F.lit("**"), "title", F.lit("** <i> & "), "source")).alias("html"))
 
 
 @query("SELECT DISTINCT p_name AS topic, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
@@ -297,10 +317,12 @@ def t19_embed_text(spark, d):
     return items(spark, d).select("id", T.embed_text("title", "content").alias("t"))
 
 
-@query("SELECT 1::BIGINT AS id, '[{\"summary\":\"s\"}]' AS body UNION ALL SELECT 2, '[1]' UNION ALL SELECT 3, NULL")
+@query(I + """SELECT id, CASE id % 3 WHEN 2 THEN NULL ELSE '[{"summary":' || id || '}]' END AS body FROM items""")
 def t21_fenced_json(spark, d):
-    rows = spark.createDataFrame([(1, '```json\n[{"summary":"s"}]\n```'), (2, "[1]"), (3, "sorry")], "id long, text string")
-    return rows.select("id", T.fenced_json("text").alias("body"))
+    """Answers in a code fence, bare, or in words."""
+    body, kind = F.concat(F.lit('[{"summary":'), "id", F.lit("}]")), F.col("id") % 3
+    text = F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 1, body).otherwise(F.concat(F.lit("sorry "), "id"))
+    return items(spark, d).select("id", T.fenced_json(text).alias("body"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -309,13 +331,13 @@ def t22_json_object(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object(body, "$.k").cast("long").alias("k"))
 
 
-@query("SELECT 1::BIGINT AS id, 'https://example.com/story' AS target UNION ALL SELECT 2, 'https://news.google.com/x' UNION ALL SELECT 3, 'https://a.example/articles/aGk'")
+@query("SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'https://example.com/articles/' || page_id ELSE url END AS target FROM pages")
 def t6_news_target(spark, d):
-    import base64
-
-    inner = base64.urlsafe_b64encode(b"\x08\x13\x22\x19https://example.com/story\x00\x01").decode().rstrip("=")
-    rows = spark.createDataFrame([(1, f"https://news.google.com/rss/articles/{inner}?oc=5"), (2, "https://news.google.com/x"), (3, "https://a.example/articles/aGk")], "id long, url string")
-    return rows.select("id", T.news_target("url").alias("target"))
+    """Links that hold an address between other bytes, bare links, and other hosts' articles."""
+    packed = F.translate(F.base64(F.concat(F.unhex(F.lit("081322")), F.char(F.least(F.lit(127), F.length("url"))).cast("binary"), F.col("url").cast("binary"), F.unhex(F.lit("0001")))), "+/=\r\n", "-_")
+    kind = F.col("page_id") % 3
+    link = F.when(kind == 0, F.concat(F.lit("https://news.google.com/rss/articles/"), packed, F.lit("?oc=5"))).when(kind == 1, F.col("url")).otherwise(F.concat(F.lit("https://example.com/articles/"), "page_id"))
+    return read(spark, d, "pages").select("page_id", T.news_target(link).alias("target"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE floor(value)::BIGINT END AS prompt_tokens, 0::BIGINT AS completion_tokens, CASE WHEN event_type = 'error' THEN 0 ELSE coalesce(user_id, 0) END::BIGINT AS total_tokens FROM events")
@@ -325,10 +347,14 @@ def t26_usage_default(spark, d):
     return held.select("event_id", *T.usage("response"))
 
 
-@query("SELECT 1::BIGINT AS id, 'AI,Rust' AS topics UNION ALL SELECT 2, '' UNION ALL SELECT 3, ''")
+@query("""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')[1:12]) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+')[1:12], 1) AS n FROM documents),
+f AS (SELECT doc_id, arg_min(w, n) AS w, min(n) AS n FROM p GROUP BY doc_id, lower(w)), g AS (SELECT doc_id, string_agg(w, ',' ORDER BY n) AS topics FROM f GROUP BY 1)
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE coalesce(topics, '') END AS topics FROM documents LEFT JOIN g USING (doc_id)""")
 def t27_csv_distinct(spark, d):
-    rows = spark.createDataFrame([(1, " AI, rust ,ai,,Rust".replace("rust ,ai,,Rust", "Rust,ai,,rust")), (2, "all"), (3, "")], "id long, text string")
-    return rows.select("id", F.array_join(T.csv_list("text"), ",").alias("topics"))
+    """First words of texts as a setting, with empty parts; `All` on some."""
+    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 12)
+    text = F.when(F.col("doc_id") % 10 == 0, " All ").otherwise(F.concat(F.lit(" , "), F.array_join(words, " , "), F.lit(",,")))
+    return read(spark, d, "documents").select("doc_id", F.array_join(T.csv_list(text), ",").alias("topics"))
 
 
 @query(I + "SELECT id, trim(lower(title))[1:80] AS key FROM items")
@@ -378,10 +404,12 @@ def o5_o6_batches(spark, d):
     return recency.batches(items(spark, d), "topic", 15, "id").select("id", "topic", "batch")
 
 
-@query("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_acctbal DESC, c_custkey) AS n FROM customer) WHERE n = 1")
+@query("SELECT n_name AS topic, c_custkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_acctbal DESC, c_custkey DESC) AS n FROM customer) JOIN nation ON n_nationkey = c_nationkey WHERE n = 1")
 def o7_exact_else_latest(spark, d):
-    best = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(1), F.desc("c_acctbal"), "c_custkey"))
-    return read(spark, d, "customer").withColumn("n", best).where("n = 1").select("c_nationkey", "c_custkey")
+    """Customers as digests of their nations, their segments as dates."""
+    rows = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    held = rows.select(F.col("n_name").alias("topic"), F.col("c_mktsegment").alias("date"), F.struct("c_acctbal", "c_custkey").alias("generated_at"), F.col("c_custkey").alias("id"))
+    return store.latest_digests(held, "BUILDING").select("topic", "id")
 
 
 @query(I + "SELECT topic, n > 2 * k AND n - k > 20 AS stale FROM (SELECT topic, count(*) AS n, count(*) FILTER (id % 3 = 0) AS k FROM items GROUP BY topic)")
@@ -395,9 +423,10 @@ def o9_active_votes(spark, d):
     return preference.active_votes(interactions(spark, d))
 
 
-@query("SELECT (row_number() OVER (ORDER BY ord, copy) - 1)::INT AS slot, model FROM (SELECT ord, model, unnest(range(1, greatest(1, round_even(rpm / 10.0, 0)::INT) + 1)) AS copy FROM (VALUES (0, 'a', 10), (1, 'b', 25), (2, 'c', 35)) v(ord, model, rpm))")
+@query("SELECT (row_number() OVER (ORDER BY ord, copy) - 1)::INT AS slot, model FROM (SELECT n_nationkey AS ord, n_name AS model, unnest(range(1, greatest(1, round_even((n_regionkey * 15 + 10) / 10.0, 0)::INT) + 1)) AS copy FROM nation)")
 def o10_round_robin(spark, d):
-    return recency.round_robin(spark.createDataFrame([(0, "a", 10), (1, "b", 25), (2, "c", 35)], "ord int, model string, rpm int"))
+    models = read(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("model"), (F.col("n_regionkey") * 15 + 10).alias("rpm"))
+    return recency.round_robin(models)
 
 
 @query(L + "SELECT seq, model FROM ledger ORDER BY seq DESC LIMIT 100")
@@ -529,9 +558,12 @@ def k12_markdown(spark, d):
     return store.export_markdown(items(spark, d), ["t1", "t2"])
 
 
-@query()
+@query(I + "SELECT id, '{\"id\":' || id || ',\"title\":' || to_json(title) || ',\"source\":' || to_json(source) || CASE WHEN relevance IS NULL THEN '' ELSE ',\"relevance\":' || relevance END || '}' AS json FROM items")
 def k11_json(spark, d):
-    return store.export_json(items(spark, d))
+    at = f"{new_folder(spark)}/json"
+    store.write_json(items(spark, d), at)
+    line = F.col("value")
+    return spark.read.text(at).select(F.get_json_object(line, "$.id").cast("long").alias("id"), line.alias("json"))
 
 
 @query("SELECT o_custkey % 10 AS keyword, o_orderkey AS seq, coalesce(date_diff('second', lag(o_orderdate) OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderdate, o_orderkey), o_orderdate) >= 300, true) AS admitted FROM orders")

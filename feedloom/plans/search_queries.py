@@ -10,6 +10,7 @@ from ..functions import spam as S
 from ..functions import text as T
 from ..operators import dedup, preference, recency
 from ..operators import retrieval as R
+from ..providers import SMALL_WORDS, language
 from ..sources import feeds
 from ..session import new_folder
 from .item_queries import DIMS, PREFS
@@ -220,20 +221,27 @@ def d8_clusters(spark, d):
 
 # --- spam and sources --------------------------------------------------------------------------------------------------
 
-_POSTS = [
-    (1, 0, "Join my Telegram for tips", 50, 0), (2, 1, "$AAPL $MSFT $TSLA up", 50, 0), (3, 2, "$AAPL and $AAPL again", 50, 0), (4, 3, "@you $DOGE to the moon, buy now", 50, 0),
-    (5, 4, "@you $DOGE steady", 50, 0), (6, 5, "plain words", 1, 0), (5, 6, "@you $DOGE steady", 50, 0), (7, 7, "plain words two", 1, 1),
-    (8, 8, "Copy my trades today", 50, 0), (9, 9, "@you $DOGE his picks keep crushing it", 50, 0), (8, 10, "calm now", 50, 0), (8, 11, "calm again", 50, 0),
-]
+def posts(spark, d):
+    """Turns of conversations as posts."""
+    likes, hours = (F.length("text") % 9).cast("int"), F.col("conv_id") % 200
+    return read(spark, d, "conversations").select(F.md5(F.substring("text", 1, 40)).alias("id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text", likes.alias("likes"), (F.col("turn") % 2).cast("int").alias("reposts"), hours_before(as_of(), hours).alias("published_at"))
 
 
-def posts(spark):
-    return spark.createDataFrame(_POSTS, "id long, ord long, text string, likes long, reposts long")
+_POSTS = f"""p AS (SELECT md5(substr(text, 1, 40)) AS id, conv_id * 1000 + turn AS ord, text, lower(text) AS low, length(text) % 9 AS likes, turn % 2 AS reposts, {AT} - to_hours(conv_id % 200) AS published_at,
+ len(list_distinct(regexp_extract_all(upper(text), '\\$[A-Z]{{1,5}}\\b'))) AS tags FROM conversations)"""
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'none'), (1, 'spam'), (2, 'none'), (3, 'none'), (4, 'none'), (5, 'engagement'), (6, 'seen'), (7, 'none'), (8, 'spam'), (9, 'spam'), (10, 'none'), (11, 'seen')) v(ord, dropped)")
+def _held(words: tuple[str, ...], by: str) -> str:
+    """Whether, or how many, of the words stand in low."""
+    quoted = [w.replace("'", "''") for w in words]
+    return by.join(f"contains(low, '{w}')::INT" for w in quoted)
+
+
+@query(f"""WITH {_POSTS}, s AS (SELECT *, CASE WHEN likes + 2 * reposts < 3 THEN 'engagement' WHEN published_at < {AT} - INTERVAL 168 HOUR THEN 'age'
+ WHEN ({_held(S.PHRASES, " + ")}) > 0 OR tags >= 3 OR (regexp_matches(text, '@[A-Za-z0-9_]+') AND tags > 0 AND ({_held(S.HINTS, " + ")}) >= 2) THEN 'spam' ELSE 'none' END AS step FROM p)
+SELECT ord, CASE WHEN ord > min(ord) FILTER (step = 'none') OVER (PARTITION BY id) THEN 'seen' ELSE step END AS dropped FROM s""")
 def p1_p4_funnel(spark, d):
-    return S.funnel(posts(spark).withColumn("published_at", as_of()), as_of()).select("ord", "dropped")
+    return S.funnel(posts(spark, d), as_of()).select("ord", "dropped")
 
 
 @query("SELECT doc_id, contains(lower(text), 'airdrop') OR contains(lower(text), 'token') AS phrase, len(list_distinct(regexp_extract_all(upper(text), '\\$[A-Z]{1,5}\\b'))) AS cashtags, regexp_matches(text, '@[A-Za-z0-9_]+') AS mention FROM documents")
@@ -241,27 +249,29 @@ def p1_p2_t24_signals(spark, d):
     return read(spark, d, "documents").select("doc_id", S.any_phrase("text", ("airdrop", "token")).alias("phrase"), F.size(T.cashtags("text")).cast("long").alias("cashtags"), F.col("text").rlike("@[A-Za-z0-9_]+").alias("mention"))
 
 
-def _held(words: tuple[str, ...], by: str) -> str:
-    """Whether, or how many, of the words stand in low."""
-    quoted = [w.replace("'", "''") for w in words]
-    return by.join(f"contains(low, '{w}')::INT" for w in quoted)
-
-
 @query(f"""WITH t AS (SELECT doc_id, text, lower(text) AS low, len(list_distinct(regexp_extract_all(upper(text), '\\$[A-Z]{{1,5}}\\b'))) AS cashtags FROM documents)
 SELECT doc_id, ({_held(S.PHRASES, " + ")}) > 0 OR cashtags >= 3 OR (regexp_matches(text, '@[A-Za-z0-9_]+') AND cashtags > 0 AND ({_held(S.HINTS, " + ")}) >= 2) AS spam FROM t""")
 def p1_p3_spam(spark, d):
     return read(spark, d, "documents").select("doc_id", S.is_spam("text").alias("spam"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, true), (2, true), (3, false), (4, true), (5, false), (6, true)) v(id, spam)")
+_LOW = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(I + f""", t AS (SELECT id, CASE WHEN id % 2 = 0 THEN translate(replace(title, ' ', ', '), '{_LOW}', '{_LOW.upper()}') ELSE title || ' #' || source END AS title, title || content AS rest FROM items), l AS (SELECT *, lower(title || ' ' || rest) AS low FROM t)
+SELECT id, ({_held(S.VIDEO_PHRASES, " + ")}) > 0 OR length(title) - length(replace(replace(title, '#', ''), '$', '')) >= 4 OR regexp_matches(title, '[A-Z]{{1,5}}(\\s*[/|,]\\s*[A-Z]{{1,5}}){{3,}}') AS spam FROM l""")
 def p6_video_spam(spark, d):
-    return spark.createDataFrame([(1, "#a #b #c $d"), (2, "BUY AAPL, MSFT, TSLA, NVDA now"), (3, "calm title #one"), (4, "SPY / QQQ / NVDA / TSLA"), (5, "AAPL, MSFT and a calm day"), (6, "How to get RICH")], "id long, title string").select("id", S.video_spam("title").alias("spam"))
+    """Items' titles as titles of videos, some as lists in capitals; contents as descriptions."""
+    title = F.when(F.col("id") % 2 == 0, F.translate(F.replace("title", F.lit(" "), F.lit(", ")), _LOW, _LOW.upper())).otherwise(F.concat("title", F.lit(" #"), "source"))
+    return items(spark, d).select("id", S.video_spam(title, F.concat("title", "content")).alias("spam"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'own'), (2, 'https://www.netflix.com/x'), (3, 'own'), (4, 'own')) v(id, url)")
+@query("SELECT page_id, CASE WHEN page_id % 4 = 3 THEN url ELSE 'own' || page_id END AS url FROM pages")
 def p7_shown_url(spark, d):
-    rows = spark.createDataFrame([(1, "https://t.co/abc"), (2, "https://www.netflix.com/x"), (3, None), (4, "https://x.com/i/1")], "id long, url string")
-    return rows.select("id", T.shown_url("url", F.lit("own")).alias("url"))
+    """Pages' addresses, shortened ones, none, and the network's own."""
+    k = F.col("page_id") % 4
+    url = F.when(k == 3, F.col("url")).when(k == 0, F.concat(F.lit("https://t.co/"), "page_id")).when(k == 1, F.concat(F.lit("https://x.com/i/"), "page_id"))
+    return read(spark, d, "pages").select("page_id", T.shown_url(url, F.concat(F.lit("own"), "page_id")).alias("url"))
 
 
 @query("SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"#?]*)\"', 1))[1:5]) AS links FROM pages WHERE len(regexp_extract_all(html, 'href=\"(/[^\"#?]*)\"', 1)) > 0")
@@ -274,49 +284,102 @@ def s3_page_items(spark, d):
     return feeds.page_item(read(spark, d, "pages"))
 
 
-_RSS = """<rss><channel><item><title>One &amp; only</title><link>https://a.example/1</link><description><![CDATA[<p>Body <b>one</b></p>]]></description><pubDate>Tue, 30 Jan 2024 10:00:00 +0000</pubDate></item>
-<item><title>Old</title><link>https://a.example/2</link><pubDate>Mon, 01 Jan 2024 10:00:00 +0000</pubDate></item><item><title>No link</title></item></channel></rss>"""
+def feed_xml(spark, d):
+    """feed, xml: a feed for each source with an entry for each document, in order of id; texts are escaped or in CDATA, every
+    fifth has no link. A feed is put together by source and hundred, as sources can be large."""
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 5), " ")
+    stamp = F.date_format(hours_before(as_of(), F.col("doc_id") % 240), "EEE, dd MMM yyyy HH:mm:ss")
+    link = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("<link>https://"), "source", F.lit(".example/"), "doc_id", F.lit("</link>")))
+    entry = F.concat(F.lit("<item><title>No. "), "doc_id", F.lit(" &amp; more</title>"), link, F.lit("<description><![CDATA[<p>The <b>"), words, F.lit("</b></p>]]></description><pubDate>"), stamp, F.lit(" GMT</pubDate></item>"))
+    block = F.floor(F.col("doc_id") / 500)
+    rows = read(spark, d, "documents").select(F.concat_ws("/", "source", block).alias("feed"), "doc_id", entry.alias("entry")).groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("doc_id", "entry"))).alias("e"))
+    return rows.select("feed", F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("e", lambda x: x["entry"]), ""), F.lit("</channel></rss>")).alias("xml"))
 
 
-@query("SELECT 'f' AS feed, 'One & only' AS title, 'https://a.example/1' AS url, 'Body one' AS content")
+def _entries_sql(first: int) -> str:
+    return f"""e AS (SELECT concat_ws('/', source, doc_id // 500) AS feed, doc_id, source, rtrim('The ' || coalesce(array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:5], ' '), '')) AS content, row_number() OVER (PARTITION BY concat_ws('/', source, doc_id // 500) ORDER BY doc_id) AS n FROM documents),
+f AS (SELECT feed, 'No. ' || doc_id || ' & more' AS title, 'https://' || source || '.example/' || doc_id AS url, content FROM e WHERE n <= {first} AND doc_id % 5 <> 0 AND doc_id % 240 <= 168)"""
+
+
+@query(f"WITH {_entries_sql(15)} SELECT * FROM f")
 def s1_feed_entries(spark, d):
-    return feeds.entries(spark.createDataFrame([("f", _RSS)], "feed string, xml string"), as_of()).select("feed", "title", "url", "content")
+    return feeds.entries(feed_xml(spark, d), as_of()).select("feed", "title", "url", "content")
+
+
+@query(f"""WITH {_entries_sql(20)} SELECT feed AS source, title, url, content, 0.5::DOUBLE AS raw_score FROM f""")
+def s2_search_entries(spark, d):
+    """The same feeds as results of a search; links of a news search are decoded."""
+    return feeds.search_entries(feed_xml(spark, d).withColumnRenamed("feed", "source"), as_of()).select("source", "title", "url", "content", "raw_score")
 
 
-@query("SELECT * FROM (VALUES ('p'::VARCHAR, 1::BIGINT, 0.5::DOUBLE), ('p', 2, 1.0), ('q', 4, 1.0)) v(subreddit, id, raw_score)")
+@query("SELECT id, 'https://news.example/rss?q=' || regexp_replace(replace(replace(k, ' ', '+'), '&', '%26'), '%20', '+', 'g') || '&hl=en' AS url FROM (SELECT p_partkey AS id, p_name || ' & ' || p_partkey AS k FROM part)")
+def s2_search_address(spark, d):
+    """Addresses of searches from a template, a keyword each."""
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), feeds.search_address("https://news.example/rss?q={keyword}&hl=en", F.concat("p_name", F.lit(" & "), F.col("p_partkey").cast("string"))).alias("url"))
+
+
+@query("""WITH t AS (SELECT role AS subreddit, conv_id * 1000 + turn AS id, CASE (conv_id + turn) % 3 WHEN 0 THEN text WHEN 1 THEN '' END AS selftext, conv_id % 2 = 0 AS is_self, length(text) AS score FROM conversations),
+c AS (SELECT *, max(score) OVER (PARTITION BY subreddit) AS high FROM (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY id) AS n FROM t) WHERE n <= 25)
+SELECT subreddit, id, round(least(1.0, greatest(0.0, score / high)), 6)::DOUBLE AS raw_score FROM c WHERE NOT (is_self AND coalesce(selftext, '') = '')""")
 def s6_reddit(spark, d):
-    rows = spark.createDataFrame([("p", 1, 0, "t", " ", True, 5), ("p", 2, 1, "t", "body", True, 10), ("p", 3, 2, "t", "", True, 7), ("p", 5, 3, "t", None, True, 7), ("q", 4, 0, "t", None, False, 3)], "subreddit string, id long, ord int, title string, selftext string, is_self boolean, score long")
-    return feeds.reddit(rows).select("subreddit", "id", "raw_score")
+    kind = (F.col("conv_id") + F.col("turn")) % 3
+    rows = read(spark, d, "conversations").select(
+        F.col("role").alias("subreddit"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.substring("text", 1, 40).alias("title"),
+        F.when(kind == 0, F.col("text")).when(kind == 1, "").alias("selftext"), (F.col("conv_id") % 2 == 0).alias("is_self"), F.length("text").cast("long").alias("score"),
+    )
+    return feeds.reddit(rows, 50, 2).select("subreddit", "id", F.round("raw_score", 6).alias("raw_score"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, round(50 / 52.0, 6)::DOUBLE), (4, 1.0)) v(ord, score)")
+@query(f"WITH {_POSTS} SELECT ord, round((likes + 2 * reposts) / (SELECT max(likes + 2 * reposts) FROM p), 6)::DOUBLE AS score FROM p WHERE likes + 2 * reposts >= 3")
 def s7_a11_engagement(spark, d):
-    held = posts(spark).where("ord IN (1, 4, 5)").withColumn("reposts", F.when(F.col("ord") == 4, 1).otherwise(0))
-    return feeds.engagement(held, 3).select("ord", F.round("raw_score", 6).alias("score"))
+    return feeds.engagement(posts(spark, d), 3).select("ord", F.round("raw_score", 6).alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('a'::VARCHAR, 1000::BIGINT, round(11 / 2.0, 6)::DOUBLE)) v(id, views, capped) WHERE false UNION ALL SELECT 'a', 1000, 1.0 UNION ALL SELECT 'c', 600, 0.2")
+@query(f"""WITH f AS (SELECT doc_id // 2 AS id, lang, split_part(text, chr(10), 1)[1:80] AS title, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) AS n FROM documents), s AS (SELECT doc_id * 3 AS id, n_chars AS views, n_chars % 7 AS likes FROM documents),
+h AS (SELECT f.id, lang, title, lower(title) AS low, coalesce(views, 0) AS views, coalesce(likes, 0) AS likes FROM f LEFT JOIN s USING (id) WHERE n = 1), m AS (SELECT CASE WHEN max(views) > 0 THEN max(views) ELSE 1 END AS high FROM h)
+SELECT id, views, round(least(1.0, (views * 0.001::DOUBLE + likes) / (high * 0.001::DOUBLE + 1)), 6)::DOUBLE AS capped FROM h, m WHERE NOT (likes = 0 AND views < 500) AND lang = 'en'
+ AND NOT (({_held(S.VIDEO_PHRASES, " + ")}) > 0 OR length(title) - length(replace(replace(title, '#', ''), '$', '')) >= 4 OR regexp_matches(title, '[A-Z]{{1,5}}(\\s*[/|,]\\s*[A-Z]{{1,5}}){{3,}}'))""")
 def s9_j9_f14_t32_videos(spark, d):
-    found = spark.createDataFrame([("a", 0, "x", "en"), ("a", 1, "x", "en"), ("b", 2, "y", "en"), ("c", 3, "z", "en"), ("d", 4, "w", "de"), ("e", 5, "URGENT: sell", "en")], "id string, ord int, title string, language string")
-    stats = spark.createDataFrame([("a", 1000, 10), ("c", 600, 0), ("d", 2000, 9), ("e", 900, 9)], "id string, views long, likes long")
+    """Documents as videos found, each twice, with statistics for some."""
+    docs = read(spark, d, "documents")
+    title = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80)
+    found = docs.select(F.floor(F.col("doc_id") / 2).alias("id"), F.col("doc_id").alias("ord"), title.alias("title"), F.col("lang").alias("language"))
+    stats = docs.select((F.col("doc_id") * 3).alias("id"), F.col("n_chars").alias("views"), (F.col("n_chars") % 7).alias("likes"))
     return feeds.videos(found, stats).select("id", "views", F.col("raw_score").alias("capped"))
 
 
-@query("SELECT 'r' AS repo, 'v2' AS tag")
+@query("SELECT repo, tag FROM (SELECT p_brand AS repo, p_name AS tag, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) WHERE n <= 3 AND p_size % 5 <> 0 AND p_size % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY p_partkey) = 1")
 def s10_releases(spark, d):
-    rows = spark.createDataFrame([("r", 0, "v3", True, False), ("r", 1, "v2", False, False), ("r", 2, "v1", False, False), ("s", 0, "w", False, True)], "repo string, ord int, tag string, draft boolean, prerelease boolean")
+    rows = read(spark, d, "part").select(F.col("p_brand").alias("repo"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("tag"), (F.col("p_size") % 5 == 0).alias("draft"), (F.col("p_size") % 3 == 0).alias("prerelease"))
     return feeds.releases(rows).select("repo", "tag")
 
 
+@query("""WITH t AS (SELECT p_brand AS page, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, 'owner/part-' || p_partkey AS repo, p_partkey AS k, p_name, p_size * 1500 AS stars FROM part)
+SELECT page, pos::INT AS pos, repo AS title, 'https://github.com/' || repo AS url, CASE WHEN k % 3 = 0 THEN 'Trending GitHub repository: ' || repo ELSE p_name || ' & more' END AS content, CASE WHEN k % 5 = 0 THEN 0 ELSE round(least(1.0, stars / 50000.0), 6) END::DOUBLE AS raw_score
+FROM t WHERE pos < 25 AND k % 7 <> 0""")
+def s10_trending(spark, d):
+    """Trending pages, one a brand, that list parts as repositories; some rows lack a description, a star count, or an owner."""
+    k = F.col("p_partkey")
+    name = F.concat(F.when(k % 7 == 0, "part-").otherwise("owner/part-"), k)
+    about = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit('<p class="col-9">\n  '), "p_name", F.lit(" &amp; more </p>")))
+    count = F.when(k % 5 == 0, "many").otherwise(F.format_number(F.col("p_size") * 1500, 0))
+    article = F.concat(F.lit('<article class="Box-row"><h2 class="h3"><a href="/'), name, F.lit('" data-x="1"> <span>x /</span> y</a></h2>'), about, F.lit('<a class="Link" href="/'), name, F.lit('/stargazers"><svg></svg> '), count, F.lit("</a></article>"))
+    rows = read(spark, d, "part").groupBy(F.col("p_brand").alias("page")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", article.alias("a")))).alias("rows"))
+    pages = rows.select("page", F.concat(F.lit("<html><body>"), F.array_join(F.transform("rows", lambda x: x["a"]), "\n"), F.lit("</body></html>")).alias("html"))
+    return feeds.trending(pages).select("page", "pos", "title", "url", "content", F.round("raw_score", 6).alias("raw_score"))
+
+
 @query("SELECT p_name AS repo, p_partkey AS stars, least(1.0, p_partkey / 1000.0)::DOUBLE AS raw_score FROM part ORDER BY p_partkey DESC, p_name LIMIT 20")
 def s11_star_search(spark, d):
     return feeds.stars(read(spark, d, "part").select(F.col("p_name").alias("repo"), F.col("p_partkey").alias("stars")), 1000.0, 20)
 
 
-@query("SELECT * FROM (VALUES ('a'::VARCHAR), ('c')) v(source)")
+@query("SELECT s_name AS source FROM supplier LEFT JOIN (SELECT s_name FROM supplier WHERE s_nationkey % 3 = 0 AND s_suppkey % 2 = 0) o USING (s_name) WHERE s_acctbal > 0 AND o.s_name IS NULL")
 def s12_enabled_sources(spark, d):
-    registry = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("e", False)], "source string, configured boolean")
-    return feeds.enabled(registry, spark.createDataFrame([("a", True), ("b", False)], "source string, is_enabled boolean")).select("source")
+    """Suppliers as sources, configured or not; the state of every second one, on or off."""
+    s = read(spark, d, "supplier")
+    state = s.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("source"), (F.col("s_nationkey") % 3 != 0).alias("is_enabled"))
+    return feeds.enabled(s.select(F.col("s_name").alias("source"), (F.col("s_acctbal") > 0).alias("configured")), state).select("source")
 
 
 @query(I + " SELECT id, language FROM items WHERE id % 2 = 0 UNION ALL SELECT id, language FROM items WHERE id % 2 = 1")
@@ -325,9 +388,11 @@ def s13_s5_collect(spark, d):
     return feeds.collect([held.where("id % 2 = 0"), held.where("id % 2 = 1")])
 
 
-@query("SELECT * FROM (VALUES ('a'::VARCHAR, 'x'::VARCHAR, 3::BIGINT), ('b', NULL, NULL)) v(source, last_id, fetched)")
+@query("SELECT c_name AS source, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS last_id, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS fetched FROM customer")
 def s16_collector_state(spark, d):
-    raw = spark.createDataFrame([("a", '{"last_id":"x","fetched":3}'), ("b", "broken")], "source string, state string")
+    """Customers as collectors' states in JSON, every fifth cut off."""
+    state = F.to_json(F.struct(F.col("c_mktsegment").alias("last_id"), F.col("c_custkey").alias("fetched")))
+    raw = read(spark, d, "customer").select(F.col("c_name").alias("source"), F.when(F.col("c_custkey") % 5 == 0, "broken").otherwise(state).alias("state"))
     return feeds.collector_state(raw).select("source", "last_id", "fetched")
 
 
@@ -337,10 +402,12 @@ def s8_channel_topics(spark, d):
     return read(spark, d, "nation").join(F.broadcast(topics), F.col("n_regionkey") == F.col("k")).select("topic", F.col("n_name").alias("channel"))
 
 
-@query()
-def t15_x4_language(spark, d):
-    from ..providers import language
+_VOTES = ", ".join(f"({{'n': len(list_filter(w, lambda x: x IN ({', '.join(repr(v) for v in small)}))), 'code': '{code}'}})" for code, small in sorted(SMALL_WORDS.items()))
 
+
+@query(f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(lower(substr(text, 1, 500)), '[\\p{{L}}]+') AS w FROM documents), b AS (SELECT doc_id, text, list_max([{_VOTES}]) AS best FROM t)
+SELECT doc_id, CASE WHEN length(trim(text)) < 10 OR best.n = 0 THEN 'en' ELSE best.code END AS language FROM b""")
+def t15_x4_language(spark, d):
     return read(spark, d, "documents").select("doc_id", language("text").alias("language"))
 
 
@@ -375,7 +442,12 @@ def w8_stream_running_scores(spark, d):
     return flows.current(spark, f"{at}/out").select("action", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id % 50 AS item_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'upvote' WHEN 'error' THEN 'downvote' WHEN 'signup' THEN 'undownvote' END AS action FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq) AS k FROM e WHERE action IS NOT NULL),
+f AS (SELECT item_id, 0::BIGINT AS k, ''::VARCHAR AS active, 0::BIGINT AS seq, ''::VARCHAR AS action, NULL::VARCHAR AS cancel FROM (SELECT DISTINCT item_id FROM n)
+ UNION ALL SELECT n.item_id, n.k, CASE WHEN n.action IN ('upvote', 'downvote') THEN n.action WHEN n.action = 'un' || active THEN '' ELSE active END, n.seq, n.action,
+ CASE WHEN n.action IN ('upvote', 'downvote') AND active <> '' AND active <> n.action THEN 'un' || active END FROM f JOIN n ON n.item_id = f.item_id AND n.k = f.k + 1)
+SELECT item_id, seq, action, cancel FROM f WHERE k > 0""")
 def w7_stream_votes(spark, d):
     flows, events = _flow(spark, d)
     at = new_folder(spark)

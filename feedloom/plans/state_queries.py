@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from ..adapters import AS_OF, as_of, hours_before, interactions, items, read, with_
 from ..functions import spam as S
-from ..operators import analysis, preference, research
+from ..operators import analysis, digest, preference, research
 from ..operators import retrieval as R
 from ..operators.keyword_index import KeywordIndex
 from ..operators.vector_index import VectorIndex
 from ..providers import Providers, overlap_score, spam_flag
 from ..session import new_folder
 from .indexes import bm25_sql, indexed
-from .item_queries import DIMS
+from .item_queries import _SEL, DIMS, digest_sql
 from .registry import query
 from .search_queries import _AUTH, _flow, authority
 
@@ -298,3 +298,67 @@ def w10_stream_tumbling(spark, d):
     flows.drain_batches(days, flows.changes_to(f"{at}/out"), f"{at}/checkpoint")
     held = spark.read.schema("action string, day string, n long, batch long").parquet(f"{at}/out")
     return held.groupBy("action", "day").agg(F.max_by("n", "batch").alias("n"))
+
+
+@query("SELECT 1 AS round, count(DISTINCT event_id) AS stored FROM events WHERE ts < TIMESTAMP '2024-01-10' UNION ALL SELECT 2, count(DISTINCT event_id) FROM events WHERE ts >= TIMESTAMP '2024-01-10'")
+def w1_w9_fetch_rounds(spark, d):
+    """Two runs of the interval job: the second finds later events and a repetition of the first ones, and stores the new ones only."""
+    at, events = new_folder(spark), read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("published_at"))
+    early, late = events.where("published_at < TIMESTAMP '2024-01-10'"), events.where("published_at >= TIMESTAMP '2024-01-10'")
+    flows, _ = _flow(spark, d)
+    stored = []
+    for n, part in enumerate((early, late.unionByName(early)), 1):
+        part.write.mode("append").parquet(f"{at}/in")
+        found = flows.fetch_round(flows.watch(spark, f"{at}/in", events.schema, maxFilesPerTrigger=2), f"{at}/out", f"{at}/checkpoint")
+        stored.append((n, sum(k for _, k in found)))
+    return spark.createDataFrame(stored, "round int, stored long")
+
+
+# --- letters -------------------------------------------------------------------------------------------------------------
+
+_TOLD = {"t0": "Two **points** & more|||first <one>|||second", "t1": "Only a headline", "t9": "* No items\n* bullet **x**"}
+
+
+def _html(x: str) -> str:
+    for char, name in (("'&'", "&amp;"), ("'<'", "&lt;"), ("'>'", "&gt;"), ("chr(34)", "&quot;"), ("chr(39)", "&#x27;")):
+        x = f"replace({x}, {char}, '{name}')"
+    return x
+
+
+def _stripped(x: str) -> str:
+    for name, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{name}', {char})"
+    return f"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _bolded(x: str) -> str:
+    return f"regexp_replace({_html(x)}, '\\*\\*(.+?)\\*\\*', '<strong>\\1</strong>', 'g')"
+
+
+_BARE = "regexp_replace(b, '\\*\\*(.+?)\\*\\*', '\\1', 'g')"
+_LETTER = I + _SEL + f""", g AS (SELECT topic, {digest_sql('content')} AS parts
+ FROM (VALUES {", ".join(f"('{t}', '{c}')" for t, c in _TOLD.items())}) v(topic, content)),
+i AS (SELECT topic, n, '<article><p>' || {_html('source')} || ' <i>' || {_html('language')} || '</i> ' || strftime(published_at, '%b %d, %H:%M') || ' UTC</p><h3><a href="' || {_html('url')} || '">' || {_html('title')} || '</a></h3><p>' || {_html(_stripped("coalesce(nullif(summary, ''), content[1:300])"))}
+ || CASE WHEN coalesce(summary, '') = '' AND length(content) > 300 THEN '…' ELSE '' END || '</p><p>' || array_to_string(list_transform(tags, lambda t: '<b>' || {_html('t')} || '</b>'), ' ') || '</p></article>' AS html,
+ '- [' || source || '] ' || title || chr(10) || '  ' || url || CASE WHEN coalesce(summary, '') <> '' THEN chr(10) || '  ' || {_stripped('summary')}[1:240] ELSE '' END AS line FROM n WHERE n <= 3),
+l AS (SELECT topic, count(*) AS k, string_agg(html, chr(10) ORDER BY n) AS html, string_agg(chr(10) || chr(10) || line, '' ORDER BY n) AS lines FROM i GROUP BY 1),
+z AS (SELECT coalesce(l.topic, g.topic) AS topic, coalesce(k, 0) AS items, '<section><h2>T' || coalesce(l.topic, g.topic)[2:] || ' &middot; ' || coalesce(k, 0) || ' items</h2>' || chr(10) ||
+ CASE WHEN parts IS NULL THEN '<p>No summary available for this period yet.</p>' ELSE '<p>' || {_bolded('parts[1]')} || '</p>' || CASE WHEN len(parts) > 1 THEN '<ul>' || array_to_string(list_transform(parts[2:], lambda b: '<li>' || {_bolded('b')} || '</li>'), '') || '</ul>' ELSE '' END END
+ || chr(10) || coalesce(l.html, '<p>No recent items.</p>') || chr(10) || '</section>' AS html,
+ '## T' || coalesce(l.topic, g.topic)[2:] || ' (' || coalesce(k, 0) || ' items)' || CASE WHEN parts IS NULL THEN '' ELSE chr(10) || parts[1] || array_to_string(list_transform(parts[2:], lambda b: chr(10) || '  • ' || {_BARE}), '') END || coalesce(lines, '') AS text FROM l FULL JOIN g ON l.topic = g.topic)"""
+
+
+def _sections(spark, d):
+    chosen = digest.select_items(items(spark, d), 3).withColumn("sentiment", F.col("language"))
+    return digest.sections(chosen, spark.createDataFrame(list(_TOLD.items()), "topic string, content string"))
+
+
+@query(_LETTER + " SELECT topic, items::INT AS items, html, text FROM z")
+def k13_sections(spark, d):
+    return _sections(spark, d)
+
+
+@query(_LETTER + """ SELECT '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><title>News Digest</title></head><body><h1>News Digest</h1><p>2024-01-31</p>' || chr(10) || string_agg(html, chr(10) ORDER BY topic) || chr(10) || '</body></html>' || chr(10) AS html,
+ 'News Digest — 2024-01-31' || chr(10) || repeat('=', 60) || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY topic) || chr(10) AS text FROM z""")
+def k13_letter(spark, d):
+    return digest.letter(_sections(spark, d), "2024-01-31")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import minmax, strip_html
+from ..functions.text import minmax, news_target, strip_html
 
 ITEM = "source string, topic string, title string, url string, content string, published_at timestamp_ntz, raw_score double"
 
@@ -31,6 +31,33 @@ def entries(feeds: DataFrame, at: Column, first: int = 15, days: int = 7, raw_sc
     return rows.where(F.col("title").isNotNull() & F.col("url").isNotNull() & (F.timestamp_diff("SECOND", F.col("published_at"), at) <= days * 86400))
 
 
+def search_address(template: str, keyword: Column | str) -> Column:
+    """A search feed's address: the template with {keyword} as a form field."""
+    before, after = template.split("{keyword}")
+    return F.concat(F.lit(before), F.url_encode(keyword if isinstance(keyword, Column) else F.col(keyword)), F.lit(after))
+
+
+def search_entries(found: DataFrame, at: Column, first: int = 20) -> DataFrame:
+    """source, pos, title, url, content, published_at, raw_score of a search's feeds (source, xml): links of a news search are
+    replaced by the addresses in them, an empty text by the title."""
+    held = entries(found.withColumnRenamed("source", "feed"), at, first, raw_score=0.5).withColumnRenamed("feed", "source")
+    return held.withColumn("url", news_target("url")).withColumn("content", F.coalesce(F.nullif("content", F.lit("")), F.col("title")))
+
+
+def trending(pages: DataFrame, first: int = 25, most: float = 50_000.0) -> DataFrame:
+    """page, pos, title, url, content, raw_score: the repositories of trending pages (page, html), without those that name no owner.
+
+    Descriptions and star counts may be missing; a count that is no number is none."""
+    rows = F.regexp_extract_all("html", F.lit(r'(?s)<article[^>]*class="[^"]*Box-row[^"]*".*?</article>'), F.lit(0))
+    held = pages.select("page", F.posexplode(F.slice(rows, 1, first)).alias("pos", "a"))
+    path = F.regexp_replace(F.regexp_extract("a", r'(?s)<h2[^>]*>.*?<a[^>]*href="([^"]*)"', 1), "^/+", "")
+    about = strip_html(F.regexp_extract("a", r"(?s)<p[^>]*>(.*?)</p>", 1))
+    stars = F.replace(strip_html(F.regexp_extract("a", r'(?s)<a[^>]*href="[^"]*/stargazers"[^>]*>(.*?)</a>', 1)), F.lit(","), F.lit("")).try_cast("long")
+    found = held.select("page", "pos", path.alias("title"), about.alias("about"), F.coalesce(stars, F.lit(0)).alias("stars")).where(F.contains("title", F.lit("/")))
+    content = F.coalesce(F.nullif("about", F.lit("")), F.concat(F.lit("Trending GitHub repository: "), "title"))
+    return found.select("page", "pos", "title", F.concat(F.lit("https://github.com/"), "title").alias("url"), content.alias("content"), minmax(F.col("stars").cast("double"), F.lit(0.0), F.lit(most)).alias("raw_score"))
+
+
 def scrape(pages: DataFrame, prefix: str, first: int = 5) -> DataFrame:
     """page_id, pos, href: the first distinct links of a page (page_id, html) under a path prefix, in order."""
     links = F.array_distinct(F.regexp_extract_all("html", F.lit(rf'href="({prefix}[^"#?]*)"'), F.lit(1)))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import interaction_weight
@@ -62,6 +62,25 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
 
 
+def fetch_round(stream: DataFrame, path: str, checkpoint: str, key: str = "id") -> list[tuple[int, int]]:
+    """One run of an interval job: read what came since the last run, store the keys not stored yet, and return (batch, rows
+    stored) of each batch. How much a batch reads is the source's limit; a batch that runs again replaces its own part."""
+    spark, counts = stream.sparkSession, []
+    schema = stream.schema.add("batch", "long")
+
+    def store(batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        new = batch.dropDuplicates([key])
+        if number:
+            held = spark.read.schema(schema).parquet(path).where(F.col("batch") < number)
+            new = new.join(held.select(key), key, "left_anti").select(*batch.columns)
+        new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        counts.append((number, seen.get["n"]))
+
+    stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return counts
+
+
 def running_scores(interactions: DataFrame) -> DataFrame:
     """item_id, score so far; update mode."""
     return interactions.groupBy("item_id").agg(F.sum(interaction_weight("action", "read_seconds")).alias("score"))
