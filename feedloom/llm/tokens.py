@@ -260,10 +260,9 @@ def _writer(path: str, stride: int, per_shard: int):
             yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), pa.array(slots % per_shard * stride), batch.column("sequence"), batch.column("n_tokens"), pa.array(crc, pa.int64())], names=["slot", "shard", "byte_offset", "sequence", "n_tokens", "crc32"])
         if out is not None:
             out.close()
-            if store.get_file_info(name).type == fs.FileType.NotFound:
-                store.move(temporary, name)
-            else:  # an earlier attempt's, of the same bytes
-                store.delete_file(temporary)
+            if store.get_file_info(name).type != fs.FileType.NotFound:  # of an earlier attempt, or of another run
+                store.delete_file(name)
+            store.move(temporary, name)
 
     return write
 
@@ -286,8 +285,22 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
     return pack(docs, vocabulary, length).mapInArrow(number, "slot long, sequence long, n_tokens int, ids binary"), total
 
 
+def _clear(path: str) -> None:
+    """Take away the shards of an earlier run."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(path)
+    for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if f.base_name.startswith("shard-") and f.base_name.endswith(".bin"):
+            store.delete_file(f.path)
+
+
 def write(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes the shards when its rows are asked for: slot, shard, byte_offset, sequence, n_tokens, crc32 of each sequence."""
+    """Writes the shards when its rows are asked for: slot, shard, byte_offset, sequence, n_tokens, crc32 of each sequence.
+
+    Shards that an earlier run left under the path go at once; a shard is replaced whole when its rows are asked for again."""
+    if path:
+        _clear(path)
     path = path or new_path(docs.sparkSession, "shards")
     stride = 2 * length
     per_shard = max(1, shard_bytes // stride)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -343,6 +344,20 @@ def test_tokens(spark, docs):
     assert parts == collections.Counter(tuple(encode(r["text"] or "")) for r in docs.collect())
 
 
+def test_a_path_used_before_holds_the_last_run(spark):
+    path, frame = new_path(spark, "test-shards"), lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    texts = [f"some words of number {i} and more of them" for i in range(60)]
+    tokens.write(frame(texts), path, length=16, shard_bytes=32 * 4).count()
+    rows = tokens.write(frame([t.replace("some", "other") for t in texts[:20]]), path, length=16, shard_bytes=32 * 4)
+    for _ in range(2):  # asked for again, rows and files stay the same
+        found = rows.orderBy("slot").collect()
+        ids = tokens.read_slots(path, 0, len(found), 16, 32 * 4)
+        assert [zlib.crc32(x.tobytes()) for x in ids] == [r["crc32"] for r in found]
+    files = sorted(p.name for p in Path(path.removeprefix("file://")).iterdir() if not p.name.startswith("."))
+    assert files == [f"shard-{i:06d}.bin" for i in range(-(-len(found) // 4))]
+    assert tokens.write(frame([]), path, length=16).count() == 0 and not list(Path(path.removeprefix("file://")).glob("shard-*"))
+
+
 def test_permutation():
     for n in (1, 2, 5, 64, 1000, 4097):
         assert sorted(tokens.permute(np.arange(n), n).tolist()) == list(range(n))
@@ -527,3 +542,12 @@ def test_pipeline(spark, sf_dir):
         docs = spark.read.parquet(path)
     last = P.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() > 0 and P.run(spark, sf_dir).count() == last.count()
+
+
+def test_first_stage_keeps_other_columns(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = queries.read(spark, sf_dir, "documents").limit(60).selectExpr("*", "'mine' AS _lang_pred", "'too' AS _LANG_SCORE", "7 AS _lang_bits_")
+    found = P.language(spark, docs, sf_dir)
+    rows = found.collect()
+    assert found.columns == docs.columns and rows and {(r["_lang_pred"], r["_LANG_SCORE"], r["_lang_bits_"]) for r in rows} == {("mine", "too", 7)}
