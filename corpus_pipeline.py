@@ -17,9 +17,16 @@ from feedloom.llm.store import materialise
 MOST_BITS = 7.5
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column's name that docs does not use, in any case of letters."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter, or that no tree can code, go."""
-    lang, score, bits = "_lang_pred", "_lang_score", "_lang_bits"
+    lang, score, bits = (_free(docs, c) for c in ("_lang_pred", "_lang_score", "_lang_bits"))
     found = langid.identify(docs, names=(lang, score, bits))
     return found.where((F.col(lang) != langid.UND) & (F.col(bits) <= MOST_BITS)).select(*docs.columns)
 
