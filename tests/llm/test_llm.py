@@ -519,6 +519,36 @@ def test_lines_by_row(spark, hot, monkeypatch):
     assert collections.Counter(map(tuple, got.collect())) == lines_left(rows)
 
 
+def test_chunks_move_with_their_lines():
+    lines = [prose(i, 4).encode() for i in range(400)]
+    runs = lambda x: {linededup.run_bytes(x, *c) for c in linededup.chunks(x)}
+    whole, moved = runs(lines), runs([b"one line more", *lines[:200], b"and another", *lines[200:]])
+    assert 60 < len(whole) < 160 and len(whole - moved) <= 4
+    for x in (lines, [b"same"] * 50, [b"", b""]):
+        found = linededup.chunks(x)
+        assert found[0][0] == 0 and found[-1][1] == len(x) - 1 and all(a < b for a, b in found) and all(p[1] == q[0] for p, q in zip(found, found[1:]))
+    assert linededup.chunks([]) == linededup.chunks([b"lone"]) == []
+
+
+def test_names_shared_by_different_lines(spark, monkeypatch):
+    """Names of one byte say nothing: the bytes under them are compared, and longer names are taken."""
+    rows = [(i, "\n".join(prose(7 * (i % 40) + k, 3) for k in range(9))) for i in range(80)]
+    held = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(linededup, "NAMES", (1, 16))
+    assert collections.Counter(map(tuple, linededup.remove(held).collect())) == lines_left(rows)
+    monkeypatch.setattr(linededup, "NAMES", (1,))
+    with pytest.raises(ValueError):
+        linededup.remove(held)
+
+
+def test_lines_of_equal_rows_and_long_texts(spark):
+    """A third of the rows equal, a third null, one text of more than four megabytes, other columns of clashing names."""
+    long = "\n".join(prose(i, 18) for i in range(60_000))
+    rows = [(1, "a\nb\nc")] * 500 + [(None, None)] * 500 + [(i, f"own {i}\na\nb\nend {i}") for i in range(2, 500)] + [(600, long), (601, "x\n" + long)]
+    held = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS mark", "2 AS later", "3 AS spots", "4 AS _id").repartition(5)
+    assert len(long) > 4 << 20 and collections.Counter(map(tuple, linededup.remove(held).collect())) == lines_left(rows)
+
+
 def test_lines_of_a_table(spark, docs, sf_dir):
     held = queries.read(spark, sf_dir, "documents").select("doc_id", "text")
     for t in (held, held.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.floor(F.col("doc_id") / 4))), docs):
