@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontaminate, langid, licenses, linededup, merkle, mixing, neardup, oracles, pii, sharding, substrings, tokens, whitening
-from .store import new_path
+from .store import shared_dir
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,7 +25,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), map_path=new_path(spark, "slot-map"))
+    """The map of a folder's documents lives in the shared folder, from run to run."""
+    path = f"{shared_dir(spark)}/feedloom/slot-map-{sha256(sf_dir.rstrip('/').encode()).hexdigest()[:16]}"
+    return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), map_path=path)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Records hash into SLOTS virtual slots. Bytes and rows are summed by slot, and a slot-to-shard map is made from those
 sums alone: the heaviest slot first, each to the lightest shard so far. The map has SLOTS rows whatever the data's
-size; it is stored by version and edited, not made anew, when shards are added or have drifted apart: only the slots
-that have to move do. The law that holds is `bytes`: shards have nearly equal sizes.
+size, and up to 2 x HEAVY x shards more where slots are split. It is stored by version. A later run loads the latest
+version and edits it, where shards were added or taken away, have drifted apart, or slots are new: only the slots that
+have to move do, and the edited map is the next version. The law that holds is `bytes`: shards have nearly equal sizes.
 
 Inside a shard, rows are numbered from 0 without gaps: a slot's rows follow those of the shard's slots before it, so
 no task ever numbers a whole shard.
@@ -15,14 +16,15 @@ heavy, it is split by the rows' places in the input, so that no slot holds more
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import materialise
 
 SLOTS = 4096
-#: A slot with more than a HEAVY-th of a shard's fair share of bytes is split in up to PARTS.
-HEAVY, PARTS = 64, 64
+#: A slot with more than a HEAVY-th of a shard's fair share of bytes is split in as many parts as that share goes into it.
+HEAVY = 64
 LAW = "bytes"
 
 
@@ -31,19 +33,21 @@ def virtual_slot(slots: int = SLOTS) -> Column:
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot, part (of its slot, by the row's place in the input: equal rows have no other difference)."""
-    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")
+    """doc_id, size, text_crc32, vslot, part (a number of 63 bits by the row's place in the input: equal rows have no other difference)."""
+    part = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 1)
     return docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), virtual_slot(slots).alias("vslot"), part.alias("part"))
 
 
 def split(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """rows (of sized, written) with heavy slots split: part p of slot s becomes slot s + p x slots, and a slot's first part
-    keeps its number. Slots stay as they are while none holds more than a HEAVY-th of a shard's fair share."""
+    """rows (of sized, written) with heavy slots split: part p of slot s becomes slot s + p x slots, and a slot's first part,
+    which has a row, keeps its number. Slots stay as they are while none holds more than a HEAVY-th of a shard's fair share."""
     sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.min("part").alias("least"))
     total = F.sum("bytes").over(Window.partitionBy())  # at most `slots` rows
-    heavy = sums.withColumn("total", total).where(F.col("bytes") * shards * HEAVY > F.col("total")).select(F.col("vslot").alias("_heavy"), "least")
+    parts = sums.withColumn("parts", F.ceil(F.col("bytes") / total * (shards * HEAVY)))
+    heavy = parts.where("parts > 1").select(F.col("vslot").alias("_heavy"), "least", "parts")  # fewer than shards x HEAVY
     held = rows.join(F.broadcast(heavy), F.col("vslot") == F.col("_heavy"), "left")
-    return held.withColumn("vslot", F.col("vslot") + F.coalesce(F.col("part") - F.col("least"), F.lit(0)) * slots).drop("part", "least", "_heavy")
+    part = F.coalesce(F.pmod(F.col("part") - F.col("least"), F.col("parts")), F.lit(0))
+    return held.withColumn("vslot", F.col("vslot") + part * slots).drop("part", "least", "parts", "_heavy")
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def slot_sizes(rows: DataFrame) -> DataFrame:
 
 
 def plan(slot_bytes: DataFrame, shards: int) -> DataFrame:
-    """vslot, shard from vslot and bytes: a fold over one array of at most SLOTS entries."""
+    """vslot, shard from vslot and bytes: a fold over one array with an entry for each slot and part."""
     one = slot_bytes.agg(F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "vslot"))).alias("slots"))
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("load"), F.array().cast("array<int>").alias("to"))
 
@@ -99,6 +103,30 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/version={version}")
 
 
+def latest(spark: SparkSession, path: str) -> int | None:
+    """The last version stored under a path; none before the first."""
+    try:
+        held = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return max(int(f.rpartition("/version=")[2].partition("/")[0]) for f in held.inputFiles())  # a file for each version
+
+
+def live_map(slot_bytes: DataFrame, shards: int, path: str) -> DataFrame:
+    """The map under a path for these slots: version 0 if there is none yet, else the latest, edited where it has to be and then
+    stored as the next version."""
+    spark = slot_bytes.sparkSession
+    version = latest(spark, path)
+    if version is None:
+        return store_map(plan(slot_bytes, shards), path, 0)
+    old = load_map(spark, path, version)
+    new = materialise(rebalance(slot_bytes, old, shards), "edited-map")
+    changed = not new.join(old, ["vslot", "shard"], "left_anti").isEmpty()
+    return store_map(new, path, version + 1) if changed else new
+
+
 def number(rows: DataFrame, sums: DataFrame, slot_map: DataFrame) -> DataFrame:
     """rows (of split) with shard and slot, the place in the shard; sums are its slot_sizes."""
     # a row for each slot on the broadcast side
@@ -108,13 +136,13 @@ def number(rows: DataFrame, sums: DataFrame, slot_map: DataFrame) -> DataFrame:
     return rows.withColumn("_own", own).join(F.broadcast(placed), "vslot").withColumn("slot", (F.col("base") + F.col("_own")).cast("long")).drop("_own", "base")
 
 
-def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None, version: int = 0) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, one row for each of docs (doc_id, text)."""
+def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, one row for each of docs (doc_id, text); by the map that
+    lives under map_path, or one made for this call."""
     rows = split(materialise(sized(docs, slots), "sizes"), shards, slots)
     sums = materialise(slot_sizes(rows), "slots")
-    slot_map = plan(sums.select("vslot", "bytes"), shards)
-    if map_path:
-        slot_map = store_map(slot_map, map_path, version)
+    loads = sums.select("vslot", "bytes")
+    slot_map = live_map(loads, shards, map_path) if map_path else plan(loads, shards)
     return number(rows, sums, slot_map).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 

@@ -116,6 +116,40 @@ def test_shards_of_repeated_rows(spark):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
+def test_a_map_lives(spark, tmp_path):
+    """The map is the plain greedy one of the slots' sums; runs over the same rows keep it; more rows and shards edit it."""
+    path = f"file://{tmp_path}/map"
+    rows = [(i, prose(i, 5 + i % 50)) for i in range(3000)] + [(-1, prose(1, 4000))] * 60 + [(None, None)] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).cache()
+    got = sharding.shard(docs, 6, map_path=path).collect()
+    sums = collections.Counter()
+    for r in got:
+        sums[r["vslot"]] += r["size"]
+    load, to = [0] * 6, {}
+    for slot in sorted(sums, key=lambda s: (-sums[s], s)):
+        to[slot] = load.index(min(load))
+        load[to[slot]] += sums[slot]
+    assert all(r["shard"] == to[r["vslot"]] for r in got) and max(load) <= 1.01 * min(load)
+    at = lambda x: {(r["doc_id"], r["size"], r["vslot"]): r["shard"] for r in x}
+    assert at(sharding.shard(docs, 6, map_path=path).collect()) == at(got) and sharding.latest(spark, path) == 0
+    more = docs.union(spark.createDataFrame([(i, prose(i, 30)) for i in range(5000, 5300)], docs.schema))
+    for version, (table, shards) in enumerate([(more, 6), (docs, 7), (docs, 5)], 1):
+        now = sharding.shard(table, shards, map_path=path).collect()
+        load = collections.Counter()
+        for r in now:
+            load[r["shard"]] += r["size"]
+        assert sharding.latest(spark, path) == version and set(load) == set(range(shards)) and max(load.values()) <= 1.03 * min(load.values())
+    for _ in range(2):
+        assert sharding.shard(docs.limit(0), 6, map_path=f"{path}-of-none").count() == 0
+
+
+def test_one_row_over_a_hundred_shards(spark):
+    """Rows that are all equal are dealt evenly over more shards than a slot's usual parts."""
+    docs = spark.createDataFrame([(7, "same text")] * 60_000, "doc_id long, text string").repartition(3)
+    load = {r["shard"]: r["count"] for r in sharding.shard(docs, 100).groupBy("shard").count().collect()}
+    assert len(load) == 100 and sum(load.values()) == 60_000 and max(load.values()) <= 1.1 * min(load.values())
+
+
 def test_rebalance_moves_little(spark):
     sizes = spark.range(512).selectExpr("cast(id as int) as vslot", "100 + id % 7 as bytes")
     old = sharding.plan(sizes, 8).cache()
