@@ -36,10 +36,13 @@ def replayed(interactions: DataFrame, items: DataFrame) -> DataFrame:
     """The scores after a recomputation that adds all history again at each interaction: each weight counts once for every
     interaction from its own on."""
     n = interactions.agg(F.count("*").alias("n"))
-    # interactions are numbered by bucket of time, so that no task orders all of them
-    day = weighted(interactions).withColumn("_day", F.to_date("created_at"))
-    before = day.groupBy("_day").agg(F.count("*").alias("m")).withColumn("base", F.sum("m").over(Window.orderBy("_day")) - F.col("m"))
-    ordered = day.withColumn("_j", F.row_number().over(Window.partitionBy("_day").orderBy("created_at", "seq"))).join(F.broadcast(before.select("_day", "base")), "_day")
+    # interactions are numbered inside seconds, seconds inside days (86,400 at most): no task orders a whole day's rows
+    rows = weighted(interactions).withColumn("_second", F.date_trunc("second", "created_at"))
+    seconds = rows.groupBy("_second").agg(F.count("*").alias("m")).withColumn("_day", F.to_date("_second"))
+    days = seconds.groupBy("_day").agg(F.sum("m").alias("m")).select("_day", (F.sum("m").over(Window.orderBy("_day")) - F.col("m")).alias("_days"))  # a row a day
+    inside = F.sum("m").over(Window.partitionBy("_day").orderBy("_second")) - F.col("m")
+    before = seconds.withColumn("_inside", inside).join(days, "_day").select("_second", (F.col("_days") + F.col("_inside")).alias("base"))
+    ordered = rows.withColumn("_j", F.row_number().over(Window.partitionBy("_second").orderBy("created_at", "seq"))).join(before, "_second")
     times = ordered.join(F.broadcast(n)).select(F.col("item_id").alias("id"), (F.col("weight") * (F.col("n") - F.col("base") - F.col("_j") + 1)).alias("weight"))
     found = times.groupBy("id").agg(F.sum("weight").alias("weight")).join(dimensions(items), "id")
     return found.groupBy("dimension", "value").agg(F.round(F.sum("weight"), 6).alias("score"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +40,18 @@ def unanalysed(items: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.orderBy(F.desc("fetched_at"), F.desc("published_at"), "id").limit(limit)
 
 
+def with_totals(rows: DataFrame, *keys: str, **totals: Column) -> DataFrame:
+    """rows with aggregates of the rows that have the same keys (null is a key). Sums are made before the shuffle and joined
+    back, so that a key with most rows has no task of its own."""
+    sums = rows.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(*(v.alias(name) for name, v in totals.items()))
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    return rows.join(sums, on).drop(*(f"_of_{k}" for k in keys))
+
+
 def widen(items: DataFrame, at: Column, hours: int, key: str, least: int = 5) -> DataFrame:
-    """By key: the rows inside the window if there are `least`, else all, with the flag widened; one pass."""
+    """By key: the rows inside the window if there are `least`, else all, with the flag widened."""
     inside = F.col("published_at") >= hours_before(at, hours)
-    counted = items.withColumn("_in", inside).withColumn("_n", F.count_if("_in").over(Window.partitionBy(key)))
+    counted = with_totals(items.withColumn("_in", inside), key, _n=F.count_if("_in"))
     return counted.where(F.col("_in") | (F.col("_n") < least)).withColumn("widened", F.col("_n") < least).drop("_in", "_n")
 
 

@@ -190,7 +190,8 @@ def a9_a10_linear_percentile(spark, d):
 
 @query(I + "SELECT id, round(raw_score / max(raw_score) OVER (PARTITION BY source), 6) AS share FROM items")
 def a11_share_of_best(spark, d):
-    return items(spark, d).select("id", F.round(F.col("raw_score") / F.max("raw_score").over(Window.partitionBy("source")), 6).alias("share"))
+    held = recency.with_totals(items(spark, d).select("id", "source", "raw_score"), "source", best=F.max("raw_score"))
+    return held.select("id", F.round(F.col("raw_score") / F.col("best"), 6).alias("share"))
 
 
 @query("SELECT bucket, status, n FROM (SELECT lang AS bucket, CASE max(CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 WHEN 'src2' THEN 1 ELSE 0 END) WHEN 3 THEN 'partial' WHEN 2 THEN 'fallback' WHEN 1 THEN 'not_needed' ELSE 'measured' END AS status, count(*) AS n FROM documents GROUP BY lang)")
@@ -266,8 +267,8 @@ def t9_t10_question(spark, d):
 
 @query(I + "SELECT id, round(CASE WHEN hi <= lo THEN 0.5 ELSE least(1.0, greatest(0.0, (raw_score - lo) / (hi - lo))) END, 6)::DOUBLE AS n FROM (SELECT id, raw_score, min(raw_score) OVER (PARTITION BY source, topic) AS lo, max(raw_score) OVER (PARTITION BY source, topic) AS hi FROM items)")
 def t11_minmax(spark, d):
-    w = Window.partitionBy("source", "topic")
-    return items(spark, d).select("id", F.round(T.minmax("raw_score", F.min("raw_score").over(w), F.max("raw_score").over(w), 0.5), 6).alias("n"))
+    held = recency.with_totals(items(spark, d).select("id", "source", "topic", "raw_score"), "source", "topic", lo=F.min("raw_score"), hi=F.max("raw_score"))
+    return held.select("id", F.round(T.minmax("raw_score", F.col("lo"), F.col("hi"), 0.5), 6).alias("n"))
 
 
 @query(I + f"SELECT id, round(exp(-greatest(0, date_diff('second', published_at, {AT}) / 3600.0::DOUBLE) / 48), 6) AS freshness FROM items")

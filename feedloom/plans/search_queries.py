@@ -152,7 +152,7 @@ def r14_research_loop(spark, d):
 
 def fold_items(spark, d):
     held = items(spark, d)
-    return held.withColumn("ord", F.col("id")).withColumn("url", F.concat(F.lit("https://x.example/"), F.pmod(F.xxhash64(F.substring("content", 1, 200)), F.lit(1 << 40))))
+    return held.withColumn("ord", F.col("id")).withColumn("url", F.concat(F.lit("https://x.example/"), F.md5(F.substring("content", 1, 200))))
 
 
 @query(I + ", k AS (SELECT id, regexp_replace(regexp_replace(lower(title), '\\s+-\\s+[^-]{1,40}$', ''), '[^a-z0-9]', '', 'g')[1:80] AS key, length(content) * 0.001::DOUBLE + CASE WHEN coalesce(summary, '') <> '' THEN 2 ELSE 0 END + raw_score * 0.5::DOUBLE AS detail FROM items) SELECT id, CASE WHEN key = '' THEN id ELSE first(id) OVER (PARTITION BY key ORDER BY detail DESC, id) END AS survivor FROM k")
@@ -161,40 +161,83 @@ def d1_by_title_key(spark, d):
     return dedup.by_key(keys, "title_key")
 
 
-@query()
+_DETAIL = "length(content) * 0.001::DOUBLE + CASE WHEN coalesce(summary, '') <> '' THEN 2 ELSE 0 END + raw_score * 0.5::DOUBLE"
+_IR = I.replace("WITH ", "WITH RECURSIVE ", 1)
+
+#: The ordered fold, a row a step: `held` are the rows entered, the last of a key is met; fold(id, kept, of).
+_FOLD = f""", k AS (SELECT row_number() OVER (ORDER BY id) AS k, id, 'https://x.example/' || md5(content[1:200]) AS u, {_DETAIL} AS d,
+ regexp_replace(lower(regexp_replace(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '\\s+-\\s+[\\p{{L}}\\p{{N}}_][^-]{{0,40}}$', '')), '[^a-z0-9]', '', 'g')[1:80] AS t FROM items),
+f AS (SELECT 0::BIGINT AS step, []::STRUCT(u VARCHAR, t VARCHAR, id BIGINT, d DOUBLE, alive BOOLEAN)[] AS held, []::STRUCT(id BIGINT, of BIGINT)[] AS flagged UNION ALL
+ SELECT k, CASE WHEN dup THEN held ELSE list_append(list_transform(held, lambda x: {{'u': x.u, 't': x.t, 'id': x.id, 'd': x.d, 'alive': x.alive AND x.id IS DISTINCT FROM m.id}}), {{'u': u, 't': t, 'id': id, 'd': d, 'alive': true}}) END,
+  CASE WHEN dup THEN list_append(flagged, {{'id': id, 'of': m.id}}) ELSE flagged END
+ FROM (SELECT *, coalesce(NOT m.alive OR d <= m.d, false) AS dup FROM (SELECT f.*, k.*, coalesce(list_filter(held, lambda x: x.u = k.u)[-1], list_filter(held, lambda x: x.t = k.t AND k.t <> '')[-1]) AS m FROM f JOIN k ON k.k = f.step + 1))),
+z AS (SELECT held, flagged FROM f ORDER BY step DESC LIMIT 1),
+fold AS (SELECT x.id AS id, true AS kept, NULL::BIGINT AS of FROM (SELECT unnest(held) AS x FROM z) WHERE x.alive UNION ALL SELECT x.id, false, x.of FROM (SELECT unnest(flagged) AS x FROM z))"""
+
+
+def greedy_sql(rows: str, pairs: str, out: str) -> str:
+    """CTEs of the greedy fold, a pair a step: `out` (id, duplicate_of, cluster_id) from rows (id, detail), in order of id, and pairs (a, b)."""
+    return f""", {out}e AS (SELECT row_number() OVER (ORDER BY a, b) AS k, CASE WHEN x.detail >= y.detail THEN a ELSE b END AS win, CASE WHEN x.detail >= y.detail THEN b ELSE a END AS lose FROM {pairs} JOIN {rows} x ON x.id = a JOIN {rows} y ON y.id = b),
+{out}g AS (SELECT 0::BIGINT AS step, []::BIGINT[] AS gone, NULL::BIGINT AS win, NULL::BIGINT AS lose UNION ALL
+ SELECT k, CASE WHEN live THEN list_append(gone, l) ELSE gone END, CASE WHEN live THEN w END, CASE WHEN live THEN l END
+ FROM (SELECT k, e.win AS w, e.lose AS l, gone, NOT list_contains(gone, e.win) AND NOT list_contains(gone, e.lose) AS live FROM {out}g g JOIN {out}e e ON e.k = g.step + 1)),
+{out} AS (SELECT n.id, min(l.win) AS duplicate_of, coalesce(min(l.win), min(w.win)) AS cluster_id FROM (SELECT a AS id FROM {pairs} UNION SELECT b FROM {pairs}) n LEFT JOIN {out}g l ON l.lose = n.id LEFT JOIN {out}g w ON w.win = n.id GROUP BY n.id)"""
+
+
+def vectors_sql(least: float) -> str:
+    """Pairs (a, b, similarity) of the given vectors."""
+    dot = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
+    return f"SELECT a.vec_id AS a, b.vec_id AS b, {dot} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {dot} >= {least}"
+
+
+def tfidf_sql(texts: str, out: str) -> str:
+    """CTEs of the TF-IDF pairs: `out` (a, b, similarity) from texts (id, text)."""
+    stop = ", ".join(f"'{w}'" for w in dedup.STOP_WORDS)
+    return f""", {out}t AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM {texts}), {out}c AS (SELECT id, term, count(*) AS tf FROM {out}t WHERE term NOT IN ({stop}) GROUP BY 1, 2),
+{out}v AS (SELECT term, sum(tf) AS a, count(*) AS df FROM {out}c GROUP BY term ORDER BY a DESC, term LIMIT 5000), {out}w AS (SELECT id, term, tf * (ln(((SELECT count(*) FROM {texts}) + 1) / (df + 1)) + 1) AS w FROM {out}c JOIN {out}v USING (term)),
+{out}u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM {out}w),
+{out} AS (SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS similarity FROM {out}u a JOIN {out}u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) >= 0.82)"""
+
+
+@query(_IR + _FOLD + " SELECT id, kept, of AS duplicate_of FROM fold")
 def d1_j12_ordered_fold(spark, d):
     return dedup.fold(fold_items(spark, d))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.4")
+@query(vectors_sql(0.4))
 def d2_j10_vector_pairs(spark, d):
     return dedup.vector_pairs(vectors(spark, d), 0.4)
 
 
-@query()
+_VECTOR_FOLD = f"WITH RECURSIVE r AS (SELECT vec_id AS id, vec_id % 7 AS detail FROM embeddings), p AS ({vectors_sql(0.4)})" + greedy_sql("r", "p", "s")
+
+
+@query(_VECTOR_FOLD + " SELECT id, duplicate_of, cluster_id FROM s")
 def d2_semantic_fold(spark, d):
     held = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), (F.col("vec_id") % 7).cast("double").alias("detail"))
     return dedup.semantic_fold(held, dedup.vector_pairs(vectors(spark, d), 0.4).select("a", "b"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in dedup.STOP_WORDS)
+_TEXTS = ", texts AS (SELECT id, title || ' ' || content[1:200] AS text FROM items)"
 
 
-@query(I + f""", t AS (SELECT id, unnest(regexp_extract_all(lower(title || ' ' || content[1:200]), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM items), c AS (SELECT id, term, count(*) AS tf FROM t WHERE term NOT IN ({_STOP}) GROUP BY 1, 2),
-v AS (SELECT term, sum(tf) AS a, count(*) AS df FROM c GROUP BY term ORDER BY a DESC, term LIMIT 5000), w AS (SELECT id, term, tf * (ln(((SELECT count(*) FROM items) + 1) / (df + 1)) + 1) AS w FROM c JOIN v USING (term)),
-u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w) SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) >= 0.82""")
+@query(I + _TEXTS + tfidf_sql("texts", "p") + " SELECT a, b, similarity FROM p")
 def d3_tfidf_pairs(spark, d):
     return dedup.tfidf_pairs(items(spark, d).select("id", F.concat("title", F.lit(" "), F.substring("content", 1, 200)).alias("text")), 0.82)
 
 
-@query()
+@query(_IR + f", r AS (SELECT id, {_DETAIL} AS detail FROM items)" + _TEXTS + tfidf_sql("texts", "p") + greedy_sql("r", "p", "s") + " SELECT id, duplicate_of FROM s")
 def d3_tfidf_fold(spark, d):
     text = F.concat("title", F.lit(" "), F.substring("content", 1, 200))
     held = items(spark, d).select("id", F.col("id").alias("ord"), T.detail_score("content", "summary", "raw_score").alias("detail"), text.alias("text"))
     return dedup.tfidf_fold(held, 0.82)
 
 
-@query()
+_KEPT = f""", r AS (SELECT id, {_DETAIL} AS detail, coalesce(title, '') || ' ' || coalesce(content, '')[1:200] AS text FROM items WHERE id IN (SELECT id FROM fold WHERE kept)), vp AS ({vectors_sql(0.82)} AND a.vec_id IN (SELECT id FROM r) AND b.vec_id IN (SELECT id FROM r))"""
+_SECOND = "SELECT fold.id, coalesce(of, duplicate_of) IS NOT NULL AS is_duplicate, coalesce(of, duplicate_of) AS duplicate_of, {} AS cluster_id, '{}' AS strategy FROM fold LEFT JOIN {} x ON x.id = fold.id"
+
+
+@query(_IR + _FOLD + _KEPT + greedy_sql("r", "vp", "vs") + tfidf_sql("r", "tp") + greedy_sql("r", "tp", "ts") + " " + _SECOND.format("cluster_id", "semantic", "vs") + " UNION ALL " + _SECOND.format("NULL", "tfidf", "ts") + " UNION ALL SELECT id, NOT kept, of, NULL, 'none' FROM fold")
 def d4_dispatcher(spark, d):
     held = fold_items(spark, d)
     found = [dedup.deduplicate(held, name, 0.82, vectors(spark, d)).withColumn("strategy", F.lit(name)) for name in ("semantic", "tfidf", "none")]
@@ -213,7 +256,7 @@ def d6_d7_existing_first(spark, d):
     return recency.first_seen(both, "doc_id", "part")
 
 
-@query()
+@query(_VECTOR_FOLD + " SELECT cluster_id, min(id) AS first, count(*) AS n FROM s WHERE cluster_id IS NOT NULL GROUP BY cluster_id")
 def d8_clusters(spark, d):
     held = d2_semantic_fold(spark, d).where("cluster_id IS NOT NULL")
     return held.groupBy("cluster_id").agg(F.min("id").alias("first"), F.count("*").alias("n"))
