@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .store import give_back, in_batches
+from .store import give_back, in_batches, materialise, small
 
 ORDER = 4
+#: Groups of input tasks among which the sample is chosen before the languages' own choice.
+SALTS = 16
 #: Bytes scored at once.
 LONGEST = 1 << 18
 UND = "und"
@@ -180,21 +182,25 @@ def train(samples: dict[str, list[str]], order: int = ORDER) -> Model:
 
 
 def sample(docs: DataFrame, docs_per_lang: int = 300, bytes_per_lang: int = 600_000) -> dict[str, list[str]]:
-    """The bounded training sample; docs has doc_id, text and lang."""
+    """The bounded training sample; docs has doc_id, text and lang.
+
+    Rows are chosen without their texts: by language and SALTS groups of input tasks first, then by language, so that a task
+    ranks at most SALTS x docs_per_lang rows of the groups before it. The texts of the chosen are then looked up."""
     most = max(4, bytes_per_lang // 10)
     long = F.octet_length("text") > most
+    text = F.when(long, F.substring("text", 1, most // 4)).otherwise(F.col("text"))  # a character has four bytes at most
+    held = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    key = [F.col("doc_id"), F.col("lang"), F.xxhash64("text").alias("_tie")]
     order = [F.col("_long"), F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("_tie")]
-    rows = (
-        docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .select("doc_id", "lang", long.alias("_long"), F.xxhash64("text").alias("_tie"), F.when(long, F.substring("text", 1, most // 4)).otherwise(F.col("text")).alias("text"))  # a character has four bytes at most
-        .withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-        .where(F.col("_n") <= docs_per_lang)
-        .withColumn("_bytes", F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("_n")))
-        .where(F.col("_bytes") <= bytes_per_lang)
-    )
+    rows = held.select(*key, long.alias("_long"), F.octet_length(text).alias("_size"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"))
+    for group in (("lang", "_salt"), ("lang",)):
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_n") <= docs_per_lang)
+    rows = rows.withColumn("_bytes", F.sum("_size").over(Window.partitionBy("lang").orderBy("_n"))).where(F.col("_bytes") <= bytes_per_lang)
+    chosen = materialise(rows.groupBy(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("_tie").alias("_same")).agg(F.count("*").alias("times")), "language-sample")
+    texts = held.select(*key, text.alias("text")).join(small(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("_tie") == F.col("_same")))
     out: dict[str, list[str]] = {}
-    for r in rows.select("lang", "text").collect():  # at most bytes_per_lang a language
-        out.setdefault(r["lang"], []).append(r["text"])
+    for r in texts.groupBy("doc_id", "lang", "_tie").agg(F.first("text").alias("text"), F.first("times").alias("times")).collect():  # at most bytes_per_lang a language
+        out.setdefault(r["lang"], []).extend([r["text"]] * r["times"])
     return out
 
 

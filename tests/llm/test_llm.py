@@ -192,6 +192,18 @@ def test_sample_is_filled_beside_long_texts(spark):
     assert len(short) == 20
 
 
+def test_sample_by_steps(spark):
+    """The first rows by length and hash, whatever the partitions; equal rows count as often as they stand, null ids too."""
+    rows = [(i, prose(i, 4 + i % 9), "en" if i % 3 else "de") for i in range(900)] + [(None, "same words", "fr")] * 40 + [(7, "again", "de")] * 5 + [(3, None, "de"), (4, "123", "de"), (5, "no label", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    h = {r["doc_id"]: r["h"] for r in frame.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).distinct().collect()}
+    for parts in (1, 7, 40):
+        got = langid.sample(frame.repartition(parts), docs_per_lang=30)
+        assert {k: len(v) for k, v in got.items()} == {"en": 30, "de": 30, "fr": 30} and set(got["fr"]) == {"same words"}
+        en = sorted((h[i], i, t) for i, t, lang in rows if lang == "en")[:30]
+        assert sorted(got["en"]) == sorted(t for _, _, t in en)
+
+
 def test_code_lengths():
     model = langid.train({"a": ["abab abab", "abba"], "b": ["xyz xyz zyx"]})
     counts = [collections.defaultdict(collections.Counter) for _ in range(2)]
