@@ -34,7 +34,7 @@ def evidence(chosen: DataFrame) -> DataFrame:
 def prompt_rows(items: DataFrame, size: int = 15) -> DataFrame:
     """batch, payload: JSON arrays of index, title, content (500 characters) and source for a language model."""
     # batches are numbered inside hash buckets, so no task numbers all rows
-    bucket = F.pmod(F.xxhash64("id"), F.lit(64))
+    bucket = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 4), 16, 10).cast("int") % 64
     held = items.withColumn("bucket", bucket).withColumn("_n", F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1)
     held = held.withColumn("batch", F.floor(F.col("_n") / size)).withColumn("index", F.col("_n") % size)
     row = F.struct("index", "title", F.substring("content", 1, 500).alias("content"), "source")

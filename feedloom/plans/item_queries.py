@@ -475,7 +475,11 @@ def t20_evidence(spark, d):
     return digest.evidence(digest.select_items(items(spark, d)))
 
 
-@query()
+_PROMPT = """json_object('index', index, 'title', title, 'content', content[1:500], 'source', source)::VARCHAR"""
+
+
+@query(I + f""", b AS (SELECT *, ('0x' || md5(id::VARCHAR)[1:4])::INT % 64 AS bucket FROM items), n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY id) - 1 AS n FROM b),
+p AS (SELECT *, n // 15 AS batch, n % 15 AS index FROM n) SELECT bucket, batch, '[' || string_agg({_PROMPT}, ',' ORDER BY index) || ']' AS payload, count(*) AS n FROM p GROUP BY bucket, batch""")
 def t30_prompt_rows(spark, d):
     return digest.prompt_rows(items(spark, d))
 

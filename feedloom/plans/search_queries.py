@@ -130,18 +130,23 @@ def r19_verdict(spark, d):
     return by.select("model", R.verdict((F.length("model") - 5) * 0.03, F.col("p")).alias("verdict"))
 
 
-@query()
+def _research(*queries: str) -> str:
+    """The twin of a loop that asks these queries: each item's best score."""
+    return I + "".join(f", {bm25_sql(q, 12, f'q{i}')}" for i, q in enumerate(queries)) + " SELECT id, min(score) AS score FROM (" + " UNION ALL ".join(f"SELECT id, score FROM q{i}" for i in range(len(queries))) + ") GROUP BY id"
+
+
+@query(_research("this from", "this from that with", "this from that", "from that with"))
 def r14_research_loop(spark, d):
     """Rounds of sub-queries over the keyword index until nothing new is found; a round is one plan."""
-    held, found, seen = items(spark, d), None, set()
+    index, found, seen = indexed(spark, d), None, set()
     plan = ["this from", "this from that with"]
     for _ in range(3):
-        new = [q for q in plan if q not in seen]
+        new = [q for q in dict.fromkeys(plan) if q not in seen]
         if not new:
             break
         for q in new:
             seen.add(q)
-            part = R.bm25(held, q, 12).select("id", "score")
+            part = index.search(q, 12).select("id", "score")
             found = part if found is None else found.unionByName(part)
         plan = [p for q in new for p in (" ".join(q.split()[:3]), " ".join(q.split()[-3:]))]
     return found.groupBy("id").agg(F.min("score").alias("score"))
@@ -322,9 +327,22 @@ def s3_scrape_links(spark, d):
     return feeds.scrape(read(spark, d, "pages"), "/").groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-@query()
+def _plain_sql(html: str) -> str:
+    entities = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
+    for name, char in entities:
+        html = f"replace({html}, '{name}', '{char}')"
+    return f"trim(regexp_replace(regexp_replace({html}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_INNER = {t: f"nullif({_plain_sql(f"regexp_extract(html, '<{t}[^>]*>(.*?)</{t}>', 1, 'si')")}, '')" for t in ("h1", "title")}
+_BODY = _plain_sql("regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gsi')")
+_MONTH = "regexp_extract(body, '\\b((?:January|February|March|April|May|June|July|August|September|October|November|December) \\d{4})\\b', 1)"
+
+
+@query(f"""SELECT page_id, coalesce({_INNER['h1']}, {_INNER['title']}, regexp_extract(url, '^[^:]+://[^/]+(/[^?#]*)', 1)) AS title,
+ strftime(try_strptime('1 ' || {_MONTH}, '%-d %B %Y'), '%Y-%m-%d') AS month, substr(body, 1, 3000) AS body FROM (SELECT *, {_BODY} AS body FROM pages)""")
 def s3_page_items(spark, d):
-    return feeds.page_item(read(spark, d, "pages"))
+    return feeds.page_item(read(spark, d, "pages")).withColumn("month", F.date_format("month", "yyyy-MM-dd"))
 
 
 def feed_xml(spark, d):

@@ -300,6 +300,20 @@ def w10_stream_tumbling(spark, d):
     return held.groupBy("action", "day").agg(F.max_by("n", "batch").alias("n"))
 
 
+@query("""WITH t AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 3 HOUR, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM t) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n FROM s GROUP BY user_id, s""")
+def w10_stream_sessions(spark, d):
+    """What a reader did with less than three hours between; events come in any order within the watermark."""
+    flows, events = _flow(spark, d)
+    at = new_folder(spark)
+    acts = events.select("user_id", F.col("ts").cast("timestamp").alias("created_at"))
+    found = flows.sessions(acts, "3 hours", "40 days").select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n")
+    flows.drain_batches(found, flows.changes_to(f"{at}/out"), f"{at}/checkpoint", "complete")
+    held = spark.read.schema("user_id long, began string, n long, batch long").parquet(f"{at}/out")
+    last = held.agg(F.max("batch").alias("batch"))  # one row; each batch gives all sessions so far
+    return held.join(F.broadcast(last), "batch").select("user_id", "began", "n")
+
+
 @query("SELECT 1 AS round, count(DISTINCT event_id) AS stored FROM events WHERE ts < TIMESTAMP '2024-01-10' UNION ALL SELECT 2, count(DISTINCT event_id) FROM events WHERE ts >= TIMESTAMP '2024-01-10'")
 def w1_w9_fetch_rounds(spark, d):
     """Two runs of the interval job: the second finds later events and a repetition of the first ones, and stores the new ones only."""
