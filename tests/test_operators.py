@@ -78,6 +78,29 @@ def test_alpha():
     assert R.alpha_weights(5) == [1, 0] and R.alpha_weights(-3) == [0, 1] and R.alpha_weights(None) == [0.5, 0.5]
 
 
+@pytest.mark.parametrize("frame", [0, 12, None])
+def test_greedy_fold_by_rounds(spark, frame):
+    """Stars, cliques, chains and a random graph, against the pairs taken one by one; rounds, frames or both."""
+    rng = random.Random(5)
+    edges = {(0, k) for k in range(1, 25)} | {(a, b) for a in range(30, 40) for b in range(a + 1, 40)} | {(k, k + 1) for k in range(50, 58)}
+    edges |= {tuple(sorted(rng.sample(range(70, 110), 2))) for _ in range(70)}
+    place, detail = {i: (i * 37) % 113 if i >= 70 else i for i in range(110)}, {i: rng.randint(0, 4) * 1.0 for i in range(110)}
+    order = sorted(tuple(sorted(e, key=place.get)) for e in edges)
+    order.sort(key=lambda e: (place[e[0]], place[e[1]]))
+    want, gone = {i: [None, None] for e in edges for i in e}, set()
+    for a, b in order:
+        if not {a, b} & gone:
+            win, lose = (a, b) if detail[a] >= detail[b] else (b, a)
+            gone.add(lose)
+            want[lose] = [win, win]
+            want[win][1] = win
+    items = spark.createDataFrame([(i, place[i], detail[i]) for i in range(110)], "id long, ord long, detail double")
+    pairs = spark.createDataFrame(sorted(edges) + sorted(edges)[:5], "a long, b long")
+    got = {r["id"]: [r["duplicate_of"], r["cluster_id"]] for r in dedup.semantic_fold(items, pairs, frame).collect()}
+    assert got == want
+    assert dedup.semantic_fold(items, pairs.limit(0), frame).count() == 0
+
+
 def test_fold_against_whole(spark):
     rng = random.Random(3)
     for _ in range(3):
