@@ -127,6 +127,11 @@ def interaction_weight(action: Column | str, seconds: Column | str) -> Column:
     return F.when(a == "upvote", 5.0).when(a == "unupvote", -5.0).when(a == "downvote", -8.0).when(a == "undownvote", 8.0).when(a == "click", 1.5).when(a == "read", read).otherwise(0.0)
 
 
+def instant(text: Column | str, at: Column) -> Column:
+    """A time in ISO 8601, in UTC; `at` where there is none or it cannot be read."""
+    return F.coalesce(F.try_to_timestamp(col(text)).cast("timestamp_ntz"), at)
+
+
 def slug(topic: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(col(topic)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

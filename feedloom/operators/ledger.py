@@ -37,3 +37,9 @@ def ring(ledger: DataFrame, n: int) -> DataFrame:
 
 def rolling(ledger: DataFrame, since: Column) -> DataFrame:
     return ledger.where(F.col("ts") >= since)
+
+
+def latency_ms(start: Column, end: Column, seconds: bool = False) -> Column:
+    """Milliseconds between two times, or between two numbers of seconds; 0 where one is missing."""
+    between = (end - start) * 1000.0 if seconds else (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000
+    return F.coalesce(between, F.lit(0.0))

@@ -95,6 +95,14 @@ def round_robin(models: DataFrame) -> DataFrame:
     return spread.select((F.row_number().over(Window.orderBy("ord", "copy")) - 1).alias("slot"), "model")  # a few models
 
 
+def deal(rows: DataFrame, pool: DataFrame, batch: str = "batch") -> DataFrame:
+    """rows with the model of their batch: slot `batch` modulo the pool's size."""
+    sized = pool.select(F.col("slot").alias("_slot"), "model").withColumn("_of", F.count("*").over(Window.partitionBy()))  # a few slots
+    n = sized.agg(F.max("_of").alias("_n"))
+    held = rows.join(F.broadcast(n)).withColumn("_slot", F.pmod(F.col(batch), F.col("_n")))
+    return held.join(F.broadcast(sized.select("_slot", "model")), "_slot").drop("_slot", "_n")
+
+
 def diagnostics(items: DataFrame, digests: DataFrame, last: int = 5) -> DataFrame:
     """topic, total, duplicates, analysed, digests (the last ones, latest first: date, item_count, preview) of each topic of the items."""
     counts = items.groupBy(F.lower("topic").alias("topic")).agg(F.count("*").alias("total"), F.count_if("is_duplicate").alias("duplicates"), F.count("summary").alias("analysed"))

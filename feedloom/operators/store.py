@@ -88,6 +88,15 @@ def get_setting(held: DataFrame, key: str, default: str = "") -> DataFrame:
     return held.where(F.col("key") == key).agg(F.coalesce(F.first("value"), F.lit(default)).alias("value"))
 
 
+def add_tombstones(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Tombstones (id, ...) with new ones; one that is there stays as it is."""
+    return old.unionByName(new.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti").select(*old.columns))
+
+
+def drop_tombstones(old: DataFrame, gone: DataFrame) -> DataFrame:
+    return old.join(gone.select("id"), "id", "left_anti")
+
+
 def publish(df: DataFrame, path: str, version: int) -> str:
     """Write a version beside the others, never over one that is read."""
     to = f"{path.rstrip('/')}/version={version}"

@@ -368,16 +368,19 @@ def t31_card(spark, d):
     return digest.card(items(spark, d))
 
 
-@query(L + "SELECT seq, date_diff('millisecond', ts, ts + to_milliseconds(floor(latency_ms)::BIGINT)) AS ms FROM ledger")
+@query(L + "SELECT seq, CASE WHEN seq % 11 = 0 THEN 0 ELSE floor(latency_ms) END::DOUBLE AS ms, CASE WHEN seq % 13 = 0 THEN 0 ELSE round((seq / 8.0::DOUBLE + floor(latency_ms) / 1024 - seq / 8.0::DOUBLE) * 1000, 6) END::DOUBLE AS of_seconds FROM ledger")
 def t25_latency(spark, d):
+    """Between two times, and between two numbers of seconds; ends are missing now and then."""
     end = F.timestamp_add("MILLISECOND", F.floor("latency_ms").cast("int"), F.col("ts"))
-    return ledger(spark, d).select("seq", F.timestamp_diff("MILLISECOND", F.col("ts"), end).alias("ms"))
+    start, after = F.col("seq") / 8.0, F.col("seq") / 8.0 + F.floor("latency_ms") / 1024
+    times = costs.latency_ms(F.col("ts"), F.when(F.col("seq") % 11 != 0, end))
+    return ledger(spark, d).select("seq", times.alias("ms"), F.round(costs.latency_ms(start, F.when(F.col("seq") % 13 != 0, after), seconds=True), 6).alias("of_seconds"))
 
 
 @query("SELECT event_id, coalesce(try_cast(CASE WHEN event_id % 5 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP), TIMESTAMP '2024-01-31 00:00:00')::VARCHAR AS at FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
 def t23_parse_or_now(spark, d):
     text = F.when(F.col("event_id") % 5 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    at = F.coalesce(F.try_to_timestamp(text).cast("timestamp_ntz"), as_of())
+    at = T.instant(text, as_of())
     return read(spark, d, "events").select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
@@ -430,6 +433,12 @@ def o10_round_robin(spark, d):
     return recency.round_robin(models)
 
 
+@query(I + """, p AS (SELECT row_number() OVER (ORDER BY ord, copy) - 1 AS slot, model, count(*) OVER () AS n FROM (SELECT n_nationkey AS ord, n_name AS model, unnest(range(1, greatest(1, round_even((n_regionkey * 15 + 10) / 10.0, 0)::INT) + 1)) AS copy FROM nation)),
+b AS (SELECT id, topic, ((row_number() OVER (PARTITION BY topic ORDER BY id) - 1) // 15)::INT AS batch FROM items) SELECT id, topic, batch, model FROM b JOIN p ON batch % n = slot""")
+def o10_batches_to_models(spark, d):
+    return recency.deal(recency.batches(items(spark, d), "topic", 15, "id"), o10_round_robin(spark, d)).select("id", "topic", "batch", "model")
+
+
 @query(L + "SELECT seq, model FROM ledger ORDER BY seq DESC LIMIT 100")
 def o11_ring(spark, d):
     return costs.ring(ledger(spark, d), 100).select("seq", "model")
@@ -552,10 +561,13 @@ def k9_collector_state(spark, d):
     return store.accumulate_state(old, runs).select("source", "items_fetched", "last_error")
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 17 = 0 UNION SELECT doc_id FROM documents WHERE doc_id % 34 = 1")
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 17 = 0 THEN 'old' ELSE 'new' END AS source FROM documents WHERE (doc_id % 17 = 0 OR doc_id % 34 = 1) AND doc_id % 3 <> 0")
 def k10_tombstones(spark, d):
-    old, new = dismissed(spark, d), read(spark, d, "documents").where("doc_id % 34 = 1 OR doc_id % 34 = 0").select(F.col("doc_id").alias("id"))
-    return old.union(new.join(old, "id", "left_anti"))
+    """Some are there already and stay as they are; every third is taken back."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    new = docs.where("id % 34 IN (0, 1)").withColumn("source", F.lit("new"))
+    held = store.add_tombstones(dismissed(spark, d).withColumn("source", F.lit("old")), new.union(new))
+    return store.drop_tombstones(held, docs.where("id % 3 = 0"))
 
 
 @query(I + "SELECT topic, string_agg('- [' || title || '](' || url || ')', chr(10) ORDER BY n) AS markdown FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY coalesce(relevance, 0) DESC, id) AS n FROM items WHERE topic IN ('t1', 't2') AND NOT is_duplicate) WHERE n <= 20 GROUP BY topic")

@@ -443,12 +443,6 @@ def s12_enabled_sources(spark, d):
     return feeds.enabled(s.select(F.col("s_name").alias("source"), (F.col("s_acctbal") > 0).alias("configured")), state).select("source")
 
 
-@query(I + " SELECT id, language FROM items WHERE id % 2 = 0 UNION ALL SELECT id, language FROM items WHERE id % 2 = 1")
-def s13_s5_collect(spark, d):
-    held = items(spark, d).select("id", "language")
-    return feeds.collect([held.where("id % 2 = 0"), held.where("id % 2 = 1")])
-
-
 @query("SELECT c_name AS source, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS last_id, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS fetched FROM customer")
 def s16_collector_state(spark, d):
     """Customers as collectors' states in JSON, every fifth cut off."""
@@ -457,10 +451,46 @@ def s16_collector_state(spark, d):
     return feeds.collector_state(raw).select("source", "last_id", "fetched")
 
 
-@query("SELECT r_name AS topic, n_name AS channel FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query(f"""WITH c AS (SELECT n_name AS channel, n_nationkey AS ord, CASE WHEN n_regionkey < 3 THEN r_name ELSE 'youtube' END AS topic FROM nation JOIN region ON n_regionkey = r_regionkey),
+v AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) SELECT channel, topic, c_name AS title, 'https://www.youtube.com/watch?v=' || c_custkey AS url,
+ CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE c_mktsegment END AS content, CASE WHEN c_custkey % 5 = 0 THEN '2024-01-31' ELSE '2024-01-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') END AS day
+FROM v JOIN c ON c_nationkey = ord WHERE n <= 5 AND c_custkey % 7 <> 0""")
 def s8_channel_topics(spark, d):
-    topics = read(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("topic"))
-    return read(spark, d, "nation").join(F.broadcast(topics), F.col("n_regionkey") == F.col("k")).select("topic", F.col("n_name").alias("channel"))
+    """Customers as videos, nations as channels that are listed twice; some videos have no id, no text or no date that can be read."""
+    nation, k = read(spark, d, "nation"), F.col("c_custkey")
+    channels = nation.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("channel"))
+    topics = nation.join(F.broadcast(read(spark, d, "region").where("r_regionkey < 3")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("channel"), F.col("r_name").alias("topic"))
+    day = F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit("T08:00:00Z"))
+    videos = read(spark, d, "customer").join(F.broadcast(channels), F.col("c_nationkey") == F.col("ord")).select(
+        "channel", k.alias("pos"), F.when(k % 7 != 0, k.cast("string")).alias("video_id"), F.col("c_name").alias("title"), F.when(k % 4 == 0, "").otherwise(F.col("c_mktsegment")).alias("description"), F.when(k % 5 == 0, "lately").otherwise(day).alias("published"),
+    )
+    found = feeds.uploads(channels.union(channels.withColumn("ord", F.col("ord") + 100)), videos, topics, as_of())
+    return found.select("channel", "topic", "title", "url", "content", F.date_format("published_at", "yyyy-MM-dd").alias("day"))
+
+
+@query(f"""WITH {_entries_sql(15)}, r AS (SELECT feed, n, title, url, ['t0', 't1', 't2'][(split_part(feed, '/', 2)::INT % 3 + 1)::INT] AS topic FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY split_part(title, ' ', 2)::INT) AS n FROM f)),
+s AS (SELECT 'site' || page_id % 9 AS feed, ['t0', 't1', 't2'][(page_id % 9 % 3 + 1)::INT] AS topic, 'p' || page_id AS title, url FROM pages) SELECT feed, topic, title, url FROM r WHERE n <= 8 AND topic <> 't2' UNION ALL SELECT feed, topic, title, url FROM s WHERE topic <> 't2'""")
+def s4_fetch(spark, d):
+    """Feeds of two topics, eight entries each, then pages of sites of these topics."""
+    name = lambda k: F.concat(F.lit("t"), k % 3)
+    xml = feed_xml(spark, d)
+    registry = xml.select("feed", name(F.split_part("feed", F.lit("/"), F.lit(2)).cast("int")).alias("topic"))
+    pages = read(spark, d, "pages").select(F.concat(F.lit("site"), F.col("page_id") % 9).alias("feed"), F.col("page_id").cast("int").alias("pos"), F.concat(F.lit("p"), "page_id").alias("title"), "url")
+    sites = pages.select("feed").distinct().withColumn("topic", name(F.substring("feed", 5, 1).cast("int")))
+    return feeds.fetch(registry, feeds.entries(xml, as_of()), sites, pages, ("t0", "t1")).select("feed", "topic", "title", "url")
+
+
+@query("""WITH l AS (SELECT page_id, 'video' || lpad((page_id % 50)::VARCHAR, 6, '0') AS video_id FROM pages UNION SELECT page_id, 'talk__-' || lpad((page_id % 7)::VARCHAR, 4, '0') FROM pages WHERE page_id % 2 = 0)
+SELECT page_id, 'https://www.youtube.com/watch?v=' || video_id AS url, p_name AS title, p_name || ' — ' || p_brand AS content FROM l JOIN part ON video_id = CASE WHEN p_partkey % 2 = 0 THEN 'video' || lpad(p_partkey::VARCHAR, 6, '0') ELSE 'talk__-' || lpad(p_partkey::VARCHAR, 4, '0') END WHERE p_partkey < 50""")
+def s3_linked_videos(spark, d):
+    """Pages with links to videos, some twice, looked up among parts as the videos that are known."""
+    link = lambda v: F.concat(F.lit("<a href='https://www.youtube.com/watch?v="), v, F.lit("'>see</a>"))
+    k = F.col("page_id")
+    a, b = F.concat(F.lit("video"), F.lpad((k % 50).cast("string"), 6, "0")), F.concat(F.lit("talk__-"), F.lpad((k % 7).cast("string"), 4, "0"))
+    pages = read(spark, d, "pages").select("page_id", F.concat(link(a), F.col("html"), F.when(k % 2 == 0, link(b)).otherwise(""), link(a), F.lit("youtube.com/watch?v=short")).alias("html"))
+    p = F.col("p_partkey")
+    known = read(spark, d, "part").where("p_partkey < 50").select(F.when(p % 2 == 0, F.concat(F.lit("video"), F.lpad(p.cast("string"), 6, "0"))).otherwise(F.concat(F.lit("talk__-"), F.lpad(p.cast("string"), 4, "0"))).alias("video_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"))
+    return feeds.talks(feeds.video_links(pages), known).select("page_id", "url", "title", "content")
 
 
 _VOTES = ", ".join(f"({{'n': len(list_filter(w, lambda x: x IN ({', '.join(repr(v) for v in small)}))), 'code': '{code}'}})" for code, small in sorted(SMALL_WORDS.items()))
@@ -472,6 +502,20 @@ def t15_x4_language(spark, d):
     return read(spark, d, "documents").select("doc_id", language("text").alias("language"))
 
 
+@query(I + f""", t AS (SELECT id, title || ' ' || coalesce(content, '')[1:200] AS text FROM items), w AS (SELECT id, text, regexp_extract_all(lower(substr(text, 1, 500)), '[\\p{{L}}]+') AS w FROM t), b AS (SELECT id, text, list_max([{_VOTES}]) AS best FROM w)
+SELECT id, CASE WHEN length(trim(text)) < 10 OR best.n = 0 THEN 'en' ELSE best.code END AS language FROM b""")
+def s13_s5_collect(spark, d):
+    """Two sources that can be read and one that cannot."""
+    held = items(spark, d).select("id", "title", "content", "published_at")
+    sources = {
+        "even": lambda: held.where("id % 2 = 0"), "odd": lambda: held.where("id % 2 = 1"), "gone": lambda: read(spark, d, "nothing"),
+    }
+    rows, wrong = feeds.gather(spark, sources, new_folder(spark), language)
+    if set(wrong) != {"gone"}:
+        raise ValueError(str(wrong))
+    return rows.select("id", "language")
+
+
 # --- streams -------------------------------------------------------------------------------------------------------------
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import minmax, news_target, strip_html
+from ..functions.text import instant, minmax, news_target, strip_html
 
 ITEM = "source string, topic string, title string, url string, content string, published_at timestamp_ntz, raw_score double"
 
@@ -64,6 +66,42 @@ def scrape(pages: DataFrame, prefix: str, first: int = 5) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.slice(links, 1, first)).alias("pos", "href"))
 
 
+def fetch(registry: DataFrame, found: DataFrame, sites: DataFrame, scraped: DataFrame, topics: tuple[str, ...] = (), most: int = 8) -> DataFrame:
+    """feed, topic, pos, title, url: of the registry's feeds (feed, topic) that serve one of the topics, or of all, the first `most`
+    entries found (feed, pos, title, url), so that no busy feed crowds out others; then all that was scraped from sites (feed, topic)."""
+    from ..operators.recency import cap_per
+
+    serves = F.col("topic").isin(*topics) if topics else F.lit(True)
+    columns = ("feed", "topic", "pos", "title", "url")
+    capped = cap_per(found.join(registry.where(serves), "feed"), "feed", most, F.col("pos"))
+    return capped.select(*columns).unionByName(scraped.join(sites.where(serves), "feed").select(*columns))
+
+
+def video_links(pages: DataFrame) -> DataFrame:
+    """page_id, pos, video_id: the distinct videos that a page (page_id, html) links to, in order."""
+    found = F.array_distinct(F.regexp_extract_all("html", F.lit(r"youtube\.com/watch\?v=([A-Za-z0-9_-]{11})"), F.lit(1)))
+    return pages.select("page_id", F.posexplode(found).alias("pos", "video_id"))
+
+
+def talks(links: DataFrame, known: DataFrame) -> DataFrame:
+    """page_id, title, url, content, author, raw_score of linked videos (page_id, pos, video_id) whose title is known (video_id, title, author)."""
+    held = links.join(known.withColumn("title", F.trim("title")).where("title <> ''"), "video_id")
+    content = F.concat("title", F.lit(" — "), F.coalesce("author", F.lit("")))
+    return held.select("page_id", "title", F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id").alias("url"), content.alias("content"), "author", F.lit(0.75).alias("raw_score"))
+
+
+def uploads(channels: DataFrame, videos: DataFrame, topics: DataFrame, at: Column, each: int = 5) -> DataFrame:
+    """channel, ord, pos, topic, title, url, content, published_at, raw_score of the first `each` of a channel's videos
+    (channel, pos, video_id, title, description, published), without those that have no id; channels (ord, channel) count once.
+    Topics (channel, topic) that are not given are `youtube`; a date that cannot be read is `at`."""
+    from ..operators.recency import cap_per, first_seen
+
+    held = first_seen(channels, "channel", "ord").join(topics, "channel", "left").select("channel", "ord", F.coalesce("topic", F.lit("youtube")).alias("topic"))
+    latest = cap_per(videos.join(held, "channel"), "channel", each, F.col("pos")).where("video_id IS NOT NULL")
+    content = F.coalesce(F.nullif(F.substring("description", 1, 1000), F.lit("")), F.col("title"))
+    return latest.select("channel", "ord", "pos", "topic", "title", F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id").alias("url"), content.alias("content"), instant("published", at).alias("published_at"), F.lit(0.5).alias("raw_score"))
+
+
 def page_item(pages: DataFrame, most: int = 3000) -> DataFrame:
     """page_id, title (h1, else title, else the path), month (of `Month YYYY`), body."""
     of = lambda t: F.nullif(strip_html(F.regexp_extract("html", rf"(?is)<{t}[^>]*>(.*?)</{t}>", 1)), F.lit(""))
@@ -123,6 +161,28 @@ def collect(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def gather(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], path: str, tag: Callable[[Column], Column], workers: int = 8) -> tuple[DataFrame, dict[str, str]]:
+    """All sources' rows, with the language of title and 200 characters of content and the newest first, and what went wrong by source.
+
+    Each source is read and stored under `path` on its own, several at a time; one that fails leaves nothing there and does
+    not hold up the others."""
+
+    def store(name: str) -> tuple[str, str | None]:
+        try:
+            sources[name]().write.mode("overwrite").parquet(f"{path}/{name}")
+        except Exception as e:  # whatever a source runs into is its own
+            return name, f"{type(e).__name__}: {e}"[:300]
+        return name, None
+
+    with ThreadPoolExecutor(workers) as pool:
+        said = dict(pool.map(store, sources))
+    good = [spark.read.parquet(f"{path}/{name}") for name, wrong in said.items() if wrong is None]
+    if not good:
+        raise ValueError(f"no source could be read: {said}")
+    text = F.concat("title", F.lit(" "), F.substring(F.coalesce("content", F.lit("")), 1, 200))
+    return collect(good).withColumn("language", tag(text)).orderBy(F.desc("published_at")), {k: v for k, v in said.items() if v}
+
+
 def enabled(registry: DataFrame, state: DataFrame) -> DataFrame:
     """Sources of the registry (source, configured) whose state (source, is_enabled) does not switch them off."""
     off = state.where(~F.col("is_enabled")).select("source")

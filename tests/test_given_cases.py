@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import spam as S
 from feedloom.functions import text as T
 from feedloom.operators import digest, recency, store
+from feedloom.providers import language
 from feedloom.session import new_folder
 from feedloom.sources import feeds
 from feedloom.streaming import flows
@@ -140,3 +141,26 @@ def test_interval_fetch_reads_new_files_only(spark):
     add([(3, "c"), (4, "d")])
     assert sorted(k for _, k in run()) == [1, 1] and run() == []
     assert sorted(r.id for r in spark.read.parquet(f"{top}/out").collect()) == [1, 2, 3, 4]
+
+
+def test_gather_isolates_failures(spark, tmp_path):
+    """A source that cannot be planned and one that breaks while it is read leave nothing; the rest comes newest first."""
+    rows = spark.createDataFrame([(1, "The house and the garden", "it is what they have", 5), (2, "Das Haus und der Garten", "es ist nicht weit", 7)], "id long, title string, content string, day int")
+    held = rows.withColumn("published_at", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day"))).drop("day")
+    sources = {
+        "first": lambda: held.where("id = 1"), "second": lambda: held.where("id = 2"), "gone": lambda: spark.read.parquet(f"{tmp_path}/nowhere"),
+        "broken": lambda: held.withColumn("id", F.when(F.col("id") > 1, F.raise_error(F.lit("unreadable")).cast("long")).otherwise(F.col("id"))),
+    }
+    got, wrong = feeds.gather(spark, sources, f"file://{tmp_path}/parts", language)
+    assert [(r["id"], r["language"]) for r in got.collect()] == [(2, "de"), (1, "en")] and set(wrong) == {"gone", "broken"}
+    with pytest.raises(ValueError):
+        feeds.gather(spark, {"gone": sources["gone"]}, f"file://{tmp_path}/none", language)
+
+
+def test_fetch_caps_feeds_not_sites(spark):
+    registry = spark.createDataFrame([("a", "x"), ("b", "y")], "feed string, topic string")
+    found = spark.createDataFrame([(f, k, f"{f}{k}", f"u{f}{k}") for f in "abc" for k in range(12)], "feed string, pos int, title string, url string")
+    sites = spark.createDataFrame([("s", "x"), ("t", "y")], "feed string, topic string")
+    scraped = spark.createDataFrame([(f, k, f"{f}{k}", f"u{f}{k}") for f in "st" for k in range(10)], "feed string, pos int, title string, url string")
+    count = lambda *topics: {r["feed"]: r["count"] for r in feeds.fetch(registry, found, sites, scraped, topics).groupBy("feed").count().collect()}
+    assert count() == {"a": 8, "b": 8, "s": 10, "t": 10} and count("x") == {"a": 8, "s": 10} and count("z") == {}
