@@ -4,7 +4,7 @@ The automaton holds every substring of every template. A text's words are read t
 state and length say how long a match ends there (matching statistics). Phrases are templates of their own: one ends
 at a word if its state lies on the suffix links of the current one and the match is as long. Matches of MIN_MATCH
 words and more that cannot be extended are chained: the next one follows within GAP words in the text and stands
-later in the same template. A template whose best chain covers COVER of it gives its label; the score is the largest
+later in the same template, at any of the places where the template has its words. A template whose best chain covers COVER of it gives its label; the score is the largest
 share that any template or phrase has covered.
 
 The automaton is small (it grows with the templates only) and travels to the executors with the function. A text is
@@ -48,6 +48,43 @@ TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice "
+        "and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including "
+        "all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any "
+        "damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in "
+        "connection with the use or performance of this software",
+    ),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the "
+        "software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+        "and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+        "shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied "
+        "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright "
+        "holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the "
+        "software or the use or other dealings in the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions "
+        "of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the "
+        "above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this "
+        "software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties "
+        "of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect "
+        "incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or "
+        "business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in "
+        "any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of "
+        "this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it "
+        "freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software "
+        "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must "
+        "be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
+    ),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
@@ -72,20 +109,20 @@ class Automaton:
             last = 0
             for w in t:
                 last = self._extend(last, self.number.setdefault(w, len(self.number)))
-        # where in each template a state's matches end first, carried from long states to their suffixes
-        ends: list[dict[int, int]] = [{} for _ in self.next]
+        # where in each template a state's matches end, carried from long states to their suffixes
+        ends: list[dict[int, set[int]]] = [{} for _ in self.next]
         locus = []
         for k, t in enumerate(texts):
             state = 0
             for j, w in enumerate(t):
                 state = self.next[state][self.number[w]]
                 if k < len(templates):
-                    ends[state].setdefault(k, j + 1)
+                    ends[state].setdefault(k, set()).add(j + 1)
             locus.append(state)
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for k, j in ends[s].items():
-                ends[self.link[s]][k] = min(j, ends[self.link[s]].get(k, j))
-        self.ends = ends
+            for k, js in ends[s].items():
+                ends[self.link[s]].setdefault(k, set()).update(js)
+        self.ends = [{k: sorted(js) for k, js in held.items()} for held in ends]
         own: dict[int, list[tuple[str, int]]] = {}
         for (_, label), state, size in zip(phrases, locus[len(templates):], self.sizes[len(templates):], strict=True):
             own.setdefault(state, []).append((label, size))
@@ -155,15 +192,17 @@ class Automaton:
         best: dict[int, tuple[float, int, int]] = {}
         recent: dict[int, list[tuple[int, int, int, int]]] = {}  # end in the text, in the template, words, start of the chain
         for start, end, state in matches:
-            for k, at in self.ends[state].items():
+            for k, places in self.ends[state].items():
                 near = [r for r in recent.get(k, []) if start - r[0] <= GAP]
-                ok = [r for r in near if r[0] <= start and r[1] <= at - (end - start)]
-                held = max(ok, key=lambda r: (r[2], -r[3]), default=(0, 0, 0, start))
-                now = (end, at, held[2] + end - start, held[3])
-                recent[k] = [*near, now]
-                share = min(1.0, now[2] / self.sizes[k])
-                if share > best.get(k, (0.0,))[0]:
-                    best[k] = (share, now[3], end)
+                recent[k] = [*near]
+                for at in places:
+                    ok = [r for r in near if r[0] <= start and r[1] <= at - (end - start)]
+                    held = max(ok, key=lambda r: (r[2], -r[3]), default=(0, 0, 0, start))
+                    now = (end, at, held[2] + end - start, held[3])
+                    recent[k].append(now)
+                    share = min(1.0, now[2] / self.sizes[k])
+                    if share > best.get(k, (0.0,))[0]:
+                        best[k] = (share, now[3], end)
         return best
 
 
@@ -174,12 +213,15 @@ def spans(text: str | None, automaton: Automaton) -> list[tuple[str, int, int, f
 
 
 def scan(docs: DataFrame, automaton: Automaton | None = None) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row for each of docs (doc_id, text)."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans, one row for each of docs (doc_id, text).
+
+    spans are label:first:end of every base place and of the best chain of every template found, words from 0, end exclusive,
+    by first, end and label, comma-joined. Other columns of docs are left out."""
     automaton = automaton or Automaton()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+        names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
         for batch in batches:
             rows = []
             for text in batch.column("text"):
@@ -190,8 +232,10 @@ def scan(docs: DataFrame, automaton: Automaton | None = None) -> DataFrame:
                 more = base | {automaton.labels[k] for k, c in chains.items() if c[0] >= COVER}
                 at = [p for p, _, _ in phrases]
                 score = max([1.0 if phrases else 0.0, *(c[0] for c in chains.values())])
-                rows.append((len(held), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(more)), score))
+                found = {(p, p + n, label) for p, label, n in phrases} | {(c[1], c[2], automaton.labels[k]) for k, c in chains.items() if c[0] >= COVER}
+                said = ",".join(f"{label}:{a}:{b}" for a, b, label in sorted(found))
+                rows.append((len(held), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(more)), score, said))
             made = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")

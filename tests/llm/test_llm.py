@@ -444,6 +444,24 @@ def test_licence_chain():
     assert [(f[0], f[1], f[2]) for f in found] == [("mit", 2, 2 + len(text))]
 
 
+def test_licence_clause_told_twice(spark):
+    """A template that repeats a clause: both places are chained; spans tell where, equal rows and other columns included."""
+    clause, template = "the above copyright notice must be kept", "one two three four the above copyright notice must be kept five six seven eight the above copyright notice must be kept nine"
+    automaton = licenses.Automaton((("twice", template),), ())
+    text = f"x one two three four y {clause} z five six seven eight w {clause} nine v"
+    assert licenses.spans(text, automaton) == [("twice", 1, 27, 1.0)]
+    for state, held in enumerate(automaton.ends):
+        for places in held.values():
+            assert places == sorted(set(places)) and (state == 0 or places)
+    long = dict((len(t), t) for k, t in licenses.TEMPLATES if k == "bsd")
+    texts = [f"Some words. {long[max(long)]}. The MIT license", "", None, "filler " * 200_000 + long[max(long)]]
+    rows = spark.createDataFrame([(1, t, "x") for t in texts + texts[:1]], "doc_id long, text string, spans string")
+    got = sorted((r["spans"], r["labels"], r["score"]) for r in licenses.scan(rows).collect())
+    n = len(long[max(long)].split())
+    assert [g[1] for g in got] == ["", "", "bsd", "bsd,mit", "bsd,mit"]
+    assert f"bsd:2:{2 + n}" in got[-1][0] and f"mit:{3 + n}:{5 + n}" in got[-1][0] and got[-1] == got[-2] and f"bsd:200000:{200_000 + n}" in got[2][0]
+
+
 # --- mixing
 
 
