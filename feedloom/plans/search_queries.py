@@ -529,13 +529,29 @@ def _flow(spark, d):
     return flows, spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 10).parquet(top)
 
 
-@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+@query("SELECT event_id, event_type, round(value, 6) AS value FROM events")
 def w2_w3_stream_arrivals(spark, d):
+    """Every event is delivered twice and arrives once."""
     flows, events = _flow(spark, d)
     at = new_folder(spark)
-    stream = flows.arrivals(events.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts")
+    stream = flows.arrivals(events.union(events).withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts")
     flows.drain(stream, f"{at}/out", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/out").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+    return spark.read.schema(stream.schema).parquet(f"{at}/out").select("event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def w3_stream_upserts(spark, d):
+    """Readers' last events as a table that each batch is merged into; a batch that is delivered again changes nothing."""
+    flows, events = _flow(spark, d)
+    at = new_folder(spark)
+    store = flows.upserts(f"{at}/table", "user_id", ["event_id", "event_type"], "event_id")
+
+    def twice(batch, number):
+        store(batch, number)
+        store(batch, number)
+
+    flows.drain_batches(events.select("user_id", "event_id", "event_type").union(events.select("user_id", "event_id", "event_type")), twice, f"{at}/checkpoint", "append")
+    return flows.current(spark, f"{at}/table").select("user_id", "event_id", "event_type")
 
 
 @query("SELECT event_type AS action, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")

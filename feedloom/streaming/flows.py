@@ -30,7 +30,7 @@ def drop_late(items: DataFrame, at: Column, days: int = 7) -> DataFrame:
 
 def upserts(path: str, key: str, update: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges each batch into the next version of a table. A batch that runs again writes
-    its own version again, from the version before it."""
+    its own version again, from the version before it; versions before that one are removed."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -38,10 +38,19 @@ def upserts(path: str, key: str, update: list[str], order: str) -> Callable[[Dat
         old = version_before(spark, path, number)
         out = new if old is None else merge(spark.read.parquet(old), new, key, update)
         out.write.mode("overwrite").parquet(f"{path}/version={number}")
+        if old is not None:
+            for v in _versions(spark, path):
+                if v < int(old.rpartition("=")[2]):
+                    _delete(spark, f"{path}/version={v}")
 
     return run
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     top = jvm.org.apache.hadoop.fs.Path(path)

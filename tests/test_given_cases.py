@@ -164,3 +164,13 @@ def test_fetch_caps_feeds_not_sites(spark):
     scraped = spark.createDataFrame([(f, k, f"{f}{k}", f"u{f}{k}") for f in "st" for k in range(10)], "feed string, pos int, title string, url string")
     count = lambda *topics: {r["feed"]: r["count"] for r in feeds.fetch(registry, found, sites, scraped, topics).groupBy("feed").count().collect()}
     assert count() == {"a": 8, "b": 8, "s": 10, "t": 10} and count("x") == {"a": 8, "s": 10} and count("z") == {}
+
+
+def test_upserts_keep_what_a_batch_needs_again(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    put, frame = flows.upserts(path, "id", ["v"], "seq"), lambda *rows: spark.createDataFrame(rows, "id long, v string, seq long")
+    for number in range(12):
+        put(frame((number % 3, f"v{number}", number), (99, "first", number)), number)
+    put(frame((2, "v11", 11), (99, "first", 11)), 11)
+    assert flows._versions(spark, path) == [10, 11]
+    assert {r["id"]: r["v"] for r in flows.current(spark, path).collect()} == {0: "v9", 1: "v10", 2: "v11", 99: "first"}
