@@ -93,7 +93,8 @@ def alpha_weights(alpha: float | None, default: float = 0.5) -> list[float]:
 
 def hydrate(fused: DataFrame, items: DataFrame, since: Column, languages: list[str] | None = None, duplicates: bool = False, least: float | None = 4.0, dismissed: DataFrame | None = None) -> DataFrame:
     """Items of the fused list that pass the filters: after the lists were cut, not before."""
-    out = items.join(F.broadcast(fused.select("id", F.col("score").alias("rrf"), "rank")), "id").where(F.col("published_at") >= since)
+    # lists that a limit cut are broadcast by their size; longer ones are not
+    out = items.join(fused.select("id", F.col("score").alias("rrf"), "rank"), "id").where(F.col("published_at") >= since)
     if not duplicates:
         out = out.where(~F.col("is_duplicate"))
     if languages:
@@ -117,7 +118,7 @@ def search(items: DataFrame, keywords: KeywordIndex, vectors: DataFrame, query:
 
 def blend(items: DataFrame, authority: DataFrame, at: Column, semantic: Column) -> DataFrame:
     """items with authority and blended: .35 semantic, .25 relevance / 10 (or .5), .20 authority, .10 freshness, .10 raw score."""
-    known = F.broadcast(authority.select(F.lower("source").alias("_source"), "weight"))  # a dimension table
+    known = authority.select(F.lower("source").alias("_source"), "weight")
     held = items.join(known, F.lower(items["source"]) == F.col("_source"), "left").withColumn("authority", F.coalesce("weight", F.lit(0.55))).drop("_source", "weight")
     relevance = F.coalesce(F.col("relevance") / 10, F.lit(0.5))
     score = 0.35 * semantic + 0.25 * relevance + 0.20 * F.col("authority") + 0.10 * freshness("published_at", at) + 0.10 * F.col("raw_score")
