@@ -222,3 +222,38 @@ def test_usage(spark):
     rows = [(0, None), (1, "no json"), (2, '{"usage": null}'), (3, '{"usage": {"prompt_tokens": 5, "completion_tokens": "7", "total_tokens": "many"}}')]
     got = spark.createDataFrame(rows, "id int, response string").select("id", *T.usage("response")).orderBy("id").collect()
     assert [tuple(r)[1:] for r in got] == [(0, 0, 0)] * 3 + [(5, 7, 0)]
+
+
+def test_tfidf_pairs_shuffle_no_candidates(spark, monkeypatch):
+    """Copies are compared once, hot keys in tiles, texts of many terms under single terms: the same pairs each way."""
+    texts = [words(i % 25, 12) for i in range(75)] + [[f"lone{i % 2}"] for i in range(12)] + [words(i, 12, 9) for i in range(30)]
+    held = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    pairs = lambda: sorted(map(tuple, dedup.tfidf_pairs(held, 0.6).collect()))
+    found, members = dedup._alike(held, 0.6, 5000, dedup.STOP_WORDS)
+    assert members.count() == 87 and found.select("x", "y").distinct().count() == found.count() < len(pairs())
+    want = pairs()
+    assert {(a, b) for a, b, _ in want} >= {(i, i + 25) for i in range(50)} | {(75, 77), (76, 78)} and len({(a, b) for a, b, _ in want}) == len(want)
+    unit = dedup.tfidf(held)
+    x, y = (unit.select(F.col("id").alias(c), "term", F.col("w").alias(f"w{c}")) for c in "ab")
+    plain = x.join(y, "term").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("s")).where("s >= 0.6")
+    assert sorted((r.a, r.b) for r in plain.collect()) == [(a, b) for a, b, _ in want]
+    monkeypatch.setattr(dedup, "TILE", 3)
+    monkeypatch.setattr(dedup, "AT_ONCE", 5)
+    assert pairs() == want
+    monkeypatch.setattr(dedup, "PAIRED", 4)
+    assert pairs() == want
+
+
+def test_tfidf_fold_of_copies(spark):
+    texts = [words(i % 9, 12) for i in range(40)] + [words(0, 12)[:-1] + ["other"], ["the"], ["lone"]]
+    rows = [(i, (i * 7) % 43, (i * 5) % 11 * 1.0, " ".join(t)) for i, t in enumerate(texts)]
+    held = spark.createDataFrame(rows, "id long, ord long, detail double, text string")
+    found = {r["id"]: r["duplicate_of"] for r in dedup.tfidf_fold(held, 0.6).collect()}
+    place, detail = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+    pairs = sorted((tuple(sorted((r["a"], r["b"]), key=place.get)) for r in dedup.tfidf_pairs(held, 0.6).collect()), key=lambda e: (place[e[0]], place[e[1]]))
+    want = dict.fromkeys((i for e in pairs for i in e))
+    for a, b in pairs:
+        if want[a] is None and want[b] is None:
+            win, lose = (a, b) if detail[a] >= detail[b] else (b, a)
+            want[lose] = win
+    assert found == want and 41 not in found and len(want) >= 41
