@@ -257,3 +257,14 @@ def test_tfidf_fold_of_copies(spark):
             win, lose = (a, b) if detail[a] >= detail[b] else (b, a)
             want[lose] = win
     assert found == want and 41 not in found and len(want) >= 41
+
+
+def test_fold_calls_python_for_linked_rows_only(spark):
+    """Rows without a shared key need no task of Python; components share tasks, and empty keys meet in their own component only."""
+    schema = "id long, ord long, url string, title string, content string, summary string, raw_score double"
+    apart = spark.createDataFrame([(i, i, f"https://x.example/{i}", f"title {i}", "c", None, 0.0) for i in range(9)], schema)
+    found = dedup.fold(apart)
+    assert "InPandas" not in found._jdf.queryExecution().toString() and found.where("kept").count() == 9
+    both = spark.createDataFrame([(i, i, "", f"title {i // 2}", "c", None, 0.0) for i in range(6)], schema)
+    got = {r["id"]: (r["kept"], r["duplicate_of"]) for r in dedup.fold(both).collect()}
+    assert got == {0: (True, None), 1: (False, 0), 2: (True, None), 3: (False, 2), 4: (True, None), 5: (False, 4)}
