@@ -283,3 +283,12 @@ def test_streamed_preferences_compound(spark):
     rows = lambda df: sorted((r.dimension, r.value, r.score) for r in df.collect())
     want = rows(preference.compounded(acts, held, F.col("cycle"), 12))
     assert rows(flows.preferences_at(spark, f"{top}/out", 12)) == want and ("source", "a", 5.0 * 10 - 8.0 * 11) in want
+
+
+def test_backfill_runs_many_rounds_as_one_job(spark):
+    held, at = unanalysed(spark, 200), new_folder(spark)
+    assert list(analysis.rounds(spark, held, at, ["good"], answer, size=8)) == [8] * 24 + [7]
+    now = analysis.versions.latest(spark, at)
+    assert len(now.segments) == 5 and now.rounds == 25
+    order = sorted(i for i in range(200) if i != 5)  # newest first
+    assert {r.id: r.round for r in analysis.segments(spark, at).collect()} == {i: n // 8 for n, i in enumerate(order) if i % 4}
