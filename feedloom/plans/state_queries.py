@@ -165,8 +165,9 @@ def r8_x1_x2_rank_by_query(spark, d):
 
 @query(I + ", h AS (SELECT id, topic, row_number() OVER (PARTITION BY topic ORDER BY raw_score DESC, id) - 1 AS rank, length(content) AS ce FROM items) SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY CASE WHEN rank < 20 THEN 0 ELSE 1 END, CASE WHEN rank < 20 THEN -ce END, rank) - 1 AS place FROM h")
 def r8_r9_rerank_head(spark, d):
-    held = items(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("raw_score"), "id")) - 1)
-    return R.rerank(held, F.length("content"), "topic").select("topic", "id", "place")
+    held = items(spark, d).select("topic", "id", "raw_score", F.length("content").alias("score"))  # the texts stay where they are
+    held = held.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("raw_score"), "id")) - 1)
+    return R.rerank(held, F.col("score"), "topic").select("topic", "id", "place")
 
 
 @query(f"{I}, q AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{t}{chr(39)}, {chr(39)}{x}{chr(39)})' for t, x in _ASKED.items())}) v(topic, query)) SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY id) - 1 AS rank FROM items JOIN q USING (topic) QUALIFY rank < 60")
