@@ -268,3 +268,35 @@ def test_fold_calls_python_for_linked_rows_only(spark):
     both = spark.createDataFrame([(i, i, "", f"title {i // 2}", "c", None, 0.0) for i in range(6)], schema)
     got = {r["id"]: (r["kept"], r["duplicate_of"]) for r in dedup.fold(both).collect()}
     assert got == {0: (True, None), 1: (False, 0), 2: (True, None), 3: (False, 2), 4: (True, None), 5: (False, 4)}
+
+
+def test_vectors_are_shuffled_as_blocks(spark, monkeypatch):
+    """The same pairs whatever the blocks and parts; blocks are dealt to parts, not to all other blocks."""
+    import numpy as np
+
+    monkeypatch.setattr(dedup, "BLOCK", 4)
+    monkeypatch.setattr(dedup, "PARTS", 3)
+    rng = np.random.default_rng(1)
+    held = rng.standard_normal((60, 8)).astype(np.float32)
+    held /= np.linalg.norm(held, axis=1, keepdims=True)
+    held[50:55] = held[:5]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(held)] + [(99, None)], "id long, embedding array<float>")
+    pairs = dedup.vector_pairs(rows, 0.4)
+    assert "block <= other" not in pairs._jdf.queryExecution().toString() and "CoGroup" not in pairs._jdf.queryExecution().toString()
+    s = np.round(held.astype(float) @ held.astype(float).T, 6)
+    want = sorted((i, j, s[i, j]) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.4)
+    assert sorted(map(tuple, pairs.collect())) == want
+
+
+def test_ranking_shuffles_few_rows(spark):
+    """A query's first rows are taken in the tasks, sources' authority is no shuffle of the candidates."""
+    from feedloom.plans import state_queries as Q
+    from feedloom.providers import Providers
+
+    held = spark.range(5000).selectExpr("'q' || id % 2 AS query", "id", "id AS ord", "'t' AS title", "'s' AS summary", "'c' AS content", "'src' || id % 9 AS source", "1.0D AS relevance", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS published_at", "0.5D AS raw_score")
+    at = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    found = R.rank_by_query(held, Q.authority(spark), at, Providers(embed=Q.vowels))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 60, Partial" in plan and "BroadcastHashJoin" in plan
+    got = found.collect()
+    assert sorted((r["query"], r["rank"]) for r in got) == [(q, k) for q in ("q0", "q1") for k in range(60)] and {r["id"] % 9 for r in got} <= {1, 2}
