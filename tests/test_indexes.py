@@ -285,6 +285,19 @@ def test_streamed_preferences_compound(spark):
     assert rows(flows.preferences_at(spark, f"{top}/out", 12)) == want and ("source", "a", 5.0 * 10 - 8.0 * 11) in want
 
 
+def test_postings_are_made_in_pieces():
+    """What a task holds is bounded by bytes of text, not by rows."""
+    import pyarrow as pa
+
+    from feedloom.operators import keyword_index as K
+
+    text = "some words of a text " * 500
+    batch = pa.RecordBatch.from_pydict({"id": list(range(100)), "title": [None] + ["t"] * 99, "content": [text * 100] + [text] * 98 + [None]})
+    out = list(K._postings(iter([batch])))
+    assert max(sum(map(len, b.column("positions").to_pylist())) for b in out[1:]) < K.PIECE // 2 and len(out) > 4 and out[0].column("id").unique().to_pylist() == [0]
+    assert pa.Table.from_batches(out).column("id").unique().to_pylist() == list(range(100))
+
+
 def test_backfill_runs_many_rounds_as_one_job(spark):
     held, at = unanalysed(spark, 200), new_folder(spark)
     assert list(analysis.rounds(spark, held, at, ["good"], answer, size=8)) == [8] * 24 + [7]
