@@ -19,11 +19,16 @@ What keeps the work near the number of classes:
   class that only resembles members of its own component has nothing left to meet.
 - Two sets differ in at least as many shingles as their parity bitmaps differ in bits: a second bound, exact too, which
   rules out nearly all pairs of members of a large group that are near the threshold and below it.
+- In a large group of near copies nearly every shingle is held by some other class, so shares no longer fall, and the members
+  outside its largest component grow with the group. There a pair shares a rare shingle, one that at most RARE classes hold, or
+  overlaps in common ones alone. Pairs of the first kind are found by their rare shingles, of which a class lists no more than it
+  can miss (prefixes in order of frequency). For all others the number of common shingles takes the place of the share, and a
+  class is only compared with those of the sizes that this number allows.
 - Lists are compared with pivots, not pair by pair. First each list's class of the greatest share takes all members, and
   each class keeps the pivot that it shares most lists with: one pair a class. Then, round by round, pivots are taken from
   outside each list's largest component, and compared with the members outside their own component; a pair is made in the
   first list that it shares, and only there. That ends when every class outside a largest component was a pivot, so each pair
-  that shares a list lies in one component, was compared, or is ruled out by a bound.
+  that shares a list lies in one component, was compared, shares a rare shingle, or is ruled out by a bound.
 
 Components are found by smallest labels and pointer jumping on DataFrames; every round is cut by a table in the shared
 folder.
@@ -57,6 +62,10 @@ LOOSE = 0.47
 BITMAP = 16
 #: Rows of texts whose sets are held at once.
 A_BATCH = 512
+#: Classes that hold a rare shingle, at most.
+RARE = 256
+#: Steps of size by which lists are cut, in a factor of e.
+SIZES = 24
 #: Pivots that a list gives in the second round, and by how much more each later round takes.
 PIVOTS, MORE_PIVOTS = 8, 32
 
@@ -217,12 +226,19 @@ def _link(reps: DataFrame, docs: DataFrame) -> DataFrame:
     state = materialise(able.select("rep", "n", "enough", F.col("rep").alias("comp")), "components")
     release(able)
     live = _live(sets, state)
-    state, moved = _merge(_first_pairs(posts, live), state, sketched, sets)
+    state, moved = _merge(_first_pairs(posts.join(small(live), "rep")), state, sketched, sets)
     if moved:
         live = _live(sets, state, live)
+    rare = _rare(sets, live, traits)
+    live = materialise(rare.where((F.col("common") * 100 >= F.col("n") * PERCENT) & (F.size("values") >= F.col("enough"))).select("rep", "n", "enough", F.col("common").alias("share"), "values"), "live")
+    # the class with the most common shingles stands in the middle of its group
+    at = live.join(small(state.select("rep", "comp")), "rep").withColumn("value", F.explode("values"))
+    state, _ = _merge(_first_pairs(at), state, sketched, sets)
+    state, _ = _merge(_rare_pairs(rare.drop("comp").join(small(state.select("rep", "comp")), "rep")), state, sketched, sets)
+    release(rare)
     pivots, done = PIVOTS, None
     while True:
-        at = posts.join(small(live.drop("comp")), "rep").join(small(state.select("rep", "comp")), "rep")
+        at = live.join(small(state.select("rep", "comp")), "rep").withColumn("value", F.explode("values"))
         now = _pivots(at, pivots, done)
         if now.isEmpty():
             break
@@ -242,18 +258,50 @@ def _live(sets: DataFrame, state: DataFrame, among: DataFrame | None = None) ->
     return materialise(held.join(share, "rep").where(F.col("share") * 100 >= F.col("n") * PERCENT).select("rep", "n", "enough", "comp", "share"), "live")
 
 
+def _rare(sets: DataFrame, live: DataFrame, traits: DataFrame) -> DataFrame:
+    """live with common, the number of a class's shingles that more than RARE classes hold, values, those of them that it lists, and
+    prefix, its rarest shingles: all rare ones but as many, less one, as it must share with any partner beyond its common ones. Where the
+    common ones may suffice, that is every rare one, so that pairs not met here share common values only."""
+    each = sets.join(small(live.select("rep", "comp")), "rep").select("rep", "comp", F.explode("full").alias("shingle"))
+    across = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("of")).where("low <> high").select("shingle", "of")
+    by = each.select("rep", "shingle").join(across, "shingle").groupBy("rep")
+    held = by.agg(F.collect_list(F.when(F.col("of") > RARE, F.col("shingle"))).alias("commons"), F.collect_list(F.when(F.col("of") <= RARE, F.struct("of", "shingle"))).alias("rare"))
+    common = F.size("commons")
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * PERCENT / 100).cast("int") - common)
+    prefix = F.slice(F.array_sort("rare"), 1, F.greatest(F.lit(0), F.size("rare") - least + 1))
+    held = live.join(held, "rep").join(traits, "rep")
+    return materialise(held.select("rep", "n", "enough", "comp", "share", "bits", common.alias("common"), F.array_intersect("values", "commons").alias("values"), prefix["shingle"].alias("prefix")), "rare")
+
+
+def _rare_pairs(rare: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components that share a rare shingle of both prefixes and that no bound rules out."""
+    held = rare.select("rep", "n", "share", "comp", "bits", F.explode("prefix").alias("shingle"))
+    other = held.select(*(F.col(c).alias(f"p_{c}") for c in held.columns))
+    met = held.join(other, (F.col("shingle") == F.col("p_shingle")) & (F.col("rep") < F.col("p_rep")) & (F.col("comp") != F.col("p_comp")) & _possible("", "p_") & _near())
+    return met.select(F.col("rep").alias("a"), F.col("p_rep").alias("b")).distinct()
+
+
+def _near() -> Column:
+    """Whether the parity bitmaps of two classes allow the threshold."""
+    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("p_bits")[k])) for k in range(BITMAP)), F.lit(0))
+    return _alike((F.col("n") + F.col("p_n") - differ) / 2, F.col("n"), F.col("p_n"))
+
+
+def _step(n: Column) -> Column:
+    return F.floor(F.ln(n) * SIZES).cast("int")
+
+
 def _possible(x: str, y: str) -> Column:
     """Whether the shares of two classes allow the threshold."""
     return _alike(F.least(f"{x}share", f"{y}share"), F.col(f"{x}n"), F.col(f"{y}n"))
 
 
-def _first_pairs(posts: DataFrame, live: DataFrame) -> DataFrame:
-    """For each class the pair (a, b) with the pivot that it shares most lists with; a list's pivot has its greatest share."""
-    at = posts.join(small(live), "rep")
-    named = F.struct("rep", "n", "share")
+def _first_pairs(at: DataFrame) -> DataFrame:
+    """For each class the pair (a, b) with the pivot of another component that it shares most lists with; a list's pivot has its greatest share."""
+    named = F.struct("rep", "n", "share", "comp")
     pivot = at.groupBy("value").agg(F.max_by(named, F.struct(F.col("share") / F.col("n"), F.col("rep"))).alias("p"), F.count("*").alias("size")).where("size > 1")
-    pivot = pivot.select("value", F.col("p.rep").alias("p_rep"), F.col("p.n").alias("p_n"), F.col("p.share").alias("p_share"))
-    met = at.join(pivot, "value").where((F.col("rep") != F.col("p_rep")) & _possible("", "p_"))
+    pivot = pivot.select("value", F.col("p.rep").alias("p_rep"), F.col("p.n").alias("p_n"), F.col("p.share").alias("p_share"), F.col("p.comp").alias("p_comp"))
+    met = at.join(pivot, "value").where((F.col("comp") != F.col("p_comp")) & _possible("", "p_"))
     met = met.groupBy("rep", "p_rep").agg(F.count("*").alias("both"))
     best = met.groupBy("rep").agg(F.max(F.struct("both", "p_rep")).alias("p"))
     return best.select(F.least("rep", F.col("p.p_rep")).alias("a"), F.greatest("rep", F.col("p.p_rep")).alias("b")).distinct()
@@ -276,13 +324,15 @@ def _pivot_pairs(at: DataFrame, now: DataFrame, done: DataFrame | None, traits:
     list. Classes that are done have met all others."""
     if done is not None:
         at = at.join(small(done), "rep", "left_anti")
-    held = at.join(traits, "rep").join(small(now).withColumn("is_pivot", F.lit(True)), "rep", "left")
-    chosen = held.where("is_pivot").select(*(F.col(c).alias(f"p_{c}") for c in ("value", "rep", "n", "share", "comp", "enough", "values", "bits")))
-    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("p_bits")[k])) for k in range(BITMAP)), F.lit(0))
-    near = _alike((F.col("n") + F.col("p_n") - differ) / 2, F.col("n"), F.col("p_n"))
+    held = at.join(traits.select("rep", "bits"), "rep").join(small(now).withColumn("is_pivot", F.lit(True)), "rep", "left").withColumn("step", _step(F.col("n")))
+    # the sizes that a pivot's size and share allow, with one to spare at either end for rounding
+    n, share = F.col("n"), F.col("share")
+    low, high = F.floor(n * PERCENT / 100) - 1, F.least(n * 100 / PERCENT, share * (100 + PERCENT) / PERCENT - n) + 1
+    chosen = held.where("is_pivot").withColumn("step", F.explode(F.sequence(_step(F.greatest(low, F.lit(1))), _step(F.greatest(high, low, F.lit(1))))))
+    chosen = chosen.select(*(F.col(c).alias(f"p_{c}") for c in ("value", "rep", "n", "share", "comp", "enough", "values", "bits", "step")))
     both = F.array_intersect("values", "p_values")
     first = (F.array_min(both) == F.col("value")) & (F.size(both) >= F.least("enough", "p_enough"))
-    met = held.join(chosen, (F.col("value") == F.col("p_value")) & (F.col("comp") != F.col("p_comp")) & (F.col("is_pivot").isNull() | (F.col("rep") < F.col("p_rep"))) & _possible("", "p_") & near & first)
+    met = held.join(chosen, (F.col("value") == F.col("p_value")) & (F.col("step") == F.col("p_step")) & (F.col("comp") != F.col("p_comp")) & (F.col("is_pivot").isNull() | (F.col("rep") < F.col("p_rep"))) & _possible("", "p_") & _near() & first)
     return met.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b"))
 
 

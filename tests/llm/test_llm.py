@@ -638,6 +638,27 @@ def test_pipeline(spark, sf_dir):
     assert last.count() > 0 and P.run(spark, sf_dir).count() == last.count()
 
 
+@pytest.mark.parametrize("rare", [neardup.RARE, 6])
+def test_large_group_is_not_compared_in_all_pairs(spark, monkeypatch, rare):
+    """Members outside a group's largest component meet by their rare shingles, not by lists that every member is in."""
+    monkeypatch.setattr(neardup, "RARE", rare)
+    listed, pivots = [], neardup._pivots
+    monkeypatch.setattr(neardup, "_pivots", lambda at, *rest: listed.append(at.count()) or pivots(at, *rest))
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"x{rng.integers(3)}" if rng.random() < p else w for w in words)) for i, p in enumerate(rng.uniform(0.005, 0.1, 60))]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows]
+    label = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == dict(enumerate(label)) and 1 < len(set(label)) < 60
+    assert listed[0] == 0 or rare == 6
+
+
 def test_first_stage_keeps_other_columns(spark, sf_dir):
     import corpus_pipeline as P
 
