@@ -30,6 +30,9 @@ What keeps the work near the number of classes:
   first list that it shares, and only there. That ends when every class outside a largest component was a pivot, so each pair
   that shares a list lies in one component, was compared, shares a rare shingle, or is ruled out by a bound.
 
+What keeps the shuffles in proportion to the input: texts, sketches and sets pass a broadcast filter of the names that a join asks
+for before it deals them out, so texts without a possible partner stay where they are and a round moves what its pairs need.
+
 Components are found by smallest labels and pointer jumping on DataFrames; every round is cut by a table in the shared
 folder.
 
@@ -66,6 +69,8 @@ A_BATCH = 512
 RARE = 256
 #: Steps of size by which lists are cut, in a factor of e.
 SIZES = 24
+#: Bits that each name has in the filter that rows pass before a join deals them out.
+FILTER_BITS = 16
 #: Pivots that a list gives in the second round, and by how much more each later round takes.
 PIVOTS, MORE_PIVOTS = 8, 32
 
@@ -139,6 +144,23 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(est).filter(keep)], names=["a", "b", "est"])
 
 
+def _among(table: DataFrame, key: str, named: DataFrame) -> DataFrame:
+    """The rows of table whose key may be in named (one column), so that a join deals out few others: each name sets one of FILTER_BITS
+    times as many bits, and 4 KB of bits are a row that is broadcast."""
+    bits = max(1 << 15, FILTER_BITS * named.count())
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = named.select(slot(named.columns[0]).alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    at = F.bitmap_bit_position(slot(key))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, 1)), 16, 10).cast("int")
+    met = (F.bitmap_bucket_number(slot(key)) == F.col("_bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return table.join(F.broadcast(maps), met, "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """rep of the classes that stand in pairs."""
+    return materialise(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ends")
+
+
 def _estimate(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches are alike enough."""
     side = lambda x: sketched.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"))
@@ -172,10 +194,14 @@ def _components(state: DataFrame, links: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
+    ends = _ends(pairs)
+    sets = _among(sets, "rep", ends)
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("full").alias(f"set_{x}"))
     held = pairs.join(side("b"), "b").join(side("a"), "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return materialise(held.where(_alike(both, F.size("set_a"), F.size("set_b"))).select("a", "b"), "links")
+    links = materialise(held.where(_alike(both, F.size("set_a"), F.size("set_b"))).select("a", "b"), "links")
+    release(ends)
+    return links
 
 
 def _alike(both: Column, n_a: Column, n_b: Column) -> Column:
@@ -221,7 +247,7 @@ def _link(reps: DataFrame, docs: DataFrame) -> DataFrame:
     sketched = materialise(held.select("rep", "label", "mark", "sketch"), "sketched")
     posts = materialise(listed.select("value", "rep").join(small(able.select("rep")), "rep", "left_semi"), "posts")
     release(listed)
-    sets = materialise(_sets(docs, sketched.select("rep", F.col("label").alias("doc_id"), "mark")), "sets")
+    sets = _sets(docs, sketched.select("rep", F.col("label").alias("doc_id"), "mark"))
     traits = materialise(sketched.select("rep", F.slice("sketch", 1, LISTED).alias("values")).join(sets.select("rep", "bits"), "rep"), "traits")
     state = materialise(able.select("rep", "n", "enough", F.col("rep").alias("comp")), "components")
     release(able)
@@ -338,7 +364,10 @@ def _pivot_pairs(at: DataFrame, now: DataFrame, done: DataFrame | None, traits:
 
 def _merge(pairs: DataFrame, state: DataFrame, sketched: DataFrame, sets: DataFrame) -> tuple[DataFrame, bool]:
     """The components after these pairs, and whether any has changed."""
-    close = materialise(_estimate(pairs, sketched), "candidates")
+    pairs = materialise(pairs, "pairs")
+    ends = _ends(pairs)
+    close = materialise(_estimate(pairs, _among(sketched, "rep", ends)), "candidates")
+    release(pairs, ends)
     links = verify(close, sets)
     some = not links.isEmpty()
     if some:
@@ -349,7 +378,8 @@ def _merge(pairs: DataFrame, state: DataFrame, sketched: DataFrame, sets: DataFr
 
 def _sets(docs: DataFrame, named: DataFrame) -> DataFrame:
     """rep, full (its sorted shingle hashes), bits (its parity bitmap) of the classes in named (rep, doc_id, mark). Of a doc_id's texts, those of the class."""
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(named), "doc_id")
+    texts = _among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", named.select("doc_id"))
+    held = texts.join(small(named), "doc_id")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,7 +395,12 @@ def _sets(docs: DataFrame, named: DataFrame) -> DataFrame:
                 flat = pa.array(np.concatenate(full) if full else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([b.tolist() for b in bits], pa.list_(pa.int64()))], names=["rep", "full", "bits"])
 
-    return held.select("rep", "text", "mark").mapInArrow(pick, "rep long, full array<long>, bits array<long>").dropDuplicates(["rep"])
+    sets = materialise(held.select("rep", "text", "mark").mapInArrow(pick, "rep long, full array<long>, bits array<long>"), "sets")
+    if sets.groupBy("rep").count().where("count > 1").isEmpty():
+        return sets
+    once = materialise(sets.dropDuplicates(["rep"]), "sets")
+    release(sets)
+    return once
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.llm import ann, decontaminate, langid, licenses, linededup, mixing, neardup, queries, sharding, substrings, tokens
-from feedloom.llm.store import new_path
+from feedloom.llm.store import materialise, new_path
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -666,3 +666,39 @@ def test_first_stage_keeps_other_columns(spark, sf_dir):
     found = P.language(spark, docs, sf_dir)
     rows = found.collect()
     assert found.columns == docs.columns and rows and {(r["_lang_pred"], r["_LANG_SCORE"], r["_lang_bits_"]) for r in rows} == {("mine", "too", 7)}
+
+
+def _shuffled(spark):
+    """Bytes that the executors have written for shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    held = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+
+def test_only_what_pairs_need_is_dealt_out(spark, monkeypatch):
+    """Texts of classes that may have a partner, and sets of classes in pairs, also where tables are too large to be broadcast."""
+    monkeypatch.setattr(neardup, "small", lambda table: table)
+    rng = np.random.default_rng(12)
+    texts = [" ".join(map(str, rng.integers(10**9, 10**10, 2000))) for _ in range(150)]
+    docs = spark.createDataFrame([*enumerate(texts), (150, texts[7] + " and more"), (None, texts[8])], "doc_id long, text string")
+    named = materialise(neardup.sketches(docs).where("doc_id IN (7, 150)").select(F.xxhash64("mark").alias("rep"), "doc_id", "mark"), "named")
+    full = spark.createDataFrame([(i, rng.integers(-(1 << 62), 1 << 62, 2000).tolist()) for i in range(100)], "rep long, full array<long>")
+    full = materialise(full.union(full.where("rep = 5").select(F.lit(200).cast("long"), "full")), "full")
+    pairs = materialise(spark.createDataFrame([(5, 200), (4, 200)], "a long, b long"), "pairs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled(spark)
+        assert neardup._sets(docs, named).count() == 2
+        between = _shuffled(spark)
+        assert [tuple(r) for r in neardup.verify(pairs, full).collect()] == [(5, 200)]
+        assert between - before < sum(map(len, texts)) / 4 and _shuffled(spark) - between < 100 * 2000 * 8 / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_filter_keeps_all_that_is_named(spark):
+    table = spark.range(-2000, 2000).union(spark.createDataFrame([(None,)], "id long"))
+    few = neardup._among(table, "id", spark.range(-3000, 2000, 40).withColumnRenamed("id", "rep"))
+    found = {r["id"] for r in few.collect()}
+    assert found >= set(range(-2000, 2000, 40)) and len(found) < 500
+    assert neardup._among(table, "id", spark.range(0)).isEmpty()
