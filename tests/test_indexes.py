@@ -7,6 +7,7 @@ import sys
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import Row
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import spam as S
 from feedloom.functions import stemming
-from feedloom.operators import analysis, preference, research, versions
+from feedloom.operators import analysis, keyword_index, preference, research, versions
 from feedloom.operators import retrieval as R
 from feedloom.operators.keyword_index import KeywordIndex, phrases
 from feedloom.operators.vector_index import VectorIndex
@@ -305,3 +306,25 @@ def test_backfill_runs_many_rounds_as_one_job(spark):
     assert len(now.segments) == 5 and now.rounds == 25
     order = sorted(i for i in range(200) if i != 5)  # newest first
     assert {r.id: r.round for r in analysis.segments(spark, at).collect()} == {i: n // 8 for n, i in enumerate(order) if i % 4}
+
+
+def test_postings_against_plain_loops_and_rules_by_table():
+    """Postings as loops over words make them; words that no rule touches are not taken through every ending of every rule."""
+    texts = [("Relational ties", "the ties of relational élan, hoping"), (None, "x x y"), ("", None), ("?", "vietnamization sensibiliti")]
+    batch = pa.record_batch([pa.array([4, 9, 2, 7]), pa.array([t for t, _ in texts]), pa.array([c for _, c in texts])], names=["id", "title", "content"])
+    plain = []
+    for i, (title, content) in zip([4, 9, 2, 7], texts, strict=True):
+        head, body = (stemming.words(x or "") for x in (title, content))
+        held = {}
+        for n, w in [*enumerate(head), *enumerate(body, len(head) + 1)]:
+            held.setdefault(stemming.stem(w), []).append(n)
+        plain += [(i, "", [], len(head) + len(body)), *((i, t, at, len(head) + len(body)) for t, at in held.items())]
+    got = [(r["id"], r["term"] or "", r["positions"], r["length"]) for b in keyword_index._postings(iter([batch])) for r in b.to_pylist()]
+    assert sorted(got) == sorted(plain)
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(arg.__name__) if event == "c_call" else None)
+    try:
+        assert stemming.stem("wxqzk") == "wxqzk"
+    finally:
+        sys.setprofile(None)
+    assert calls.count("endswith") < 20
