@@ -259,6 +259,21 @@ def test_tfidf_fold_of_copies(spark):
     assert found == want and 41 not in found and len(want) >= 41
 
 
+def test_copies_are_not_broadcast(spark, monkeypatch):
+    """Classes of copies are dealt out in rows of several items: no table of items goes through the driver, and the pairs are the same."""
+    texts = [words(i % 7, 12) for i in range(80)] + [words(i % 3, 12)[:-1] + ["other"] for i in range(20)] + [words(50 + i, 12) for i in range(5)]
+    held = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    want = sorted(map(tuple, dedup.tfidf_pairs(held, 0.6).collect()))
+    monkeypatch.setattr(dedup, "NEAR", 0, raising=False)
+    pairs = dedup.tfidf_pairs(held, 0.6)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, pairs.collect())) == want and len({w[:2] for w in want}) == len(want) > 700
+    monkeypatch.setattr(dedup, "CHUNK", 3, raising=False)
+    assert sorted(map(tuple, dedup.tfidf_pairs(held, 0.6).collect())) == want
+    same = lambda i, j: sorted(texts[i]) == sorted(texts[j])
+    assert {w[:2] for w in want if w[2] == 1.0} == {(i, j) for i in range(105) for j in range(i + 1, 105) if same(i, j)}
+
+
 def test_fold_calls_python_for_linked_rows_only(spark):
     """Rows without a shared key need no task of Python; components share tasks, and empty keys meet in their own component only."""
     schema = "id long, ord long, url string, title string, content string, summary string, raw_score double"
