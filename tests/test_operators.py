@@ -274,6 +274,24 @@ def test_copies_are_not_broadcast(spark, monkeypatch):
     assert {w[:2] for w in want if w[2] == 1.0} == {(i, j) for i in range(105) for j in range(i + 1, 105) if same(i, j)}
 
 
+def test_fold_broadcasts_no_items(spark, monkeypatch):
+    """Beyond NEAR rows, labels, items and what they replace meet by shuffles; only tables of large components are broadcast."""
+    import re
+
+    rows = [(i, (i * 7) % 61, (i * 5) % 11 * 1.0) for i in range(60)]
+    held = spark.createDataFrame(rows, "id long, ord long, detail double")
+    pairs = spark.createDataFrame([(i, j) for i in range(60) for j in range(i + 1, 60) if i % 12 == j % 12 or j == i + 1 and j % 5], "a long, b long")
+    fold = lambda: sorted(map(tuple, dedup.semantic_fold(held, pairs, unique=True).collect()))
+    want = fold()
+    monkeypatch.setattr(dedup, "NEAR", 0, raising=False)
+    plans = spark._jsparkSession.sharedState().statusStore()
+    before = plans.executionsCount()
+    assert fold() == want and len(want) == 60
+    ran = [plans.executionsList().apply(i).physicalPlanDescription() for i in range(before, plans.executionsCount())]
+    keys = [k for p in ran for k in re.findall(r"BroadcastHashJoin.*\nLeft keys \[\d+\]: \[(.*?)\]", p)]
+    assert any("SortMergeJoin" in p for p in ran) and not [k for k in keys if not k.startswith("component#")]
+
+
 def test_fold_calls_python_for_linked_rows_only(spark):
     """Rows without a shared key need no task of Python; components share tasks, and empty keys meet in their own component only."""
     schema = "id long, ord long, url string, title string, content string, summary string, raw_score double"
